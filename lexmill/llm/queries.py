@@ -7,12 +7,87 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import leakage, packing, shared_spans
-from lexmill.runtime import table
+from lexmill.llm import leakage, mojibake, packing, page_text, shared_spans, site_lines, text_cuts
+from lexmill.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "chapters"), table(spark, sf_dir, "books")
+
+
+def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.site_lines(site_lines.with_site(*_library(spark, sf_dir), "content_source"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _site_lines(spark, sf_dir).select(F.col("id").alias("chapter_id"), "line_no").distinct()
+
+
+def p2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per site and repeated line the number of chapters it stands in."""
+    found = _site_lines(spark, sf_dir)
+    return found.groupBy("site", "line_hash").agg(F.count_distinct("id").alias("n_chapters"), F.count("*").alias("n_lines"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter's content_source without the repeated lines of its site."""
+    chapters, _ = _library(spark, sf_dir)
+    docs = chapters.select("id", "content_source").dropDuplicates(["id"])
+    return site_lines.without_lines(docs, _site_lines(spark, sf_dir)).withColumnRenamed("id", "chapter_id")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(page_text.labelled(stage(page_text.chapter_lines(*_library(spark, sf_dir)))))
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(mojibake.garbled_values(mojibake.library_fields(*_library(spark, sf_dir))))
+
+
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = _garbled(spark, sf_dir).where("tbl = 'chapters'").select(F.col("rec_id").cast("long").alias("chapter_id"), "field")
+    return text_cuts.cut_fields(table(spark, sf_dir, "chapters"), _labels(spark, sf_dir), bad)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, sf_dir).select("chapter_id", "field").distinct()
+
+
+def p3_site_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut values per site and field."""
+    return text_cuts.cut_share(*_library(spark, sf_dir), _cuts(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.residue_fields(table(spark, sf_dir, "chapters"), _labels(spark, sf_dir))
+
+
+def p5_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chapters without template residue in title or text: (chapter_id, book_id, seq)."""
+    chapters = table(spark, sf_dir, "chapters").select(F.col("id").alias("chapter_id"), "book_id", "seq").dropDuplicates(["chapter_id"])
+    return chapters.join(p5_found(spark, sf_dir), "chapter_id", "left_anti")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("tbl", "rec_id", "field")
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected values with every verified place turned back."""
+    return _garbled(spark, sf_dir)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_lines(_labels(spark, sf_dir))
+
+
+def p7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter's content_source, only the story's own lines."""
+    return page_text.main_text(table(spark, sf_dir, "chapters"), p7_found(spark, sf_dir))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bins"))
 
@@ -37,5 +112,8 @@ def p10_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p8_containers, p9_found, p9_leaked_items, p10_found, p10_shared_chars)
+    for f in (
+        p2_found, p2_site_lines, p2_clean, p3_found, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
+        p7_main_text, p8_containers, p9_found, p9_leaked_items, p10_found, p10_shared_chars,
+    )
 }
