@@ -61,7 +61,7 @@ def p3_site_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_text.residue_fields(table(spark, sf_dir, "chapters"), _labels(spark, sf_dir))
+    return page_text.residue_fields(_labels(spark, sf_dir))
 
 
 def p5_library(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm import page_text
-from lexmill.llm.page_text import _TERMINAL, trimmed
+from lexmill.llm.page_text import TERMINAL, trimmed
 from lexmill.runtime import small, stage
 
 MIN_KNOWN = 3
@@ -52,12 +52,12 @@ def open_end(line: Column) -> Column:
     unclosed = straight | line.rlike(r"(?<!…)…$") & line.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     for a, b in ("「」", "『』", "“”"):
         unclosed |= F.length(F.regexp_replace(line, f"[^{a}]", "")) > F.length(F.regexp_replace(line, f"[^{b}]", ""))
-    return ~line.rlike(_TERMINAL) | unclosed
+    return ~F.right(line, F.lit(8)).rlike(TERMINAL) | unclosed
 
 
 def story_ends(chapters: DataFrame, labels: DataFrame) -> DataFrame:
     """(chapter_id, field, site, last, n, bytes): the last line of the story of every value."""
-    ends = labels.where("label = 'S'").groupBy("id").agg(F.max("line_no").alias("end"), F.first("site").alias("site"))
+    ends = page_text.story_end(labels)
     one = chapters.select(F.col("id").cast("long").alias("id"), "content_source", "content_target").dropDuplicates(["id"])
     both = one.join(ends, "id", "left")
     last = F.element_at(F.filter(F.split("content_target", "\n", -1), lambda x: trimmed(x) != ""), -1)
