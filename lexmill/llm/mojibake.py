@@ -256,16 +256,28 @@ def library_fields(chapters: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
+def inventory_sets(fields: DataFrame):
+    """Broadcast of the clean characters per language, counted over all fields."""
+    values = {r[0] or "": r[1] for r in fields.groupBy("lang").agg(F.count("*")).collect()}  # a row per language
+    inventory = fields.select("lang", "text").mapInArrow(_inventory, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
+    return fields.sparkSession.sparkContext.broadcast(clean_sets([tuple(r) for r in inventory.collect()], values))  # at most the characters of Unicode
+
+
+def garbled_among(fields: DataFrame, few: DataFrame) -> DataFrame:
+    """(key, restored, whole) of the garbled values among few of the fields: every chain is tried, no table is built."""
+    sets = inventory_sets(fields.where(F.length("text") > 0))
+    chains = F.array(*(F.struct(F.lit(k).alias("chain"), F.lit(1).cast("long").alias("n")) for k in range(len(CHAINS))))
+    asked = few.where(F.length("text") > 0).select("lang", "text", "key", F.col("text").rlike(r"[\x{fffd}\x{80}-\x{9f}\x{e000}-\x{f8ff}]").alias("lost"), chains.alias("hits"))
+    return asked.mapInArrow(_restored(sets), "key string, restored string, whole boolean")
+
+
 def garbled_values(fields: DataFrame) -> DataFrame:
     """fields: lang, text, key. (key, restored, whole) of the values with text in a wrong encoding.
 
     restored: the value with all verified places turned back, null where none could be; whole: nothing unclean is left.
     """
-    sc = fields.sparkSession.sparkContext
     fields = fields.where(F.length("text") > 0)
-    values = {r[0] or "": r[1] for r in fields.groupBy("lang").agg(F.count("*")).collect()}  # a row per language
-    inventory = fields.select("lang", "text").mapInArrow(_inventory, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
-    sets = sc.broadcast(clean_sets([tuple(r) for r in inventory.collect()], values))  # at most the characters of Unicode
+    sets = inventory_sets(fields)
     suspects = stage(fields.mapInArrow(_tokens(sets), "key string, lost boolean, tokens array<string>").dropDuplicates(["key"]))
     pairs = fields.select("lang", "text").mapInArrow(_pairs(sets), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD).select("k")
     singles = fields.sparkSession.createDataFrame([(ord(c),) for c in sorted(set().union(*sets.value.values()))] or [(0x4E00,)], "k long")

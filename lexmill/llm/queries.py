@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import leakage, mojibake, packing, page_text, shared_spans, site_lines, text_cuts
+from lexmill.llm import alignment, leakage, lookalikes, mojibake, packing, page_text, shared_spans, site_lines, text_cuts
 from lexmill.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,27 @@ def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "chapters"), table(spark, sf_dir, "books")
 
 
+def _look_alikes(spark: SparkSession, sf_dir: str) -> lookalikes.Model:
+    texts = table(spark, sf_dir, "chapters").select("content_source").unionAll(table(spark, sf_dir, "glossary").select("source"))
+    return lookalikes.train(texts)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.missed_matches(table(spark, sf_dir, "glossary"), table(spark, sf_dir, "chapters"), _look_alikes(spark, sf_dir))
+
+
+def p1_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every glossary row with its source in the one consistent form."""
+    rows = table(spark, sf_dir, "glossary").select("id", "source").dropDuplicates(["id"])
+    return lookalikes.consistent(rows, "source", _look_alikes(spark, sf_dir)).withColumnRenamed("id", "glossary_id")
+
+
+def p1_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter with its content_source in the one consistent form."""
+    rows = table(spark, sf_dir, "chapters").select("id", "content_source").dropDuplicates(["id"])
+    return lookalikes.consistent(rows, "content_source", _look_alikes(spark, sf_dir)).withColumnRenamed("id", "chapter_id")
+
+
 def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.site_lines(site_lines.with_site(*_library(spark, sf_dir), "content_source"))
 
@@ -46,9 +67,14 @@ def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.found(mojibake.garbled_values(mojibake.library_fields(*_library(spark, sf_dir))))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = alignment.bilingual(*_library(spark, sf_dir))
+    return alignment.aligned_sentences(docs, alignment.learn(docs))
+
+
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = _garbled(spark, sf_dir).where("tbl = 'chapters'").select(F.col("rec_id").cast("long").alias("chapter_id"), "field")
-    return text_cuts.cut_fields(table(spark, sf_dir, "chapters"), _labels(spark, sf_dir), bad)
+    lines = stage(page_text.chapter_lines(*_library(spark, sf_dir), with_ends=True))
+    return text_cuts.cut_fields(*_library(spark, sf_dir), lines, stage(page_text.labelled(lines)))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +139,7 @@ def p10_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_site_lines, p2_clean, p3_found, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
+        p1_found, p1_glossary, p1_chapters, p4_found, p2_found, p2_site_lines, p2_clean, p3_found, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
         p7_main_text, p8_containers, p9_found, p9_leaked_items, p10_found, p10_shared_chars,
     )
 }

@@ -16,12 +16,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm import page_text
-from lexmill.llm.page_text import TERMINAL, trimmed
-from lexmill.runtime import small, stage
+from lexmill.functions.web import site
+from lexmill.llm import mojibake, page_text
+from lexmill.runtime import BROADCAST_ROWS, small, stage
 
 MIN_KNOWN = 3
 #: A length is a limit where at least this many values of one site and field share it, and this share of them.
@@ -30,54 +30,52 @@ LIMIT_SHARE = 0.01
 _WORD = re.compile(r"\w+")
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: Counter[str] = Counter()
-        for k in range(batch.num_columns):
-            for text in batch.column(k).to_pylist():
-                if text:
-                    seen.update(_WORD.findall(text))
-        if seen:
-            yield pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _words(heads):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = heads.value if heads else None
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for k in range(batch.num_columns):
+                for text in batch.column(k).to_pylist():
+                    if text:
+                        words = _WORD.findall(text)
+                        seen.update(w for w in words if w[:2] in asked) if asked is not None else seen.update(words)
+            if seen:
+                yield pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
+    return run
 
-def vocabulary(texts: DataFrame, min_known: int = MIN_KNOWN) -> DataFrame:
-    """(word, n) of every word in at least min_known places of the text columns."""
-    return texts.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_known)
 
+def vocabulary(texts: DataFrame, min_known: int = MIN_KNOWN, heads: set[str] | None = None) -> DataFrame:
+    """(word, n) of every word in at least min_known places of the text columns; only words that begin with one of heads, if given."""
+    data = texts.sparkSession.sparkContext.broadcast(heads) if heads is not None else None
+    return texts.mapInArrow(_words(data), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_known)
 
-def open_end(line: Column) -> Column:
-    """Whether a last line, trimmed, stops inside a sentence or quotation."""
-    straight = F.pmod(F.length(F.regexp_replace(line, '[^"]', "")), F.lit(2)) == 1
-    unclosed = straight | line.rlike(r"(?<!…)…$") & line.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
-    for a, b in ("「」", "『』", "“”"):
-        unclosed |= F.length(F.regexp_replace(line, f"[^{a}]", "")) > F.length(F.regexp_replace(line, f"[^{b}]", ""))
-    return ~F.right(line, F.lit(8)).rlike(TERMINAL) | unclosed
 
+def story_ends(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """(chapter_id, field, site, open, token, n, bytes) of every value with a story: token is null where the end is closed.
 
-def story_ends(chapters: DataFrame, labels: DataFrame) -> DataFrame:
-    """(chapter_id, field, site, last, n, bytes): the last line of the story of every value."""
+    lines: page_text.chapter_lines with ends; labels: page_text.labelled of them.
+    """
     ends = page_text.story_end(labels)
-    one = chapters.select(F.col("id").cast("long").alias("id"), "content_source", "content_target").dropDuplicates(["id"])
-    both = one.join(ends, "id", "left")
-    last = F.element_at(F.filter(F.split("content_target", "\n", -1), lambda x: trimmed(x) != ""), -1)
+    both = lines.select("id", "site", "ends", "target_end", "n_source", "b_source", "n_target", "b_target").join(ends.drop("site"), "id", "left")
     sides = F.array(
-        F.struct(F.lit("content_source").alias("field"), F.when(F.col("end").isNotNull(), F.element_at(F.split("content_source", "\n", -1), F.col("end"))).alias("last"), F.length("content_source").alias("n"), F.octet_length("content_source").alias("bytes")),
-        F.struct(F.lit("content_target").alias("field"), last.alias("last"), F.length("content_target").alias("n"), F.octet_length("content_target").alias("bytes")),
+        F.struct(F.lit("content_source").alias("field"), F.get("ends", F.col("at")).alias("token"), F.col("at").isNotNull().alias("story"), F.col("n_source").alias("n"), F.col("b_source").alias("bytes")),
+        F.struct(F.lit("content_target").alias("field"), F.col("target_end").alias("token"), (F.col("n_target") > 0).alias("story"), F.col("n_target").alias("n"), F.col("b_target").alias("bytes")),
     )
     each = both.select(F.col("id").alias("chapter_id"), "site", F.explode(sides).alias("x")).select("chapter_id", "site", "x.*")
-    return each.withColumn("last", trimmed(F.col("last"))).where("last <> ''")
-
-
-def cut_fields(chapters: DataFrame, labels: DataFrame, garbled: DataFrame, min_known: int = MIN_KNOWN) -> DataFrame:
-    """(chapter_id, field, site, evidence) of values that were cut off.
-
-    labels: page_text.labelled; garbled: (chapter_id, field) of values in a wrong encoding.
-    """
-    ends = stage(story_ends(chapters, labels).withColumn("open", open_end(F.col("last"))).withColumn("last", F.when(F.col("open"), F.col("last"))))
-    opened = ends.where("open").withColumn("token", F.regexp_extract("last", r"([\p{L}\p{M}\p{N}_]+)$", 1))
-    tokens = small(stage(opened.where("token <> ''").select("token").distinct()))
-    words = stage(vocabulary(chapters.select("content_source", "content_target"), min_known))
+    return each.where("story").withColumn("open", F.col("token").isNotNull())
+
+
+def cut_fields(chapters: DataFrame, books: DataFrame, lines: DataFrame, labels: DataFrame, min_known: int = MIN_KNOWN, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(chapter_id, field, site, evidence) of values that were cut off; lines and labels as in story_ends."""
+    ends = stage(story_ends(lines, labels))
+    opened = ends.where("open")
+    tokens = stage(opened.where("token <> ''").select("token").distinct())
+    first = tokens.select(F.left("token", F.lit(2)).alias("head")).distinct()
+    heads = {r.head for r in first.collect()} if tokens.limit(most + 1).count() <= most else None
+    tokens = small(tokens)
+    words = stage(vocabulary(chapters.select("content_source", "content_target"), min_known, heads))
     stems = words.select(F.explode(F.expr("transform(sequence(1, greatest(1, length(word) - 1)), i -> left(word, i))")).alias("token"), "word").where("token <> word")
     prefixes = stems.select("token").join(tokens, "token", "left_semi").distinct()
     unknown = small(stage(prefixes.join(words.select(F.col("word").alias("token")), "token", "left_anti").withColumn("word_cut", F.lit(True))))
@@ -94,14 +92,16 @@ def cut_fields(chapters: DataFrame, labels: DataFrame, garbled: DataFrame, min_k
     x = x.join(F.broadcast(stage(sizes[0])), ["site_key", "field", "n_key"], "left").join(F.broadcast(stage(sizes[1])), ["site_key", "field", "bytes_key"], "left")
     evidence = F.when(F.col("word_cut"), "word").when(F.col("n_limit") | F.col("bytes_limit"), "limit").otherwise("sentence")
     residue = page_text.residue_content(labels).select(F.col("id").alias("chapter_id"), F.lit("content_source").alias("field"))
-    out = garbled.select("chapter_id", "field").unionByName(residue)
+    fields = mojibake.library_fields(chapters.withColumn("title_source", F.lit(None).cast("string")), books)
+    asked = opened.where("field = 'content_source'").select(F.concat_ws("\t", F.lit("chapters"), "field", "chapter_id").alias("key"))
+    few = fields.join(small(stage(asked)), "key").dropDuplicates(["key"])
+    garbled = mojibake.found(mojibake.garbled_among(fields, few)).select(F.col("rec_id").cast("long").alias("chapter_id"), "field")
+    out = garbled.unionByName(residue)
     return x.withColumn("evidence", evidence).join(out, ["chapter_id", "field"], "left_anti").select("chapter_id", "field", "site", "evidence")
 
 
 def cut_share(chapters: DataFrame, books: DataFrame, cut: DataFrame) -> DataFrame:
     """(site, field, n_values, n_cut, share): how often each site's values are cut; values without a site under null."""
-    from lexmill.functions.web import site
-
     hosts = small(books.select(F.col("id").alias("book_id"), site(F.col("source_url")).alias("site")).dropDuplicates(["book_id"]))
     one = chapters.select("id", "book_id", (F.length("content_source") > 0).alias("s"), (F.length("content_target") > 0).alias("t")).dropDuplicates(["id"]).join(hosts, "book_id", "left")
     values = one.groupBy("site").agg(F.count_if("s").alias("content_source"), F.count_if("t").alias("content_target"))
