@@ -10,13 +10,15 @@ JOIN_LIMIT = 2000
 EXTRACT_LIMIT, EXTRACT_CHUNKS = 9000, 200
 CHUNK_LIMIT, CHUNK_PARAGRAPHS = 12000, 80
 LABEL_LIMIT = 36
-_ZERO_WIDTH = re.compile("[​-‍⁠﻿]")
+_ZERO_WIDTH = re.compile("[\u200b-\u200d\u2060\ufeff]")
 _SENTENCE_END = re.compile("[.!?…。！？‥\"'“”‘’」』）》〉)~～\\]]$")
 _LABEL = re.compile(
     r"^(?:字体|大|中|小|换手|關燈|关灯|开灯|[上前]一[章页頁节節]|[下后]一[章页頁节節]|返回目[录錄]|返回書?[页頁]|返回顶部|回到顶部|返回|后退|目[录錄]|章节目[录錄]|"
     r"第?[(（]?\d+/\d+[)）]?页|前へ|次へ|目次|이전화?|다음화?|목차|prev(?:ious)?|next|back|index|contents)$",
     re.I,
 )
+#: White space at the ends of lines, the byte order mark included.
+EDGES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _PARA = re.compile(r"\n{2,}")
 _WHITE = re.compile(r"\s+")
 _HEADING = re.compile(
@@ -31,7 +33,7 @@ def units(s: str) -> int:
 
 
 def paragraphs(text: str) -> list[str]:
-    return [p for p in (x.strip() for x in _PARA.split(text)) if p]
+    return [p for p in (x.strip(EDGES) for x in _PARA.split(text)) if p]
 
 
 def without_labels(text: str) -> str:
@@ -253,7 +255,7 @@ def text_chapters(text: str, fallback: str) -> list[tuple[str, str]]:
     """(title, content) of the chapters of a plain text: cut at headings, empty ones dropped, unheaded ones numbered."""
     found: list[tuple[str | None, list[str]]] = [(None, [])]
     for line in re.sub(r"\r\n?", "\n", text).split("\n"):
-        head = line.strip()
+        head = line.strip(EDGES)
         if _HEADING.match(line) and len(_MARKER_END.split(head, maxsplit=1)[0]) <= 20:
             found.append((head, []))
         elif head:
