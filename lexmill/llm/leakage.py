@@ -7,7 +7,7 @@ postings are stored, and the neighbour kept in the posting decides the intersect
 
 The test vocabulary is sent to the executors while its counted size stays within MAX_TERMS; a larger test set is worked off
 in several blocks of items, each against all documents. Null or short texts and passages (below 2 * TERM characters) match
-nothing; repeated rows count once.
+nothing, nor do rows without an id; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -127,14 +127,15 @@ def _item_terms(term: int):
     return run
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_terms: int = MAX_TERMS) -> DataFrame:
+def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_terms: int = MAX_TERMS, places: bool = True) -> DataFrame:
     """Every place where 2 * term successive letters and digits of a passage stand in a document.
 
     docs: doc_id, text; items: item_id, passage. Result: doc_id, item_id, doc_pos, item_pos (in letters and digits).
+    Without places only doc_id and item_id, each posting and anchor counted once however often a text repeats itself.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where(F.col("passage").isNotNull()).distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").distinct()
     listed = stage(items.mapInArrow(_item_terms(term), "term long, item_id long, pos int"))
     blocks = max(1, -(-listed.count() // block_terms))
     parts = []
@@ -153,16 +154,22 @@ def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_te
                 F.when(forward, F.col("next")).otherwise(F.col("lead")).alias("partner"), forward.alias("forward"),
             )
         )
+        if not places:
+            anchors = anchors.select("item_id", "term", "partner", "forward").distinct()
         rare = np.array([r[0] for r in anchors.select("term").distinct().collect()], dtype=np.int64)
         index = docs.mapInArrow(
             _postings(spark.sparkContext.broadcast(rare.tobytes()), term), "term long, doc_id long, pos int, before long, after long"
         )
-        met = index.withColumnRenamed("pos", "at").join(anchors, "term")
+        index = index.withColumnRenamed("pos", "at") if places else index.select("term", "doc_id", "before", "after").distinct()
+        met = index.join(anchors, "term")
         met = met.where(F.when(F.col("forward"), F.col("after")).otherwise(F.col("before")) == F.col("partner"))
+        if not places:
+            parts.append(met.select("doc_id", "item_id"))
+            continue
         parts.append(met.select("doc_id", "item_id", (F.col("at") - F.when(F.col("forward"), 0).otherwise(term)).alias("doc_pos"), F.col("pos").alias("item_pos")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def leaks(docs: DataFrame, items: DataFrame, term: int = TERM) -> DataFrame:
     """(doc_id, item_id): documents that hold at least 2 * term successive letters and digits of the passage."""
-    return phrase_matches(docs, items, term).select("doc_id", "item_id").distinct()
+    return phrase_matches(docs, items, term, places=False).distinct()

@@ -7,7 +7,8 @@ plus a bonus wherever neighbours are of one script. Positions that look like not
 each distinct run with its neighbours is decoded once per worker.
 
 Letter case and traditional or simplified forms stay as they are. Null stays null and empty text stays empty; a term whose
-consistent form is empty matches nothing. Rows of one id count once.
+consistent form is empty matches nothing. Rows without an id are
+left out, rows of one id count once.
 """
 
 from __future__ import annotations
@@ -213,8 +214,8 @@ def missed_matches(glossary: DataFrame, chapters: DataFrame, model: Model, block
 
     Terms and chapters of a book are dealt to blocks of bounded size; each block of terms meets each block of chapters once.
     """
-    g = glossary.where("scope = 'book' AND book_id IS NOT NULL AND length(source) > 0").select(F.col("id").cast("long").alias("id"), "book_id", "source").dropDuplicates(["id"])
-    c = chapters.where("book_id IS NOT NULL AND length(content_source) > 0").select(F.col("id").cast("long").alias("id"), "book_id", F.col("content_source").alias("text"))
+    g = glossary.where("id IS NOT NULL AND scope = 'book' AND book_id IS NOT NULL AND length(source) > 0").select(F.col("id").cast("long").alias("id"), "book_id", "source").dropDuplicates(["id"])
+    c = chapters.where("id IS NOT NULL AND book_id IS NOT NULL AND length(content_source) > 0").select(F.col("id").cast("long").alias("id"), "book_id", F.col("content_source").alias("text"))
     g = stage(g)
     sizes = small(stage(g.groupBy("book_id").agg(F.ceil(F.count("*") / F.lit(block_terms)).cast("int").alias("g_blocks"))))
     counts = small(stage(chapters.groupBy("book_id").agg(F.ceil(F.count("*") / F.lit(block_chapters)).cast("int").alias("c_blocks"))))

@@ -8,7 +8,7 @@
 4. Along these chains lines, and pieces of lines, are turned back; a piece counts if every character of the result is clean.
    Replacement characters, C1 controls and private-use characters are traces of a wrong decoding that lost text.
 
-The character sets sent to executors are bounded by Unicode. Null values are clean; repeated rows of one id count once.
+The character sets sent to executors are bounded by Unicode. Null values are clean; rows without an id are left out, repeated rows of one id count once.
 """
 
 from __future__ import annotations
@@ -246,13 +246,13 @@ def _restored(sets):
 def library_fields(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """(lang, text, key) of chapters.content_source, chapters.title_source and books.title; key is tbl, field and id."""
     langs = small(books.select(F.col("id").alias("book_id"), F.col("source_lang").alias("lang")).dropDuplicates(["book_id"]))
-    c = chapters.select("id", "book_id", "title_source", "content_source").join(langs, "book_id", "left")
+    c = chapters.where("id IS NOT NULL").select("id", "book_id", "title_source", "content_source").join(langs, "book_id", "left")
     key = lambda tbl, field, rec: F.concat_ws("\t", F.lit(tbl), F.lit(field), rec.cast("string"))
     each = F.array(
         *(F.struct(F.col(f).alias("text"), key("chapters", f, F.col("id")).alias("key")) for f in ("title_source", "content_source"))
     )
     return c.select("lang", F.explode(each).alias("x")).select("lang", "x.text", "x.key").unionByName(
-        books.select(F.col("source_lang").alias("lang"), F.col("title").alias("text"), key("books", "title", F.col("id")).alias("key"))
+        books.where("id IS NOT NULL").select(F.col("source_lang").alias("lang"), F.col("title").alias("text"), key("books", "title", F.col("id")).alias("key"))
     )
 
 

@@ -28,13 +28,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every glossary row with its source in the one consistent form."""
-    rows = table(spark, sf_dir, "glossary").select("id", "source").dropDuplicates(["id"])
+    rows = table(spark, sf_dir, "glossary").where("id IS NOT NULL").select("id", "source").dropDuplicates(["id"])
     return lookalikes.consistent(rows, "source", _look_alikes(spark, sf_dir)).withColumnRenamed("id", "glossary_id")
 
 
 def p1_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter with its content_source in the one consistent form."""
-    rows = table(spark, sf_dir, "chapters").select("id", "content_source").dropDuplicates(["id"])
+    rows = table(spark, sf_dir, "chapters").where("id IS NOT NULL").select("id", "content_source").dropDuplicates(["id"])
     return lookalikes.consistent(rows, "content_source", _look_alikes(spark, sf_dir)).withColumnRenamed("id", "chapter_id")
 
 
@@ -55,7 +55,7 @@ def p2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter's content_source without the repeated lines of its site."""
     chapters, _ = _library(spark, sf_dir)
-    docs = chapters.select("id", "content_source").dropDuplicates(["id"])
+    docs = chapters.where("id IS NOT NULL").select("id", "content_source").dropDuplicates(["id"])
     return site_lines.without_lines(docs, _site_lines(spark, sf_dir)).withColumnRenamed("id", "chapter_id")
 
 
@@ -92,7 +92,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chapters without template residue in title or text: (chapter_id, book_id, seq)."""
-    chapters = table(spark, sf_dir, "chapters").select(F.col("id").alias("chapter_id"), "book_id", "seq").dropDuplicates(["chapter_id"])
+    chapters = table(spark, sf_dir, "chapters").where("id IS NOT NULL").select(F.col("id").alias("chapter_id"), "book_id", "seq").dropDuplicates(["chapter_id"])
     return chapters.join(p5_found(spark, sf_dir), "chapter_id", "left_anti")
 
 

@@ -5,7 +5,7 @@ is kept, so any two texts with a stretch of WINDOW + NEIGHBOURS - 1 = min_len co
 both. Spark counts the kept windows; those seen in two or more texts seed pairs, which are compared character for
 character and grown to maximal intervals. Exact copies are represented by one text and expanded only in the result.
 
-Null or short texts (below min_len) share nothing and never appear. Rows repeated with the same id count once.
+Null or short texts (below min_len) share nothing and never appear, nor do rows without an id. Rows repeated with the same id count once.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def shared_spans(
 
     spans: id_a < id_b (class representatives), start_a, start_b, length in code points. copies: id, rep, n.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= min_len)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where((F.length("text") >= min_len) & F.col("id").isNotNull())
     copies = stage(copy_classes(docs, "id", "text"))
     others = small(copies.where("id <> rep").select("id"))
     docs = docs.join(others, "id", "left_anti")

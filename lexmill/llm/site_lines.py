@@ -6,7 +6,8 @@ chunks of equal lines are equal. Spark counts the distinct documents per (site,
 line needs can belong to no repeated line, so only lines all of whose chunks are frequent remain. They are counted exactly.
 
 Lines are compared after trimming Unicode white space and replacing every run of ASCII digits by one mark; empty lines never
-count. Null text has no lines, documents without a site (null url) belong to none, repeated rows of one id count once.
+count. Null text has no lines, documents without a site (null url) belong to none, rows
+without an id are left out, repeated rows of one id count once.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ _CUT = "id long, site string, numbers array<int>, lines array<long>, counts arra
 def with_site(chapters: DataFrame, books: DataFrame, *columns: str) -> DataFrame:
     """(id, site, *columns) of the chapters whose book has a site."""
     hosts = books.select(F.col("id").alias("book_id"), site(F.col("source_url")).alias("site")).where(F.col("site").isNotNull()).dropDuplicates(["book_id"])
-    return chapters.select("id", "book_id", *columns).join(small(hosts), "book_id").select(F.col("id").cast("long").alias("id"), "site", *columns)
+    return chapters.where("id IS NOT NULL").select("id", "book_id", *columns).join(small(hosts), "book_id").select(F.col("id").cast("long").alias("id"), "site", *columns)
 
 
 def site_lines(docs: DataFrame, text_col: str = "content_source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
