@@ -205,7 +205,7 @@ def numeral(c: Column) -> Column:
         taken = acc["total"] + F.when(acc["now"] == 0, 1).otherwise(acc["now"]) * u
         return F.struct(F.when(d.isNotNull(), acc["total"]).otherwise(taken).alias("total"), F.coalesce(d, F.lit(0)).alias("now"))
 
-    return F.aggregate(F.split(c, "(?!^)"), start, step, lambda acc: (acc["total"] + acc["now"]).cast("long"))
+    return F.aggregate(F.filter(F.split(c, "(?!^)"), lambda ch: ch != ""), start, step, lambda acc: (acc["total"] + acc["now"]).cast("long"))
 
 
 def chapter_number(title: Column) -> Column:

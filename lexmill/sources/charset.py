@@ -13,7 +13,7 @@ ALIASES = {
     "euc_kr": "euc-kr", "ks_c_5601-1987": "euc-kr", "csksc56011987": "euc-kr", "korean": "euc-kr", "utf8": "utf-8",
 }
 _CODEC = {"shift_jis": "cp932", "euc-kr": "cp949"}
-_GOOD = re.compile("[一-鿿㐀-䶿豈-﫿぀-ヿ가-힣]")
+_GOOD = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u3040-\u30ff\uac00-\ud7a3]")
 _DECLARED = re.compile(rb"<\?xml[^>]*encoding=[\"']([\w-]+)[\"']|<meta[^>]+charset=[\"']?([\w-]+)", re.I)
 
 
