@@ -1,5 +1,29 @@
-"""Oracle SQL of the pN_ queries that SQL can express."""
+"""Oracle SQL of the pN_ queries that SQL can express over whole tables."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_WHITE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+"
+_SITE_LINES = f"""b AS (SELECT DISTINCT id, nullif(regexp_replace(regexp_extract(lower(trim(source_url)), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', ''), '') AS site FROM books),
+  c AS (SELECT DISTINCT c.id, site, content_source AS t FROM chapters c JOIN b ON c.book_id = b.id WHERE site IS NOT NULL),
+  l AS (SELECT id, site, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no FROM c),
+  k AS (SELECT id, site, line_no, regexp_replace(regexp_replace(x, '^{_WHITE}|{_WHITE}$', '', 'g'), '[0-9]+', chr(1), 'g') AS key FROM l),
+  s AS (SELECT site, count(DISTINCT id) AS docs FROM c GROUP BY site),
+  n AS (SELECT site, key, count(DISTINCT id) AS n FROM k WHERE key <> '' GROUP BY site, key)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_SITE_LINES}
+      SELECT DISTINCT k.id AS chapter_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN n ON k.site = n.site AND k.key = n.key JOIN s ON k.site = s.site WHERE n.n >= 5 AND n.n * 10 >= s.docs""",
+    "p9_found": """WITH i AS (SELECT DISTINCT item_id, regexp_replace(lower(passage), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM bench_items),
+      g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 48), lambda k: t[k:k + 49])) AS g FROM i WHERE length(t) >= 50),
+      d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
+      w AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 48), lambda k: t[k:k + 49])) AS g FROM d WHERE length(t) >= 50)
+      SELECT DISTINCT doc_id, item_id FROM w JOIN g USING (g)""",
+    "p10_found": """WITH w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda k: md5_number(text[k:k + 199]))) AS h FROM documents WHERE length(text) >= 200),
+      r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT w.* FROM w JOIN r USING (h))
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_leaked_items": """WITH i AS (SELECT DISTINCT item_id, regexp_replace(lower(passage), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM bench_items),
+      g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 48), lambda k: t[k:k + 49])) AS g FROM i WHERE length(t) >= 50),
+      d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
+      w AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 48), lambda k: t[k:k + 49])) AS g FROM d WHERE length(t) >= 50)
+      SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM w JOIN g USING (g) GROUP BY item_id""",
+}
