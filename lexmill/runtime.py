@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow key table (ids, hashes) is sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,10 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
     return at.rstrip("/")
 
 
