@@ -51,16 +51,15 @@ def export_json(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_C}, n AS (SELECT book_id, content_source, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS k FROM c WHERE seq <= 5)
-    SELECT book_id, CAST(k - 1 AS INTEGER) AS idx, 'Chapter ' || k AS title, md5(array_to_string({_LINES}, chr(10) || chr(10))) AS digest FROM n WHERE len({_LINES}) > 0"""
+    f"""WITH {_C}, n AS (SELECT book_id, seq // 50 AS volume, content_source, row_number() OVER (PARTITION BY book_id, seq // 50 ORDER BY seq) AS k FROM c)
+    SELECT book_id, volume, CAST(k - 1 AS INTEGER) AS idx, 'Chapter ' || k AS title, md5(array_to_string({_LINES}, chr(10) || chr(10))) AS digest FROM n WHERE len({_LINES}) > 0"""
 )
 def text_split(t: Tables) -> DataFrame:
-    """Plain-text files of the first chapters of every book under numbered headings, split again."""
-    c = _chapters(t).where("seq <= 5")
-    parts = c.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content_source"))).alias("p"))
+    """Plain-text volumes of fifty places of every book under numbered headings, split again."""
+    parts = _chapters(t).groupBy("book_id", F.floor(F.col("seq") / 50).cast("int").alias("volume")).agg(F.array_sort(F.collect_list(F.struct("seq", "content_source"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x, k: F.concat(F.lit("Chapter "), (k + 1).cast("string"), F.lit("\n"), x["content_source"])), "\n")
-    x = parts.select("book_id", F.posexplode(readers.split_text(text, F.col("book_id"))).alias("idx", "c"))
-    return x.select("book_id", "idx", F.col("c.title").alias("title"), F.md5("c.content").alias("digest"))
+    x = parts.select("book_id", "volume", F.posexplode(readers.split_text(text, F.col("book_id"))).alias("idx", "c"))
+    return x.select("book_id", "volume", "idx", F.col("c.title").alias("title"), F.md5("c.content").alias("digest"))
 
 
 def _archive(book: str, titles: list[str], texts: list[str]) -> bytes:
@@ -76,17 +75,18 @@ def _archive(book: str, titles: list[str], texts: list[str]) -> bytes:
 
 
 @query(
-    f"""WITH {_C}, n AS (SELECT book_id, content_source, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS k FROM c WHERE seq <= 5)
-    SELECT book_id, CAST(k - 1 AS INTEGER) AS idx, 'Part ' || k AS title, md5(array_to_string(list_prepend('Part ' || k, {_LINES}), chr(10) || chr(10))) AS digest FROM n"""
+    f"""WITH {_C}, n AS (SELECT book_id, seq // 50 AS volume, content_source, row_number() OVER (PARTITION BY book_id, seq // 50 ORDER BY seq) AS k FROM c)
+    SELECT book_id, volume, CAST(k - 1 AS INTEGER) AS idx, 'Part ' || k AS title, md5(array_to_string(list_prepend('Part ' || k, {_LINES}), chr(10) || chr(10))) AS digest FROM n"""
 )
 def archive_chapters(t: Tables) -> DataFrame:
-    """EPUB archives of the first chapters of every book, read in spine order."""
-    parts = _chapters(t).where("seq <= 5").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content_source"))).alias("p"))
+    """EPUB archives of volumes of fifty places of every book, read in spine order."""
+    parts = _chapters(t).groupBy("book_id", F.floor(F.col("seq") / 50).cast("int").alias("volume")).agg(F.array_sort(F.collect_list(F.struct("seq", "content_source"))).alias("p"))
     names = F.transform("p", lambda x, k: F.concat(F.lit("Part "), (k + 1).cast("string")))
     build = column(lambda b, names, texts: _archive(b, list(names), list(texts)), "binary")
-    archives = parts.select(F.col("book_id").alias("path"), build(F.col("book_id"), names, F.col("p.content_source")).alias("content"))
+    archives = parts.select(F.concat_ws("|", "book_id", "volume").alias("path"), build(F.col("book_id"), names, F.col("p.content_source")).alias("content"))
     rows = readers.epub_chapters(archives)
-    return rows.select(F.col("path").alias("book_id"), "idx", F.col("title_source").alias("title"), F.md5("content_source").alias("digest"))
+    at = F.split("path", "\\|")
+    return rows.select(at[0].alias("book_id"), at[1].cast("int").alias("volume"), "idx", F.col("title_source").alias("title"), F.md5("content_source").alias("digest"))
 
 
 def _page(t: Tables) -> DataFrame:
