@@ -25,6 +25,11 @@ TRADITIONAL = "們這國說時為對開關邊門見車馬鳥長東書會買賣
 SPACE = r"[\s\p{Z}\x{feff}]"
 
 
+def trimmed(c: Column) -> Column:
+    """White space of every kind off both ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def clean(c: Column) -> Column:
     """White space of every kind collapsed to single blanks, ends trimmed."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
@@ -47,7 +52,7 @@ def filename(c: Column) -> Column:
 
 def title_from_path(c: Column) -> Column:
     base = F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?i)\.x?html?$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(base, "[_-]+", " "), r"\s+", " "))
+    return clean(F.regexp_replace(base, "[_-]+", " "))
 
 
 def resolve_path(base: Column, rel: Column) -> Column:
@@ -229,7 +234,7 @@ def without_prefix(title: Column) -> Column:
     s = F.regexp_replace(title, rf"^\s*第\s*(?:[0-9]{{1,7}}|{_NUMERAL}{{1,12}})\s*[章回節节卷][\s:：、.\-—]*", "")
     s = F.regexp_replace(s, r"(?i)^\s*chapter\s+[0-9]{1,7}\s*[:：.\-—]*\s*", "")
     s = F.regexp_replace(s, rf"^\s*제?\s*0*[0-9]{{1,7}}(?:\s*{_KO})?(?:[\s\-–—.:、)\]]+|$)", "")
-    return F.trim(s)
+    return trimmed(s)
 
 
 def without_leading_title(content: Column, title: Column) -> Column:

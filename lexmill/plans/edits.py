@@ -16,7 +16,7 @@ from lexmill.operators import library, ordered
 from lexmill.plans.documents import _PARSED, _page
 from lexmill.plans.matching import _EDGE, _EFF, _found
 from lexmill.plans.registry import Registry, Tables
-from lexmill.plans.shelf import _B, _C, _G, _chapters
+from lexmill.plans.shelf import _B, _C, _G, _chapters, _terms
 from lexmill.plans.usage import top_k
 
 query = Registry()
@@ -129,7 +129,7 @@ def shelf_orders(t: Tables) -> DataFrame:
 )
 def context_terms(t: Tables) -> DataFrame:
     """Terms of each book's dictionary that go along with a prompt: pinned first, at most the cap (a top-k report)."""
-    e = library.effective_terms(t.glossary.distinct(), t.books).select("book_id", "source", "id", "pinned")
+    e = library.effective_terms(_terms(t), t.books).select("book_id", "source", "id", "pinned")
     return top_k(e, "book_id", [F.col("pinned").desc(), F.col("source"), F.col("id")], CONTEXT_TERMS).select("book_id", "source", "rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import languages
 from lexmill.operators import dictionary, library
 from lexmill.plans.registry import Registry, Tables
-from lexmill.plans.shelf import _B, _G
+from lexmill.plans.shelf import _B, _G, _terms
 
 query = Registry()
 
@@ -22,7 +22,7 @@ _EDGE = "[^\\p{L}\\p{N}\\p{M}]"
 
 
 def _dictionary(t: Tables) -> DataFrame:
-    terms = library.effective_terms(t.glossary.distinct(), t.books).withColumn("aliases", F.from_json("aliases", "array<string>"))
+    terms = library.effective_terms(_terms(t), t.books).withColumn("aliases", F.from_json("aliases", "array<string>"))
     bounded = t.once("books", F.col("id").alias("book_id"), "source_lang").select("book_id", languages.delimited(F.col("source_lang")).alias("bounded"))
     return dictionary.keys(terms).join(bounded, "book_id")
 

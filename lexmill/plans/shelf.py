@@ -17,6 +17,10 @@ _B = "b AS (SELECT DISTINCT id, user_id, source_type, source_lang, target_lang,
 _G = "g AS (SELECT DISTINCT * FROM glossary)"
 
 
+def _terms(t: Tables) -> DataFrame:
+    return t.once("glossary", "id", "user_id", "scope", "book_id", "source_lang", "target_lang", "source", "target", "aliases", "pinned", "updated_at")
+
+
 def _chapters(t: Tables) -> DataFrame:
     return t.chapters.select(
         "id", "uuid", "book_id", "seq", "chapter_url", "title_source", "title_target", F.col("content_target").isNotNull().alias("translated"), "translated_at"
@@ -123,7 +127,7 @@ def reordered(t: Tables) -> DataFrame:
 )
 def effective_glossary(t: Tables) -> DataFrame:
     """Global terms of the user and pair under the book's own, one row per book and source."""
-    return library.effective_terms(t.glossary.distinct(), t.books).select("book_id", "source", "id", "target", "scope")
+    return library.effective_terms(_terms(t), t.books).select("book_id", "source", "id", "target", "scope")
 
 
 @query(

@@ -40,8 +40,8 @@ def chapter_labels(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT id AS chapter_id, trim(regexp_replace(regexp_replace(regexp_replace(title_source, '^\\s*第\\s*(?:[0-9]{1,7}|[〇零一二兩两三四五六七八九十百千萬万]{1,12})\\s*[章回節节卷][\\s:：、.\\-—]*', ''),
-      '(?i)^\\s*chapter\\s+[0-9]{1,7}\\s*[:：.\\-—]*\\s*', ''), '^\\s*제?\\s*0*[0-9]{1,7}(?:\\s*[화話장회권부편])?(?:[\\s\\-–—.:、)\\]]+|$)', '')) AS subtitle FROM chapters"""
+    """SELECT DISTINCT id AS chapter_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(title_source, '^\\s*第\\s*(?:[0-9]{1,7}|[〇零一二兩两三四五六七八九十百千萬万]{1,12})\\s*[章回節节卷][\\s:：、.\\-—]*', ''),
+      '(?i)^\\s*chapter\\s+[0-9]{1,7}\\s*[:：.\\-—]*\\s*', ''), '^\\s*제?\\s*0*[0-9]{1,7}(?:\\s*[화話장회권부편])?(?:[\\s\\-–—.:、)\\]]+|$)', ''), '^[\\s\\x0b\\p{Z}\\x{feff}]+|[\\s\\x0b\\p{Z}\\x{feff}]+$', '', 'g') AS subtitle FROM chapters"""
 )
 def chapter_subtitles(t: Tables) -> DataFrame:
     """Titles without their chapter marker."""

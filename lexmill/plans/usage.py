@@ -31,29 +31,42 @@ def _own(t: Tables) -> DataFrame:
     return ledger.owners(t.chapters, t.books)
 
 
+# Ledger rows delivered twice count once; only the columns reports use are read, the row's id among them.
+def _runs(t: Tables) -> DataFrame:
+    return t.once("translations", "id", "chapter_id", "model", "prompt_tokens", "cached_tokens", "completion_tokens", "cost_usd", "created_at")
+
+
+def _calls(t: Tables) -> DataFrame:
+    return t.once("ai_usage", "id", "kind", "host", "user_id", "chapter_id", "model", "prompt_tokens", "cached_tokens", "completion_tokens", "cost_usd", "created_at")
+
+
+def _fetches(t: Tables) -> DataFrame:
+    return t.once("fetch_usage", "id", "user_id", "chapter_id", "provider", "cost_usd", "created_at")
+
+
 @query(f"WITH {_OWN}, {_T} SELECT owner, {_SUMS} FROM t JOIN own USING (chapter_id) GROUP BY owner")
 def usage_body(t: Tables) -> DataFrame:
     """Translation runs per owner (two-hop ownership join)."""
-    return ledger.chained(t.translations.distinct(), _own(t)).groupBy("owner").agg(*ledger.amounts())
+    return ledger.chained(_runs(t), _own(t)).groupBy("owner").agg(*ledger.amounts())
 
 
 @query(f"WITH {_OWN}, {_A}, {_AT} SELECT owner, kind, {_SUMS} FROM att GROUP BY owner, kind")
 def usage_by_kind(t: Tables) -> DataFrame:
     """Pipeline calls per owner and kind: standalone rows and rows chained through a chapter."""
-    return ledger.attributed(t.ai_usage.distinct(), _own(t)).groupBy("owner", "kind").agg(*ledger.amounts())
+    return ledger.attributed(_calls(t), _own(t)).groupBy("owner", "kind").agg(*ledger.amounts())
 
 
 @query(f"WITH {_A} SELECT user_id AS owner, {_SUMS} FROM a WHERE kind = 'map' AND user_id IS NOT NULL GROUP BY user_id")
 def usage_map(t: Tables) -> DataFrame:
     """The map bucket: rows by the stamped user."""
-    rows = t.ai_usage.distinct().where("kind = 'map' AND user_id IS NOT NULL")
+    rows = _calls(t).where("kind = 'map' AND user_id IS NOT NULL")
     return rows.withColumnRenamed("user_id", "owner").groupBy("owner").agg(*ledger.amounts())
 
 
 @query(f"WITH {_F} SELECT user_id AS owner, provider, count(*) AS calls, CAST(coalesce(sum(CAST(cost_usd AS DECIMAL(18,9))), 0) AS DOUBLE) AS cost FROM f GROUP BY user_id, provider")
 def usage_by_provider(t: Tables) -> DataFrame:
     """Fetches per user and provider."""
-    return t.fetch_usage.distinct().groupBy(F.col("user_id").alias("owner"), "provider").agg(F.count("*").alias("calls"), ledger.money("cost_usd").alias("cost"))
+    return _fetches(t).groupBy(F.col("user_id").alias("owner"), "provider").agg(F.count("*").alias("calls"), ledger.money("cost_usd").alias("cost"))
 
 
 @query(
@@ -69,9 +82,9 @@ def usage_by_book(t: Tables) -> DataFrame:
     """Every owned book with its runs and all costs, zero where nothing was spent; sums are made before the merge."""
     own = _own(t)
     per = lambda x, *aggs: ledger.chained(x, own).groupBy("book_id").agg(*aggs)
-    body = per(t.translations.distinct(), ledger.exact("cost_usd").alias("tc"), F.sum("prompt_tokens").alias("tp"), F.count("*").alias("runs"))
-    ai = per(t.ai_usage.distinct().where("kind <> 'map'"), ledger.exact("cost_usd").alias("ac"), F.sum("prompt_tokens").alias("ap"))
-    fetch = per(t.fetch_usage.distinct(), ledger.exact("cost_usd").alias("fc"))
+    body = per(_runs(t), ledger.exact("cost_usd").alias("tc"), F.sum("prompt_tokens").alias("tp"), F.count("*").alias("runs"))
+    ai = per(_calls(t).where("kind <> 'map'"), ledger.exact("cost_usd").alias("ac"), F.sum("prompt_tokens").alias("ap"))
+    fetch = per(_fetches(t), ledger.exact("cost_usd").alias("fc"))
     b = t.books.select(F.col("id").alias("book_id"), F.col("user_id").alias("owner"), F.coalesce("title_target", "title").alias("title")).distinct()
     x = b.join(body, "book_id", "left").join(ai, "book_id", "left").join(fetch, "book_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -87,10 +100,10 @@ def usage_by_book(t: Tables) -> DataFrame:
 )
 def usage_by_model(t: Tables) -> DataFrame:
     """All token-metered calls per owner and model, standalone map rows included."""
-    own, ai = _own(t), t.ai_usage.distinct()
+    own, ai = _own(t), _calls(t)
     columns = ["owner", "model", "prompt_tokens", "cached_tokens", "completion_tokens", "cost_usd"]
     maps = ai.where("kind = 'map' AND chapter_id IS NULL AND user_id IS NOT NULL").withColumnRenamed("user_id", "owner")
-    parts = [ledger.chained(t.translations.distinct(), own), ledger.attributed(ai, own), maps]
+    parts = [ledger.chained(_runs(t), own), ledger.attributed(ai, own), maps]
     return reduce(DataFrame.unionAll, (p.select(*columns) for p in parts)).groupBy("owner", "model").agg(*ledger.amounts())
 
 
@@ -105,11 +118,11 @@ def usage_by_model(t: Tables) -> DataFrame:
 )
 def usage_totals(t: Tables) -> DataFrame:
     """The all-in rollup per owner with its ratios."""
-    own, ai = _own(t), t.ai_usage.distinct()
+    own, ai = _own(t), _calls(t)
     columns = ["owner", "prompt_tokens", "cached_tokens", "completion_tokens", "cost_usd"]
-    fetch = t.fetch_usage.distinct().select(F.col("user_id").alias("owner"), *(F.lit(0).alias(c) for c in columns[1:4]), "cost_usd")
+    fetch = _fetches(t).select(F.col("user_id").alias("owner"), *(F.lit(0).alias(c) for c in columns[1:4]), "cost_usd")
     parts = {
-        "body": ledger.chained(t.translations.distinct(), own), "pipeline": ledger.attributed(ai, own),
+        "body": ledger.chained(_runs(t), own), "pipeline": ledger.attributed(ai, own),
         "map": ai.where("kind = 'map' AND user_id IS NOT NULL").withColumnRenamed("user_id", "owner"), "fetch": fetch,
     }
     rows = reduce(DataFrame.unionAll, (p.select(*columns, F.lit(s).alias("s")) for s, p in parts.items()))
@@ -132,10 +145,10 @@ def usage_totals(t: Tables) -> DataFrame:
 )
 def spend_by_day(t: Tables) -> DataFrame:
     """Spend per owner and UTC day; a row stamped exactly at midnight opens no day (strict lower bound)."""
-    own, ai = _own(t), t.ai_usage.distinct()
+    own, ai = _own(t), _calls(t)
     columns = ["owner", "created_at", "cost_usd"]
     alone = ai.where("chapter_id IS NULL AND user_id IS NOT NULL").withColumnRenamed("user_id", "owner")
-    parts = [ledger.chained(t.translations.distinct(), own), alone, ledger.chained(ai.where("kind <> 'map'"), own), t.fetch_usage.distinct().withColumnRenamed("user_id", "owner")]
+    parts = [ledger.chained(_runs(t), own), alone, ledger.chained(ai.where("kind <> 'map'"), own), _fetches(t).withColumnRenamed("user_id", "owner")]
     rows = reduce(DataFrame.unionAll, (p.select(*columns) for p in parts)).where(F.pmod("created_at", F.lit(ledger.DAY_MS)) != 0)
     return rows.groupBy("owner", ledger.day(F.col("created_at")).alias("day")).agg(ledger.money("cost_usd").alias("spend"))
 
@@ -147,7 +160,7 @@ def spend_by_day(t: Tables) -> DataFrame:
 def run_history(t: Tables) -> DataFrame:
     """Per chapter the sums over its runs, the latest run and the distinct models."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return t.translations.distinct().groupBy("chapter_id").agg(
+    return _runs(t).groupBy("chapter_id").agg(
         F.count("*").alias("runs"), ledger.money("cost_usd").alias("cost"), total("prompt_tokens").cast("long").alias("prompt"),
         F.max_by("model", F.struct("created_at", "id")).alias("latest_model"), F.max("created_at").alias("latest_at"),
         F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
@@ -160,7 +173,7 @@ def run_history(t: Tables) -> DataFrame:
 )
 def ledger_hosts(t: Tables) -> DataFrame:
     """Ledger rows that used anything, per host; zero-usage rows are not recorded."""
-    used = t.ai_usage.distinct().where("NOT (prompt_tokens = 0 AND completion_tokens = 0 AND cost_usd = 0)")
+    used = _calls(t).where("NOT (prompt_tokens = 0 AND completion_tokens = 0 AND cost_usd = 0)")
     host = F.coalesce(F.regexp_replace(F.lower("host"), r"^www\.", ""), F.lit("unknown"))
     return used.groupBy(host.alias("host")).agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"))
 
@@ -171,7 +184,7 @@ def ledger_hosts(t: Tables) -> DataFrame:
 )
 def usage_added_up(t: Tables) -> DataFrame:
     """Usage as a monoid: fields add, the last non-empty model stays."""
-    return t.ai_usage.distinct().where("chapter_id IS NOT NULL").groupBy("chapter_id").agg(
+    return _calls(t).where("chapter_id IS NOT NULL").groupBy("chapter_id").agg(
         F.sum("prompt_tokens").alias("prompt"), F.sum("completion_tokens").alias("completion"), F.max_by(F.nullif("model", F.lit("")), "id").alias("model")
     )
 
@@ -182,7 +195,7 @@ def usage_added_up(t: Tables) -> DataFrame:
 )
 def costliest_books(t: Tables) -> DataFrame:
     """The five costliest books of every owner, ties by id."""
-    g = ledger.chained(t.translations.distinct(), _own(t)).groupBy("owner", "book_id").agg(ledger.money("cost_usd").alias("cost"))
+    g = ledger.chained(_runs(t), _own(t)).groupBy("owner", "book_id").agg(ledger.money("cost_usd").alias("cost"))
     return top_k(g, "owner", [F.col("cost").desc(), F.col("book_id")], 5)
 
 
