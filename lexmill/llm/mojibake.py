@@ -286,7 +286,8 @@ def garbled_values(fields: DataFrame) -> DataFrame:
     hits = suspects.select("key", F.explode("tokens").alias("form")).join(table, "form").groupBy("key", "chain").agg(F.count("*").alias("n"))
     hits = hits.where(F.col("n") >= MIN_HITS).groupBy("key").agg(F.collect_list(F.struct("chain", "n")).alias("hits"))
     chosen = stage(suspects.select("key", "lost").join(hits, "key", "left").where("lost OR hits IS NOT NULL"))
-    texts = fields.join(small(chosen), "key").dropDuplicates(["key"]).select("lang", "text", "key", "lost", "hits")
+    few = fields.join(small(chosen.select("key")), "key", "left_semi").dropDuplicates(["key"])  # only keys may be broadcast
+    texts = few.join(chosen, "key").select("lang", "text", "key", "lost", "hits")
     return texts.mapInArrow(_restored(sets), "key string, restored string, whole boolean")
 
 
