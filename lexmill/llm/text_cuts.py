@@ -89,7 +89,7 @@ def cut_fields(chapters: DataFrame, books: DataFrame, lines: DataFrame, labels:
     x = opened.join(unknown, "token", "left").withColumns(
         {"site_key": F.coalesce("site", F.lit("")), "n_key": F.floor(F.col("n") / 4), "bytes_key": F.floor(F.col("bytes") / 4)}
     )
-    x = x.join(F.broadcast(stage(sizes[0])), ["site_key", "field", "n_key"], "left").join(F.broadcast(stage(sizes[1])), ["site_key", "field", "bytes_key"], "left")
+    x = x.join(small(stage(sizes[0])), ["site_key", "field", "n_key"], "left").join(small(stage(sizes[1])), ["site_key", "field", "bytes_key"], "left")
     evidence = F.when(F.col("word_cut"), "word").when(F.col("n_limit") | F.col("bytes_limit"), "limit").otherwise("sentence")
     residue = page_text.residue_content(labels).select(F.col("id").alias("chapter_id"), F.lit("content_source").alias("field"))
     fields = mojibake.library_fields(chapters.withColumn("title_source", F.lit(None).cast("string")), books)
