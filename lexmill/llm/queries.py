@@ -133,7 +133,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of its characters that stand verbatim in another one."""
-    return shared_spans.shared_share(*shared_spans.shared_spans(table(spark, sf_dir, "documents")))
+    return shared_spans.shared_share(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import chunks, codes, joined, signed, winnow
+from lexmill.functions.rolling import chunks, codes, joined, signed, windows, winnow
 from lexmill.runtime import small, stage
 
 MIN_LEN = 200
@@ -91,6 +91,16 @@ def copy_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(reps, ["k", "n"]).select("id", "rep", "n").distinct()
 
 
+def _repeated(df: DataFrame, id_col: str, text_col: str, min_len: int, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, copies, hits): one text of every copy class, the members of the classes, kept windows seen in two texts or more."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where((F.length("text") >= min_len) & F.col("id").isNotNull())
+    copies = stage(copy_classes(docs, "id", "text"))
+    docs = docs.join(small(copies.where("id <> rep").select("id")), "id", "left_anti")
+    kept = stage(docs.mapInArrow(_kept(window, min_len - window + 1), _KEPT))
+    again = kept.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    return docs, copies, stage(kept.join(again, "h"))
+
+
 def shared_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, window: int = WINDOW
 ) -> tuple[DataFrame, DataFrame]:
@@ -98,13 +108,7 @@ def shared_spans(
 
     spans: id_a < id_b (class representatives), start_a, start_b, length in code points. copies: id, rep, n.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where((F.length("text") >= min_len) & F.col("id").isNotNull())
-    copies = stage(copy_classes(docs, "id", "text"))
-    others = small(copies.where("id <> rep").select("id"))
-    docs = docs.join(others, "id", "left_anti")
-    kept = stage(docs.mapInArrow(_kept(window, min_len - window + 1), _KEPT))
-    again = kept.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    hits = stage(kept.join(again, "h"))
+    docs, copies, hits = _repeated(df, id_col, text_col, min_len, window)
     x, y = hits.toDF("h", "a", "x"), hits.toDF("h", "b", "y")
     seeds = (
         x.join(y, "h").where("a < b").select("a", "b", "x", "y")
@@ -132,19 +136,35 @@ def sharing_pairs(spans: DataFrame, copies: DataFrame) -> DataFrame:
     return pairs.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
 
 
-def shared_share(spans: DataFrame, copies: DataFrame) -> DataFrame:
+def _all_windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for i, j in chunks(texts):
+                c, offsets = joined(texts[i:j])
+                h = windows(c, size)
+                owner = np.repeat(np.arange(j - i), np.diff(offsets))
+                at = np.flatnonzero(owner[: len(h)] == owner[size - 1 : size - 1 + len(h)])
+                yield pa.record_batch([pa.array(ids[i:j][owner[at]]), pa.array((at - offsets[owner[at]]).astype(np.int32)), signed(h[at])], ["id", "pos", "h"])
+
+    return run
+
+
+def shared_share(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN, window: int = WINDOW) -> DataFrame:
     """Per record the number of its code points that stand verbatim in another record: (doc_id, shared_chars, n_spans).
 
-    Intervals that touch or overlap are merged. A member of a copy class is shared whole.
+    No pairs are made: in the texts that share a kept window every window of min_len is counted, and the repeated ones merge
+    into maximal intervals. A member of a copy class is shared whole.
     """
-    sides = spans.select(F.col("id_a").alias("id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
-        spans.select(F.col("id_b").alias("id"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
-    )
-    merged = sides.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("v")).select(
+    docs, copies, hits = _repeated(df, id_col, text_col, min_len, window)
+    some = docs.join(small(stage(hits.select("id").distinct())), "id", "left_semi")
+    every = stage(some.mapInArrow(_all_windows(min_len), _KEPT))
+    again = every.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    merged = every.join(again, "h").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("v")).select(
         "id",
         F.expr(
-            "aggregate(v, named_struct('n', 0, 'k', 0, 'end', -1), (acc, x) -> named_struct("
-            "'n', acc.n + greatest(0, x.e - greatest(x.s, acc.end)), 'k', acc.k + if(x.s > acc.end, 1, 0), 'end', greatest(acc.end, x.e)))"
+            f"aggregate(v, named_struct('n', 0, 'k', 0, 'end', -1), (acc, x) -> named_struct("
+            f"'n', acc.n + {min_len} - greatest(0, acc.end - x), 'k', acc.k + if(x > acc.end, 1, 0), 'end', x + {min_len}))"
         ).alias("r"),
     )
     part = merged.select("id", F.col("r.n").alias("shared_chars"), F.col("r.k").alias("n_spans"))

@@ -297,7 +297,7 @@ def test_shared_spans_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     spans, copies = shared_spans.shared_spans(df)
     assert rows(shared_spans.sharing_pairs(spans, copies)) == want and want
-    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_share(spans, copies).collect()} == share
+    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_share(df).collect()} == share
 
 
 def test_normal_form_is_stable():
