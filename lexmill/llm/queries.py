@@ -47,9 +47,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per site and repeated line the number of chapters it stands in."""
-    found = _site_lines(spark, sf_dir)
-    return found.groupBy("site", "line_hash").agg(F.count_distinct("id").alias("n_chapters"), F.count("*").alias("n_lines"))
+    """Per site its repeated lines (one form of each), the chapters each stands in and how often it stands there."""
+    chapters, _ = _library(spark, sf_dir)
+    docs = chapters.where("id IS NOT NULL").select("id", "content_source").dropDuplicates(["id"])
+    return site_lines.listed(docs, stage(_site_lines(spark, sf_dir)))
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

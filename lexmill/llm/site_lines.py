@@ -122,6 +122,16 @@ def site_lines(docs: DataFrame, text_col: str = "content_source", min_docs: int
     return whole.join(counted, ["site", "line_hash"]).select("site", "id", "line_no", "line_hash")
 
 
+def listed(docs: DataFrame, found: DataFrame, text_col: str = "content_source") -> DataFrame:
+    """(site, line, n_chapters, n_lines): every repeated line once, as it stands in the first document that holds it."""
+    each = found.groupBy("site", "line_hash").agg(
+        F.count_distinct("id").alias("n_chapters"), F.count("*").alias("n_lines"), F.min(F.struct("id", "line_no")).alias("first")
+    )
+    texts = docs.join(small(stage(each.select("first.id").distinct())), "id", "left_semi")
+    line = F.regexp_replace(F.element_at(F.split(text_col, "\n", -1), F.col("first.line_no")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return each.withColumn("id", F.col("first.id")).join(texts, "id").select("site", line.alias("line"), "n_chapters", "n_lines")
+
+
 def without_lines(docs: DataFrame, found: DataFrame, text_col: str = "content_source") -> DataFrame:
     """The texts of docs (id, text) without the found lines (id, line_no); a text without such lines stays as it is."""
     gone = found.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
