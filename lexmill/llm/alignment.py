@@ -1,8 +1,10 @@
 """Sentence alignment in bilingual chapters (problem 4).
 
-Translation tables are learned from the library itself. In at most TRAIN_CHAPTERS chapters of each language pair, sentences
-that alone share a number are the first pairs; lexical translation probabilities are estimated on them in both directions
-(EM), the chapters are aligned, and the tables estimated again on the aligned pairs. Then every chapter is aligned: each
+Translation tables are learned from the library itself, from all its chapters. Sentences that alone share a number are the
+first pairs; lexical translation probabilities are estimated on them in both directions (EM), the chapters are aligned, and
+the tables estimated again on the aligned pairs. EM runs in blocks of about BLOCK_CHAPTERS chapters of a language pair; the
+expected counts of all blocks are added up before they become probabilities. Vocabularies and rarities are counted over all
+sentences. Then every chapter is aligned: each
 sentence becomes a bag of expected words of the other language, weighted by probability and rarity; an inverted index from
 words to the sentences of the other side gives its scores; pairs that are best in both directions stand, and a sentence left
 over joins the pair beside it if its bag is covered by that pair's other side (a merge or a split).
@@ -21,15 +23,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.rolling import codes
 from lexmill.llm.lookalikes import LATIN_CLASSES, plain
-from lexmill.runtime import small
+from lexmill.runtime import small, stage
 
-#: Bound of the sample the tables are fitted on, chapters of one language pair.
-TRAIN_CHAPTERS = 300
+#: Chapters of one language pair on which EM runs at a time; every chapter is in one block.
+BLOCK_CHAPTERS = 300
+#: Expected counts below this share of their word in a block are not handed on; a probability loses at most this much.
+LEAST_SHARE = 0.005
 MIN_COUNT = 4
 MIN_PROBABILITY = 0.08
 KEEP = 6
@@ -85,11 +89,9 @@ def words(s: str, is_plain: bool = False) -> tuple[set[str], set[str]]:
 Table = dict[str, list[tuple[str, float]]]
 
 
-def em(pairs: list[tuple[set[str], set[str]]], rounds: int = 5) -> Table:
-    """Lexical translation probabilities p(t | s) from pairs of bags, the best KEEP of each s."""
-    count_s, count_t = Counter(w for a, _ in pairs for w in a), Counter(w for _, b in pairs for w in b)
-    ids = {w: k for k, w in enumerate(w for w, n in count_s.items() if n >= MIN_COUNT)}
-    idt = {w: k for k, w in enumerate(w for w, n in count_t.items() if n >= MIN_COUNT)}
+def expected_counts(pairs: list[tuple[set[str], set[str]]], known_s: Iterable[str], known_t: Iterable[str], rounds: int = 5):
+    """(words s, words t, row, column, mass): how often s is expected to stand for t in the pairs after some rounds of EM, by cell."""
+    ids, idt = {w: k for k, w in enumerate(known_s)}, {w: k for k, w in enumerate(known_t)}
     rows, cols, owner = [], [], []
     n_owner = 0
     for a, b in pairs:
@@ -100,7 +102,8 @@ def em(pairs: list[tuple[set[str], set[str]]], rounds: int = 5) -> Table:
             owner.append(np.array(list(range(n_owner, n_owner + len(y))) * len(x)))
             n_owner += len(y)
     if not rows:
-        return {}
+        none = np.zeros(0, dtype=np.int64)
+        return list(ids), list(idt), none, none, np.zeros(0)
     r, c, o = np.concatenate(rows), np.concatenate(cols), np.concatenate(owner)
     cell, inverse = np.unique(r.astype(np.int64) * len(idt) + c, return_inverse=True)
     cell_row = cell // len(idt)
@@ -110,13 +113,20 @@ def em(pairs: list[tuple[set[str], set[str]]], rounds: int = 5) -> Table:
         share = w / np.bincount(o, weights=w, minlength=n_owner)[o]
         mass = np.bincount(inverse, weights=share, minlength=len(cell))
         p = mass / np.bincount(cell_row, weights=mass, minlength=len(ids))[cell_row]
+    return list(ids), list(idt), cell_row, cell % len(idt), mass
+
+
+def em(pairs: list[tuple[set[str], set[str]]], rounds: int = 5) -> Table:
+    """Lexical translation probabilities p(t | s) from pairs of bags, the best KEEP of each s."""
+    count_s, count_t = Counter(w for a, _ in pairs for w in a), Counter(w for _, b in pairs for w in b)
+    s_words, t_words, row, col, mass = expected_counts(pairs, (w for w, n in count_s.items() if n >= MIN_COUNT), (w for w, n in count_t.items() if n >= MIN_COUNT), rounds)
+    p = mass / np.bincount(row, weights=mass, minlength=len(s_words))[row]
     keep = p >= MIN_PROBABILITY
-    s_words, t_words = list(ids), list(idt)
     out: Table = defaultdict(list)
     for k in np.flatnonzero(keep)[np.argsort(-p[keep], kind="stable")]:
-        own = out[s_words[cell_row[k]]]
+        own = out[s_words[row[k]]]
         if len(own) < KEEP:
-            own.append((t_words[cell[k] % len(idt)], float(p[k])))
+            own.append((t_words[col[k]], float(p[k])))
     return dict(out)
 
 
@@ -217,7 +227,8 @@ class _Bags:
 class Aligner:
     """Aligns the sentences of one chapter with the tables of its language pair."""
 
-    def __init__(self, forward: Table, backward: Table, rarity_s: dict[str, float], rarity_t: dict[str, float]):
+    def __init__(self, forward: Table, backward: Table, rarity_s: dict[str, float], rarity_t: dict[str, float], fitted: bool = False):
+        self.fitted = fitted
         self.source, self.target = _Vocabulary(rarity_s), _Vocabulary(rarity_t)
         self.forward = _Direction(forward, self.source.ids, self.target.ids, rarity_t)
         self.backward = _Direction(backward, self.target.ids, self.source.ids, rarity_s)
@@ -279,31 +290,78 @@ def _rarity(bags: list[set[str]]) -> dict[str, float]:
     return {w: math.log(n / c) for w, c in Counter(w for b in bags for w in b).items() if c >= MIN_COUNT}
 
 
-def fit(source: list[str], target: list[str]) -> tuple[Table, Table, dict[str, float], dict[str, float]]:
-    """The arguments of an Aligner, learned from chapters (texts side by side)."""
+def _bags(source: list[str], target: list[str]):
+    """Marked sentences of both sides of chapters, and the words and numbers of each sentence."""
     split = [(marked_sentences(a), marked_sentences(b)) for a, b in zip(source, target, strict=True)]
-    bags = [([words(s) for s, _ in a], [words(s) for s, _ in b]) for a, b in split]
-    rarity_s, rarity_t = _rarity([w for a, _ in bags for w, _ in a]), _rarity([w for _, b in bags for w, _ in b])
+    return split, [([words(s) for s, _ in a], [words(s) for s, _ in b]) for a, b in split]
+
+
+def _seeds(bags) -> list[tuple[set[str], set[str]]]:
+    """Words of the sentences of a chapter that alone share a number."""
     seeds = []
     for a, b in bags:
         in_s, in_t = Counter(n for _, ns in a for n in ns), Counter(n for _, ns in b for n in ns)
         where_t = {n: w for w, ns in b for n in ns}
         seeds += [(w, where_t[n]) for w, ns in a for n in ns if in_s[n] == 1 and in_t.get(n) == 1]
+    return seeds
+
+
+def _matched(aligner: Aligner, split, bags) -> list[tuple[set[str], set[str]]]:
+    """Words of the sentences the aligner pairs."""
+    return [(x[i][0], y[j][0]) for (a, b), (x, y) in zip(split, bags, strict=True) for i, j in aligner.pairs(a, b, grow=False)]
+
+
+def fit(source: list[str], target: list[str]) -> tuple[Table, Table, dict[str, float], dict[str, float]]:
+    """The arguments of an Aligner, learned from chapters (texts side by side) that fit one block."""
+    split, bags = _bags(source, target)
+    rarity_s, rarity_t = _rarity([w for a, _ in bags for w, _ in a]), _rarity([w for _, b in bags for w, _ in b])
+    seeds = _seeds(bags)
     aligner = Aligner(em(seeds), em([(b, a) for a, b in seeds]), rarity_s, rarity_t)
-    seeds = [(x[i][0], y[j][0]) for (a, b), (x, y) in zip(split, bags, strict=True) for i, j in aligner.pairs(a, b, grow=False)]
+    seeds = _matched(aligner, split, bags)
     return em(seeds), em([(b, a) for a, b in seeds]), rarity_s, rarity_t
 
 
-def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id")
-    forward, backward, rarity_s, rarity_t = fit(list(pdf["source"]), list(pdf["target"]))
-    rows = [(kind, s, t, p) for kind, table in (("f", forward), ("b", backward)) for s, v in table.items() for t, p in v]
-    rows += [(kind, w, None, r) for kind, rarity in (("s", rarity_s), ("t", rarity_t)) for w, r in rarity.items()]
-    out = pd.DataFrame(rows, columns=["kind", "word", "other", "weight"])
-    out.insert(0, "pair", pdf["pair"].iloc[0])
+_WEIGHTS = "pair string, kind string, word string, other string, weight double, n long"
+
+
+def _weights(pair: str, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["kind", "word", "other", "weight", "n"]).astype({"weight": "float64", "n": "int64"})
+    out.insert(0, "pair", pair)
     return out
 
 
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sentences with each word in one block, by side; the row without a word counts all."""
+    pdf = pdf.drop_duplicates("id")
+    _, bags = _bags(list(pdf["source"]), list(pdf["target"]))
+    rows = []
+    for kind, side in (("s", [w for a, _ in bags for w, _ in a]), ("t", [w for _, b in bags for w, _ in b])):
+        rows += [(kind, w, None, 0.0, n) for w, n in Counter(w for ws in side for w in ws).items()]
+        rows.append((kind, None, None, 0.0, len(side)))
+    return _weights(pdf["pair"].iloc[0], rows)
+
+
+def _estimated(models):
+    """Expected counts of one block, both directions: pairs by shared numbers, or, where models has tables, by the aligner."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pair = pdf["pair"].iloc[0]
+        pdf = pdf.sort_values("id").drop_duplicates("id")
+        aligner = models.value[pair]
+        split, bags = _bags(list(pdf["source"]), list(pdf["target"]))
+        found = _matched(aligner, split, bags) if aligner.fitted else _seeds(bags)
+        rows = []
+        for kind, pairs, ids, idt in (("f", found, aligner.source.ids, aligner.target.ids), ("b", [(b, a) for a, b in found], aligner.target.ids, aligner.source.ids)):
+            count_s, seen_t = Counter(w for a, _ in pairs for w in sorted(a) if w in ids), sorted({w for _, b in pairs for w in b if w in idt})
+            s, t, row, col, mass = expected_counts(pairs, count_s, seen_t)
+            total = np.bincount(row, weights=mass, minlength=len(s))
+            rows += [(kind, w, None, float(total[k]), n) for k, (w, n) in enumerate(count_s.items())]
+            rows += [(kind, s[row[k]], t[col[k]], float(mass[k]), 0) for k in np.flatnonzero(mass >= LEAST_SHARE * total[row])]
+        return _weights(pair, rows)
+
+    return run
+
+
 def bilingual(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """(id, pair, source, target) of chapters that have both texts; pair names the two languages."""
     langs = small(books.select(F.col("id").alias("book_id"), F.concat_ws(">", "source_lang", "target_lang").alias("pair")).dropDuplicates(["book_id"]))
@@ -311,23 +369,35 @@ def bilingual(chapters: DataFrame, books: DataFrame) -> DataFrame:
     return both.where("id IS NOT NULL AND length(source) > 0 AND length(target) > 0").join(langs, "book_id").select("id", "pair", "source", "target")
 
 
-def learn(docs: DataFrame, train_chapters: int = TRAIN_CHAPTERS) -> dict[str, Aligner]:
-    """An aligner for each language pair, fitted on at most train_chapters chapters of it (those of least hash)."""
-    order = F.xxhash64("id")
-    counts = {r["pair"]: r["n"] for r in docs.groupBy("pair").agg(F.count("*").alias("n")).collect()}  # a row per language pair
-    part = F.lit(1.0)
-    for pair, n in counts.items():
-        part = F.when(F.col("pair") == pair, F.lit(min(1.0, train_chapters / n))).otherwise(part)
-    sample = docs.where((F.pmod(order, F.lit(1 << 20)) / float(1 << 20)) < part).dropDuplicates(["id"])
-    rows = sample.groupBy("pair").applyInPandas(_fitted, "pair string, kind string, word string, other string, weight double").collect()
-    parts: dict[str, tuple[Table, Table, dict, dict]] = {}
-    for pair, kind, word, other, weight in rows:
-        f, b, s, t = parts.setdefault(pair, ({}, {}, {}, {}))
-        if kind in "fb":
-            (f if kind == "f" else b).setdefault(word, []).append((other, weight))
-        else:
-            (s if kind == "s" else t)[word] = weight
-    return {pair: Aligner(*p) for pair, p in parts.items()}
+def _probabilities(weights: DataFrame) -> DataFrame:
+    """(pair, kind, word, other, p) from the expected counts of all blocks, the best KEEP of each word."""
+    added = stage(weights.groupBy("pair", "kind", "word", "other").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")))
+    whole = added.where(F.col("other").isNull() & (F.col("n") >= MIN_COUNT))
+    flipped = whole.select("pair", F.when(F.col("kind") == "f", "b").otherwise("f").alias("kind"), F.col("word").alias("other"))
+    cells = added.where("other IS NOT NULL").join(whole.select("pair", "kind", "word", F.col("weight").alias("total")), ["pair", "kind", "word"])
+    cells = cells.select("pair", "kind", "word", "other", (F.col("weight") / F.col("total")).alias("p")).where(F.col("p") >= MIN_PROBABILITY)
+    best = F.row_number().over(Window.partitionBy("pair", "kind", "word").orderBy(F.desc("p"), "other"))
+    return cells.join(flipped, ["pair", "kind", "other"], "left_semi").withColumn("k", best).where(F.col("k") <= KEEP).select("pair", "kind", "word", "other", "p")
+
+
+def learn(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> dict[str, Aligner]:
+    """An aligner for each language pair, fitted on all its chapters in blocks of about block_chapters."""
+    context = docs.sparkSession.sparkContext
+    sizes = docs.groupBy("pair").agg(F.ceil(F.count("*") / F.lit(block_chapters)).alias("n_blocks"))  # a row per language pair
+    blocks = docs.join(F.broadcast(sizes), "pair").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks")).select("pair", "block", "id", "source", "target").groupBy("pair", "block")
+    counts = stage(blocks.applyInPandas(_counted, _WEIGHTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")))
+    n: dict[tuple[str, str], int] = {(r.pair, r.kind): r.n + 1 for r in counts.where("word IS NULL").collect()}
+    rarity: dict[str, dict[str, dict[str, float]]] = {pair: {"s": {}, "t": {}} for pair, _ in n}
+    for pair, kind, word, c in counts.where(F.col("word").isNotNull() & (F.col("n") >= MIN_COUNT)).orderBy("pair", "kind", "word").collect():
+        rarity[pair][kind][word] = math.log(n[pair, kind] / c)
+    models = {pair: Aligner({}, {}, r["s"], r["t"]) for pair, r in rarity.items()}
+    for _ in range(2):
+        data = context.broadcast(models)
+        tables: dict[str, dict[str, Table]] = {pair: {"f": {}, "b": {}} for pair in models}
+        for pair, kind, word, other, p in _probabilities(blocks.applyInPandas(_estimated(data), _WEIGHTS)).orderBy("pair", "kind", "word", F.desc("p"), "other").collect():
+            tables[pair][kind].setdefault(word, []).append((other, p))
+        models = {pair: Aligner(t["f"], t["b"], rarity[pair]["s"], rarity[pair]["t"], True) for pair, t in tables.items()}
+    return models
 
 
 def _aligned(models):

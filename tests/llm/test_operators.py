@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and hand-made cases."""
 
+import math
 import random
 import re
 import unicodedata
@@ -135,6 +136,21 @@ def test_alignment_recovers_shuffled_translation():
     assert hit / total > 0.97 and hit / made > 0.97
 
 
+def test_alignment_learns_from_all_chapters(spark):
+    """A name that only a few of many chapters hold is known, with its translation and its rarity over all sentences."""
+    rng = random.Random(3)
+    words = {w: w[::-1] + "o" for w in "alpha beta gamma delta epsilon zeta theta kappa lambda omega sigma tau".split()}
+    docs = []
+    for k in range(1500):
+        said = [rng.choice(list(words)) for _ in range(4)] + (["quirrel"] if k % 250 == 7 else []) + [str(rng.randint(10, 999))]
+        docs.append((k, "en>xx", " ".join(said) + ".", " ".join({**words, "quirrel": "lerriuq"}.get(w, w) for w in said) + "."))
+    a = alignment.learn(spark.createDataFrame(docs + docs[:50], "id long, pair string, source string, target string"))["en>xx"]
+    k = a.source.ids["quirrel"]
+    known = a.forward.to[a.forward.start[k] : a.forward.start[k + 1]]
+    assert a.target.ids["lerriuq"] in known
+    assert abs(a.backward.rarity[k] - math.log(1501 / 6)) < 1e-9
+
+
 def test_cut_sentences_pair_with_nothing():
     a = alignment.Aligner({}, {}, {}, {})
     assert a.pairs([("No end 5", False)], [("無 5。", True)]) == []
