@@ -195,11 +195,13 @@ def sentence_counts(t: Tables) -> DataFrame:
 
 @query()
 def inline_tokens(t: Tables) -> DataFrame:
-    """Words of the first paragraph rendered as inline markup, with their offsets."""
-    c = t.chapters.select("id", F.split("content_source", "\n", 2)[0].alias("p")).dropDuplicates(["id"])
+    """Words of all paragraphs rendered as inline markup: their number, and the characters of the paragraphs up to their last words."""
+    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
+    p = c.select(F.col("id").alias("chapter_id"), F.explode(F.split("content_source", "\n", -1)).alias("p"))
     kind = "array<struct<text:string,start:int,end:int,tags:array<string>,is_word:boolean,is_break:boolean>>"
-    x = c.select(F.col("id").alias("chapter_id"), F.explode(column(P.tokens, kind)(X.markup(F.col("p")))).alias("w"))
-    return x.where("w.is_word").groupBy("chapter_id").agg(F.count("*").alias("words"), F.max("w.end").alias("chars"))
+    x = p.select("chapter_id", column(P.tokens, kind)(X.markup(F.col("p"))).alias("w"))
+    x = x.select("chapter_id", F.transform(F.filter("w", lambda w: w.is_word), lambda w: w.end).alias("ends")).where(F.size("ends") > 0)
+    return x.groupBy("chapter_id").agg(F.sum(F.size("ends")).alias("words"), F.sum(F.array_max("ends")).alias("chars"))
 
 
 QUERIES, SQL = query.queries, query.sql

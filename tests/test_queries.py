@@ -47,3 +47,10 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_inline_tokens_cover_all_paragraphs(spark, tmp_path):
+    texts = [(1, "one **two**\nthree <b>four\n\nfive & six "), (2, "\nonly later"), (3, None), (4, ""), (1, "one **two**\nthree <b>four\n\nfive & six ")]
+    spark.createDataFrame(texts, "id long, content_source string").write.parquet(f"{tmp_path}/chapters.parquet")
+    got = {r.chapter_id: (r.words, r.chars) for r in CORE["inline_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {1: (7, 7 + 10 + 10), 2: (2, 10)}
