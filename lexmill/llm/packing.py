@@ -4,7 +4,7 @@ Documents are dealt to blocks of about BLOCK items by a hash of their id. On eac
 a crossover injects whole well-filled containers of one parent into the other, drops the containers that now hold
 duplicates and best-fits the displaced documents. After each epoch every island sends its elite to its neighbour on a
 ring; after the last the best island of a block stands. Documents of poorly filled containers are then dealt anew and
-packed in a second round, which is kept where it needs fewer containers.
+packed in further rounds, each kept where it needs fewer containers, until a round gains next to nothing.
 
 A document larger than the capacity is cut into full pieces, each a container of its own, and a remainder that is packed
 like any other document; no other document is split. Size is n_tokens, or the UTF-8 bytes of the text plus one end token
@@ -17,6 +17,7 @@ from __future__ import annotations
 import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 
 from lexmill.runtime import stage
 
-BLOCK = 512
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 10
-#: Containers filled less than this are opened again for the second round.
-POOR = 0.97
+BLOCK = 4096
+ISLANDS = 3
+EPOCHS = 3
+POPULATION = 6
+GENERATIONS = 60
+#: Containers filled less than this are opened again for the next round.
+POOR = 0.995
+#: A class goes through another round if the last one saved a container, and at least this share of the opened ones.
+LEAST_GAIN = 0.0002
 _M = 1 << 20
 
 Bins = list[list[int]]
@@ -95,7 +98,7 @@ def evolve(sizes: list[int], capacity: int, seeds: list[Bins], rng: random.Rando
 def _epoch(epoch: int, population: int, generations: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a few blocks at a time: the arrays of a block become Python lists
-        for batch in (b.slice(k, 16) for b in batches for k in range(0, b.num_rows, 16)):
+        for batch in (b.slice(k, 2) for b in batches for k in range(0, b.num_rows, 2)):
             solutions, counts, squares = [], [], []
             for r in batch.to_pylist():
                 rng = random.Random(f"{epoch}/{r['bin_class']}/{r['block']}/{r['island']}")
@@ -173,15 +176,23 @@ def pack(
     full = cut.where("whole > 0").select("bin_class", "capacity", "doc_id", F.explode(F.expr("sequence(1, cast(whole as int))")).alias("piece_no"))
     full = full.select("bin_class", F.concat_ws("-", F.lit("d"), "doc_id", "piece_no").alias("container_id"), "doc_id", "piece_no", F.col("capacity").alias("tokens"), "capacity")
     items = cut.select("bin_class", "capacity", "doc_id", (F.col("n") - F.col("whole") * F.col("capacity")).alias("size"))
-    first = stage(pack_blocks(items, block, islands, epochs, population, generations, 1))
-    fill = first.groupBy("bin_class", "bin").agg((F.sum("size") / F.first("capacity")).alias("fill"))
-    opened = stage(first.join(fill.where(F.col("fill") < poor), ["bin_class", "bin"]).drop("fill"))
-    second = stage(pack_blocks(opened.drop("bin"), block, islands, epochs, population, generations, 2))
-    # one row per class
-    counts = opened.groupBy("bin_class").agg(F.count_distinct("bin").alias("old")).join(second.groupBy("bin_class").agg(F.count_distinct("bin").alias("new")), "bin_class")
-    better = F.broadcast(stage(counts.where("new < old").select("bin_class")))
-    gone = opened.join(better, "bin_class", "left_semi").select("bin_class", "bin").distinct()
-    packed = first.join(gone, ["bin_class", "bin"], "left_anti").unionByName(second.join(better, "bin_class", "left_semi"))
+    done, salt = [], 1
+    current = stage(pack_blocks(items, block, islands, epochs, population, generations, salt))
+    while True:
+        fill = current.groupBy("bin_class", "bin").agg((F.sum("size") / F.first("capacity")).alias("fill"))
+        marked = stage(current.join(fill, ["bin_class", "bin"]))
+        opened = marked.where(F.col("fill") < poor).drop("fill")
+        salt += 1
+        again = stage(pack_blocks(opened.drop("bin"), block, islands, epochs, population, generations, salt))
+        # one row per class
+        counts = opened.groupBy("bin_class").agg(F.count_distinct("bin").alias("old")).join(again.groupBy("bin_class").agg(F.count_distinct("bin").alias("new")), "bin_class").collect()
+        better = [r.bin_class for r in counts if r.new < r.old]
+        more = [r.bin_class for r in counts if r.old - r.new >= max(1, LEAST_GAIN * r.old)]
+        done += [marked.where(F.col("fill") >= poor).drop("fill"), opened.where(~F.col("bin_class").isin(better)), again.where(F.col("bin_class").isin(better) & ~F.col("bin_class").isin(more))]
+        if not more:
+            break
+        current = again.where(F.col("bin_class").isin(more))
+    packed = reduce(DataFrame.unionByName, done)
     whole = cut.select("bin_class", "doc_id", (F.col("whole") + 1).cast("int").alias("piece_no"))
     rest = packed.join(whole, ["bin_class", "doc_id"]).select("bin_class", F.col("bin").alias("container_id"), "doc_id", "piece_no", F.col("size").alias("tokens"), "capacity")
     return full.unionByName(rest).withColumnRenamed("capacity", "capacity_tokens")

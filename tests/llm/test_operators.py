@@ -246,6 +246,16 @@ def test_genetic_packing_is_valid(sizes, seed):
     assert all(sum(sizes[i] for i in b) <= 100 for b in best) and len(best) <= len(plain)
 
 
+def test_packing_needs_no_more_than_best_fit_decreasing(spark):
+    docs, bins = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "bins"))
+    sizes = sorted((r.n for r in packing.sized(docs).collect()), reverse=True)
+    got = {r.bin_class: r.n for r in packing.pack(docs, bins).groupBy("bin_class").agg(F.count_distinct("container_id").alias("n")).collect()}
+    for r in bins.collect():
+        rest = sorted((n - (n - 1) // r.capacity_tokens * r.capacity_tokens for n in sizes), reverse=True)
+        plain = sum((n - 1) // r.capacity_tokens for n in sizes) + len(packing.best_fit(list(range(len(rest))), rest, r.capacity_tokens, []))
+        assert got[r.bin_class] <= plain, (r.bin_class, got, plain)
+
+
 def test_packing_places_every_token_once(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = QUERIES["p8_containers"](spark, SF).cache()
