@@ -2,13 +2,18 @@
 
 1. Inventory: per language the characters that occur in at least CLEAN_SHARE of its values are clean, and so are those that
    compatibility normalization maps to clean ones.
-2. Words of the clean corpus are its single characters and adjacent pairs outside ASCII. Every distinct word is written in
-   each true encoding and read in each wrong one (all chains, double UTF-8 included): the table of garbled forms.
-3. The tokens of values that hold unclean characters are hash-joined with the table, which names the chains of each value.
-4. Along these chains lines, and pieces of lines, are turned back; a piece counts if every character of the result is clean.
-   Replacement characters, C1 controls and private-use characters are traces of a wrong decoding that lost text.
-
-The character sets sent to executors are bounded by Unicode. Null values are clean; rows without an id are left out, repeated rows of one id count once.
+2. Words of the clean corpus: in scripts with blanks every word with a letter outside ASCII, else, where nothing parts words,
+   every character and every pair of neighbours; all of them, however rare. Every distinct word is written in each true
+   encoding and read in each wrong one (all chains, double UTF-8 included): the table (form, chain, original).
+3. The tokens of values that hold unclean characters are hash-joined with the table. A hit names a chain and brings an original.
+4. Pieces of a value are replaced by the originals of its hits, the longest form first, if these give the piece when garbled
+   again; pieces with words that the table lacks are turned back along the chains of the hits. A piece counts if it consists
+   of clean characters only.
+   Replacement characters, C1 controls and private-use characters are traces of a wrong decoding that lost text; such a value
+   is affected even where so much was lost that no word of it is in the table.
+
+All texts are read twice (counts, tokens), those of the affected values once more. The character sets sent to executors are
+bounded by Unicode. Null values are clean; rows without an id are left out, repeated rows of one id count once.
 """
 
 from __future__ import annotations
@@ -31,11 +36,8 @@ CLEAN_SHARE = 0.003
 MIN_CLEAN = 3
 #: The same for what Western code pages show for the bytes of other encodings, which most wrong decodings share.
 CLEAN_SHARE_WESTERN = 0.03
-#: Clean pairs seen in fewer places are left out of the table.
-MIN_WORD = 3
-#: Matching tokens of the chain needed to look at a value.
-MIN_HITS = 1
-
+#: Characters a piece must have to prove a chain between two double-byte encodings.
+PROOF = 4
 _LOST = re.compile("[\ufffd\x80-\x9f\ue000-\uf8ff]")
 _LEGACY = ("gb18030", "big5", "cp932", "euc_jp", "cp949")
 #: (true encoding, wrong encoding); w1252 is Windows-1252 with undefined bytes read as Latin-1, 2x is UTF-8 read twice.
@@ -48,32 +50,18 @@ CHAINS: tuple[tuple[str, str], ...] = (
 
 
 @lru_cache(maxsize=1)
-def _w1252() -> tuple[dict[str, int], str]:
+def _w1252() -> tuple[dict[int, str], dict[int, int]]:
+    """Latin-1 to Windows-1252 where they differ, and back."""
     chars = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)]
-    return {c: b for b, c in enumerate(chars)}, "".join(chars)
+    return {b: c for b, c in enumerate(chars) if ord(c) != b}, {ord(c): b for b, c in enumerate(chars) if ord(c) != b}
 
 
 def _read(raw: bytes, encoding: str, errors: str = "strict") -> str:
-    if encoding == "w1252":
-        chars = _w1252()[1]
-        return "".join(chars[b] for b in raw)
-    return raw.decode(encoding, errors)
+    return raw.decode("latin-1").translate(_w1252()[0]) if encoding == "w1252" else raw.decode(encoding, errors)
 
 
 def _write(text: str, encoding: str) -> bytes:
-    if encoding == "w1252":
-        table = _w1252()[0]
-        try:
-            return bytes(table[c] if c in table else _latin(c) for c in text)
-        except KeyError as e:
-            raise UnicodeEncodeError("w1252", text, 0, 1, str(e)) from e
-    return text.encode(encoding)
-
-
-def _latin(c: str) -> int:
-    if ord(c) > 255:
-        raise KeyError(c)
-    return ord(c)
+    return text.translate(_w1252()[1]).encode("latin-1") if encoding == "w1252" else text.encode(encoding)
 
 
 def garble(text: str, chain: tuple[str, str], errors: str = "strict") -> str:
@@ -92,15 +80,32 @@ def ungarble(text: str, chain: tuple[str, str]) -> str:
     return _read(_write(text, wrong), true)
 
 
-def _inventory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPACED = re.compile("[^\\W_\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]*[^\\W_\\x00-\\x7f\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef][^\\W_\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]*")
+_COUNTS = "lang string, k long, word string, n long"
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of a language with a character (k: the character), places of a pair of neighbours (k: both) and of a word (k: -1)."""
+    high = np.ones(0x110000, dtype=bool)
+    high[:128] = False
     for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         seen: dict[str, Counter[str]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
+        words: Counter[str] = Counter()
+        for lang, text in zip(langs, texts, strict=True):
+            if text and not text.isascii():
                 seen.setdefault(lang or "", Counter()).update(set(text))
-        rows = [(lang, c, n) for lang, counts in seen.items() for c, n in counts.items() if c > "\x7f"]
+                words.update(_SPACED.findall(text))
+        for i, j in chunks(texts):
+            c, _ = joined(texts[i:j])
+            both = high[c[:-1]] & high[c[1:]]
+            k, n = np.unique((c[:-1][both].astype(np.int64) << 21) | c[1:][both], return_counts=True)
+            if len(k):
+                yield pa.record_batch([pa.nulls(len(k), pa.string()), pa.array(k), pa.nulls(len(k), pa.string()), pa.array(n)], ["lang", "k", "word", "n"])
+        rows = [(lang, ord(c), None, n) for lang, counts in seen.items() for c, n in counts.items() if c > "\x7f"]
+        rows += [(None, -1, w, n) for w, n in words.items()]
         if rows:
-            yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "c", "n"])
+            yield pa.record_batch([pa.array([r[x] for r in rows], t) for x, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["lang", "k", "word", "n"])
 
 
 def clean_sets(inventory: list, values: dict[str, int]) -> dict[str, set[str]]:
@@ -117,48 +122,55 @@ def clean_sets(inventory: list, values: dict[str, int]) -> dict[str, set[str]]:
     return out
 
 
-def _pairs(sets):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(0x110000, dtype=bool)
-        for s in sets.value.values():
-            keep[[ord(c) for c in s]] = True
-        keep[:128] = False
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in chunks(texts):
-                c, _ = joined(texts[i:j])
-                both = keep[c[:-1]] & keep[c[1:]]
-                k, n = np.unique((c[:-1][both].astype(np.int64) << 21) | c[1:][both], return_counts=True)
-                if len(k):
-                    yield pa.record_batch([pa.array(k), pa.array(n)], ["k", "n"])
+def forms(words: list[str], pairs: bool = False) -> Iterator[tuple[int, list[str]]]:
+    """(number of a chain, garbled form of every word): "" where a word has none. Words hold no line feed and no question mark.
+
+    pairs: words are pairs of neighbours, needed only where the bytes of neighbours fall into one character.
+    """
+    text = "\n".join(words)
+    for at, (true, wrong) in enumerate(CHAINS):
+        # UTF-8 read as a double-byte encoding: the last bytes of a word run into what follows, the rest still names it
+        joins = true == "utf-8" and wrong in _LEGACY
+        if pairs and not joins:
+            continue
+        raw = text.encode("utf-8" if true == "2x" else true, "replace")
+        for _ in range(2 if true == "2x" else 1):
+            was = raw
+            read = _read(raw, wrong, "replace")
+            raw = read.encode("utf-8") if true == "2x" else was
+        out = read.split("\n")
+        if len(out) != len(words):  # a byte of a wide character read as a line feed: word by word
+            out = [_form(w, CHAINS[at], joins) for w in words]
+        yield at, [f.rstrip("\ufffd") if joins else "" if "\ufffd" in f or "?" in f else f for f in out]
 
-    return run
+
+def _form(word: str, chain: tuple[str, str], joins: bool) -> str:
+    try:
+        return garble(word, chain, "replace" if joins else "strict")
+    except UnicodeError:
+        return ""
 
 
 def _forms(sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean = set().union(*sets.value.values())
+        clean = set().union(*sets.value.values()) if sets.value else set()
+        known, high = clean | {chr(c) for c in range(128)}, {c for c in clean if c > "\x7f"}
         for batch in batches:
-            rows = set()
-            for k in batch.column(0).to_pylist():
-                word = (chr(k >> 21) if k >> 21 else "") + chr(k & 0x1FFFFF)
-                for at, chain in enumerate(CHAINS):
-                    pair_chain = chain[0] == "utf-8" and chain[1] in _LEGACY
-                    if pair_chain != (len(word) == 2):  # pairs only where bytes of neighbours fall into one character
-                        continue
-                    try:
-                        form = garble(word, chain, "replace" if pair_chain else "strict").rstrip("\ufffd")
-                    except UnicodeError:
-                        continue
-                    if form and form != word and not all(c in clean and c > "\x7f" for c in form):
-                        rows.add((form, at))
-            if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32())], ["form", "chain"])
+            keys, words = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            pairs = [chr(k >> 21) + chr(k & 0x1FFFFF) for k in keys[keys >> 21 > 0].tolist()]
+            others = [chr(k) if w is None else w for k, w in zip(keys.tolist(), words, strict=True) if w is not None or 0 <= k < 1 << 21]
+            for of_pairs, own in ((True, pairs), (False, others)):
+                own = [w for w in own if known.issuperset(w) and "\n" not in w and "?" not in w]
+                for at, garbled in forms(own, of_pairs) if own else ():
+                    rows = [(f, w) for f, w in zip(garbled, own, strict=True) if f and f != w and not high.issuperset(f)]
+                    yield pa.record_batch([pa.array([f for f, _ in rows], pa.string()), pa.array([at] * len(rows), pa.int32()), pa.array([w for _, w in rows], pa.string())], ["form", "chain", "original"])
 
     return run
 
 
-_LENGTHS = (1, 2, 3, 4, 6)
+#: Lengths of the garbled forms of characters and pairs; forms from LONG on are looked for only where an unclean character begins them.
+_LENGTHS, LONG = (1, 2, 3, 4, 5, 6, 7, 8), 4
+_RUN = re.compile("[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u3000-\u3002\uff01-\uff0f]+")
 
 
 def _tokens(sets):
@@ -178,7 +190,12 @@ def _tokens(sets):
                     at = [p for p, c in enumerate(line) if c in bad]
                     for p in at:
                         for n in _LENGTHS:
-                            own.update(line[q : q + n] for q in range(max(0, p - n + 1), p + 1))
+                            if n < LONG:
+                                own.update(line[q : q + n] for q in range(max(0, p - n + 1), p + 1))
+                            else:
+                                own.add(line[p : p + n])
+                    if at:
+                        own.update(w for w in _RUN.findall(line) if not bad.isdisjoint(w))
                 key.append(k)
                 lost.append(bool(_LOST.search(text)))
                 tokens.append(list(own))
@@ -192,20 +209,69 @@ _PIECES = re.compile(r"([\s，。、：；？！…「」『』\x20-\x7e]+)")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 
 
-def restore(text: str, chains: list[tuple[str, str]], clean: set[str]) -> tuple[str, int, int]:
-    """(text with all garbled places that can be verified turned back, places turned back, places still unclean)."""
-    fine = lambda s: all(c <= "\x7f" and (c >= " " or c in "\n\t") or c in clean for c in s)
+Hits = dict[tuple[str, str], dict[str, str]]
+
+
+@lru_cache(maxsize=64)
+def _allowed(clean: frozenset[str]) -> frozenset[str]:
+    return clean | {chr(c) for c in range(32, 128)} | {"\n", "\t"}
+
+
+def substituted(piece: str, originals: dict[str, str]) -> str:
+    """piece with every known form replaced by its original, the longest form first; what is no form stays."""
+    out, at, most = [], 0, max(map(len, originals), default=0)
+    while at < len(piece):
+        for n in range(min(most, len(piece) - at), 0, -1):
+            was = originals.get(piece[at : at + n])
+            if was is not None:
+                out.append(was)
+                at += n
+                break
+        else:
+            out.append(piece[at])
+            at += 1
+    return "".join(out)
+
+
+def restore(text: str, hits: Hits, clean: set[str] | frozenset[str]) -> tuple[str, int, int]:
+    """(text with all garbled places that can be verified turned back, places turned back, places still unclean).
+
+    hits: by chain, the chain of most hits first, the originals of the forms found in the text.
+    """
+    fine = _allowed(frozenset(clean)).issuperset
+    proven: set[tuple[str, str]] = set()
+    covered = {chain: set().union(*originals) for chain, originals in hits.items()}
 
     def back(piece: str) -> str | None:
-        for chain in chains:
+        bad = {c for c in piece if not fine(c)}
+        for chain, originals in hits.items():
+            was = None
             try:
-                was = ungarble(piece, chain)
+                if bad <= covered[chain]:
+                    was = substituted(piece, originals)
+                if was is None or not fine(was) or garble(was, chain) != piece:
+                    was = ungarble(piece, chain)  # it holds words that the table lacks
             except UnicodeError:
+                try:
+                    was = ungarble(piece, chain)
+                except UnicodeError:
+                    continue
+            if was == piece:
                 continue
-            if was != piece and fine(was) and was.strip():
-                return was
+            if fine(was) and was.strip():
+                # between two double-byte encodings single characters turn into others by chance
+                if chain[0] not in _LEGACY or chain[1] not in _LEGACY or chain in proven:
+                    return was
+                if sum(c > "\x7f" for c in was) >= PROOF:
+                    proven.add(chain)
+                    return was
         return None
 
+    if any(true in _LEGACY and wrong in _LEGACY for true, wrong in hits):
+        for line in text.split("\n"):  # a first look for the chains that longer pieces prove
+            for piece in () if fine(line) else _PIECES.split(line):
+                if not fine(piece):
+                    back(piece)
     out, turned, left = [], 0, 0
     for line in text.split("\n"):
         if fine(line):
@@ -230,11 +296,15 @@ def restore(text: str, chains: list[tuple[str, str]], clean: set[str]) -> tuple[
 
 def _restored(sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_sets = {lang: frozenset(s) for lang, s in sets.value.items()}
         for batch in batches:
             rows = []
-            for lang, text, key, lost, hits in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
-                order = [CHAINS[h["chain"]] for h in sorted(hits or [], key=lambda h: (-h["n"], h["chain"]))]
-                was, turned, left = restore(text, order, sets.value.get(lang or "", set()))
+            for lang, text, key, lost, found in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
+                by_chain: dict[int, dict[str, str]] = {}
+                for h in sorted(found or [], key=lambda h: (h["chain"], h["form"], h["original"])):
+                    by_chain.setdefault(h["chain"], {}).setdefault(h["form"], h["original"])
+                hits = {CHAINS[c]: by_chain[c] for c in sorted(by_chain, key=lambda c: (-len(by_chain[c]), c))}
+                was, turned, left = restore(text, hits, own_sets.get(lang or "", frozenset()))
                 if lost or turned:
                     rows.append((key, was if turned else None, bool(turned) and not left))
             if rows:
@@ -256,37 +326,24 @@ def library_fields(chapters: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
-def inventory_sets(fields: DataFrame):
-    """Broadcast of the clean characters per language, counted over all fields."""
-    values = {r[0] or "": r[1] for r in fields.groupBy("lang").agg(F.count("*")).collect()}  # a row per language
-    inventory = fields.select("lang", "text").mapInArrow(_inventory, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
-    return fields.sparkSession.sparkContext.broadcast(clean_sets([tuple(r) for r in inventory.collect()], values))  # at most the characters of Unicode
-
-
-def garbled_among(fields: DataFrame, few: DataFrame) -> DataFrame:
-    """(key, restored, whole) of the garbled values among few of the fields: every chain is tried, no table is built."""
-    sets = inventory_sets(fields.where(F.length("text") > 0))
-    chains = F.array(*(F.struct(F.lit(k).alias("chain"), F.lit(1).cast("long").alias("n")) for k in range(len(CHAINS))))
-    asked = few.where(F.length("text") > 0).select("lang", "text", "key", F.col("text").rlike(r"[\x{fffd}\x{80}-\x{9f}\x{e000}-\x{f8ff}]").alias("lost"), chains.alias("hits"))
-    return asked.mapInArrow(_restored(sets), "key string, restored string, whole boolean")
-
-
-def garbled_values(fields: DataFrame) -> DataFrame:
+def garbled_values(fields: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """fields: lang, text, key. (key, restored, whole) of the values with text in a wrong encoding.
 
     restored: the value with all verified places turned back, null where none could be; whole: nothing unclean is left.
+    only: keys of the values to look at; the corpus and its words are those of all fields.
     """
+    spark = fields.sparkSession
     fields = fields.where(F.length("text") > 0)
-    sets = inventory_sets(fields)
-    suspects = stage(fields.mapInArrow(_tokens(sets), "key string, lost boolean, tokens array<string>").dropDuplicates(["key"]))
-    pairs = fields.select("lang", "text").mapInArrow(_pairs(sets), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WORD).select("k")
-    singles = fields.sparkSession.createDataFrame([(ord(c),) for c in sorted(set().union(*sets.value.values()))] or [(0x4E00,)], "k long")
-    words = pairs.unionByName(singles).repartition(fields.sparkSession.sparkContext.defaultParallelism)
-    table = words.mapInArrow(_forms(sets), "form string, chain int").distinct()
-    hits = suspects.select("key", F.explode("tokens").alias("form")).join(table, "form").groupBy("key", "chain").agg(F.count("*").alias("n"))
-    hits = hits.where(F.col("n") >= MIN_HITS).groupBy("key").agg(F.collect_list(F.struct("chain", "n")).alias("hits"))
+    values = {r[0] or "": r[1] for r in fields.groupBy("lang").agg(F.count("*")).collect()}  # a row per language
+    counts = stage(fields.select("lang", "text").mapInArrow(_counts, _COUNTS).groupBy("lang", "k", "word").agg(F.sum("n").alias("n")))
+    inventory = counts.where("lang IS NOT NULL").select("lang", "k", "n").collect()  # at most the characters of Unicode for each language
+    sets = spark.sparkContext.broadcast(clean_sets([(lang, chr(k), n) for lang, k, n in inventory], values))
+    asked = fields if only is None else fields.join(small(only), "key", "left_semi").select("lang", "text", "key")
+    suspects = stage(asked.mapInArrow(_tokens(sets), "key string, lost boolean, tokens array<string>").dropDuplicates(["key"]))
+    table = counts.select("k", "word").distinct().mapInArrow(_forms(sets), "form string, chain int, original string")
+    hits = suspects.select("key", F.explode("tokens").alias("form")).join(table, "form").groupBy("key").agg(F.collect_set(F.struct("chain", "form", "original")).alias("hits"))
     chosen = stage(suspects.select("key", "lost").join(hits, "key", "left").where("lost OR hits IS NOT NULL"))
-    few = fields.join(small(chosen.select("key")), "key", "left_semi").dropDuplicates(["key"])  # only keys may be broadcast
+    few = asked.join(small(chosen.select("key")), "key", "left_semi").dropDuplicates(["key"])  # only keys may be broadcast
     texts = few.join(chosen, "key").select("lang", "text", "key", "lost", "hits")
     return texts.mapInArrow(_restored(sets), "key string, restored string, whole boolean")
 

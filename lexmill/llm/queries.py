@@ -82,6 +82,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cuts(spark, sf_dir).select("chapter_id", "field").distinct()
 
 
+def p3_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut value with its evidence: word (the trie alone), limit (the length alone) or both."""
+    return _cuts(spark, sf_dir).select("chapter_id", "field", "evidence").distinct()
+
+
 def p3_site_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of cut values per site and field."""
     return text_cuts.cut_share(*_library(spark, sf_dir), _cuts(spark, sf_dir))
@@ -140,7 +145,7 @@ def p10_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_glossary, p1_chapters, p4_found, p2_found, p2_site_lines, p2_clean, p3_found, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
+        p1_found, p1_glossary, p1_chapters, p4_found, p2_found, p2_site_lines, p2_clean, p3_found, p3_evidence, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
         p7_main_text, p8_containers, p9_found, p9_leaked_items, p10_found, p10_shared_chars,
     )
 }

@@ -1,10 +1,14 @@
 """Text cut off by field limits (problem 3).
 
-The corpus vocabulary (maximal runs of letters, marks and digits, in at least MIN_KNOWN places) forms a trie, kept as a table
-of the proper prefixes of its words. The end of a value is where its story ends: page lines around the story are set aside.
-An end is open when no closing mark of a sentence stands there, or when the last line leaves a quotation open. Evidence on
-an open end: its last token is an unknown proper prefix of known words (word), the value is as long as many others of the
-same site and field, in characters or bytes (limit), or it just stops inside a sentence (sentence).
+The corpus vocabulary is a trie whose last letter is the end of the line. Tokens are words with the marks that adhere to
+them, or pairs of characters where a script has no blanks; a token that goes on, in a longer word or along its line, is a
+proper prefix of known words. What a story line may end with is known from all story lines inside the texts: the shape of an
+end is its script, the quotations left open and the closing marks. The values' own last lines teach nothing, they may be cut.
+
+The end of a value is where its story ends: page lines around the story are set aside. A value is cut
+- by its word: its last line ends in a shape unknown as an end, and its last token is a proper prefix of known words;
+- by its length: the shape is unknown and the value is as long, in characters or bytes, as many values of unknown ends of
+  the same site and field; or the shape is known but the token as a rule goes on (an abbreviation), at such a length.
 
 Null and empty values are no cases; neither are template residue and texts in a wrong encoding. Repeated rows count once.
 """
@@ -15,89 +19,171 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.rolling import chunks, joined
 from lexmill.functions.web import site
 from lexmill.llm import mojibake, page_text
 from lexmill.runtime import BROADCAST_ROWS, small, stage
 
 MIN_KNOWN = 3
+#: A shape is known as an end from this share of the inner story lines of its script and field on.
+END_SHARE = 0.01
+#: A token goes on as a rule if at most this share of its places are ends.
+GOES_ON = 0.02
 #: A length is a limit where at least this many values of one site and field share it, and this share of them.
 LIMIT_VALUES = 5
 LIMIT_SHARE = 0.01
-_WORD = re.compile(r"\w+")
 
 
-def _words(heads):
+class Trie:
+    """Which of the asked tokens go on in a text: as the beginning of a longer word, or before something else on the line."""
+
+    def __init__(self, asked: list[str]):
+        pairs = {t for t in asked if len(t) == 2 and page_text._CJK.search(t)}
+        self.words = {t for t in asked if not page_text._CJK.search(t)}
+        self.lengths = sorted({len(t) for t in self.words})
+        self.pairs = np.array(sorted(ord(t[0]) << 21 | ord(t[1]) for t in pairs), dtype=np.int64)
+        self.singles = {t for t in asked if len(t) == 1 and page_text._CJK.match(t)}
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def beginnings(self, word: str) -> tuple[str, ...]:
+        """The asked tokens with which a word begins."""
+        got = self.known.get(word)
+        if got is None:
+            own = page_text.bare(word)
+            got = tuple(w for n in self.lengths if n <= len(own) and (w := own[:n]) in self.words)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+    def count(self, texts: list[str | None]) -> Counter[str]:
+        out: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        for text in texts:
+            if text and self.words:
+                for line in text.split("\n"):
+                    if line:
+                        own = line.split()
+                        words.update(own[:-1])
+                        if own and own[-1]:
+                            for w in self.beginnings(own[-1]):  # the last word of a line only begins what is longer
+                                if len(w) < len(page_text.bare(own[-1])):
+                                    out[w] += 1
+        for word, n in words.items():
+            for w in self.beginnings(word):
+                out[w] += n
+        if len(self.pairs):
+            for i, j in chunks(texts):
+                c, _ = joined([f"{t}\n" if t else "" for t in texts[i:j]])
+                if len(c) > 2:
+                    c = np.where((c >= 48) & (c < 58), 48, c)
+                    key = ((c[:-2].astype(np.int64) << 21) | c[1:-1])[c[2:] != 10]
+                    at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+                    for k, n in zip(*np.unique(key[self.pairs[at] == key], return_counts=True), strict=True):
+                        out[chr(int(k) >> 21) + chr(int(k) & 0x1FFFFF)] += int(n)
+        for one in self.singles:
+            out[one] += sum(len(re.findall(re.escape(one) + r"(?=[^\n])", t)) for t in texts if t and one in t)
+        return out
+
+
+def _going_on(asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = heads.value if heads else None
+        trie = Trie(asked.value)
         for batch in batches:
             seen: Counter[str] = Counter()
             for k in range(batch.num_columns):
-                for text in batch.column(k).to_pylist():
-                    if text:
-                        words = _WORD.findall(text)
-                        seen.update(w for w in words if w[:2] in asked) if asked is not None else seen.update(words)
+                seen.update(trie.count(batch.column(k).to_pylist()))
             if seen:
-                yield pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                yield pa.record_batch([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
 
     return run
 
 
-def vocabulary(texts: DataFrame, min_known: int = MIN_KNOWN, heads: set[str] | None = None) -> DataFrame:
-    """(word, n) of every word in at least min_known places of the text columns; only words that begin with one of heads, if given."""
-    data = texts.sparkSession.sparkContext.broadcast(heads) if heads is not None else None
-    return texts.mapInArrow(_words(data), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_known)
+def going_on(texts: DataFrame, tokens: DataFrame, block_tokens: int = BROADCAST_ROWS) -> DataFrame:
+    """(token, n): in how many places of the text columns each of the tokens goes on.
+
+    tokens: one column token, distinct. They are looked for in blocks of about block_tokens, each a pass over the texts.
+    """
+    tokens = stage(tokens.select("token").distinct())
+    blocks = max(1, -(-tokens.count() // block_tokens))
+    parts = None
+    for b in range(blocks):
+        asked = [r.token for r in tokens.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b).collect()]
+        found = texts.mapInArrow(_going_on(texts.sparkSession.sparkContext.broadcast(asked)), "token string, n long")
+        parts = found if parts is None else parts.unionByName(found)
+    return parts.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _shape(end: Column) -> Column:
+    return F.split(end, "\t", 2)[0]
 
 
-def story_ends(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """(chapter_id, field, site, open, token, n, bytes) of every value with a story: token is null where the end is closed.
+def _token(end: Column) -> Column:
+    return F.split(end, "\t", 2)[1]
 
+
+def story_ends(lines: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values, inner): the last story line of every value, and how often each end stands inside a text.
+
+    values: chapter_id, field, site, end, n, bytes; inner: field, end, n. Lines with garbled characters teach nothing.
     lines: page_text.chapter_lines with ends; labels: page_text.labelled of them.
     """
-    ends = page_text.story_end(labels)
-    both = lines.select("id", "site", "ends", "target_end", "n_source", "b_source", "n_target", "b_target").join(ends.drop("site"), "id", "left")
+    own = labels.select("id", F.upper("labels").alias("labels"))
+    both = lines.select("id", "site", "bits", "ends", "target_ends", "n_source", "b_source", "n_target", "b_target").join(own, "id")
+    at = F.when(F.col("labels").contains("S"), F.length("labels") - F.instr(F.reverse("labels"), "S")).otherwise(-1)
+    both = both.withColumns({"at": at, "last": F.size("target_ends") - 1})
     sides = F.array(
-        F.struct(F.lit("content_source").alias("field"), F.get("ends", F.col("at")).alias("token"), F.col("at").isNotNull().alias("story"), F.col("n_source").alias("n"), F.col("b_source").alias("bytes")),
-        F.struct(F.lit("content_target").alias("field"), F.col("target_end").alias("token"), (F.col("n_target") > 0).alias("story"), F.col("n_target").alias("n"), F.col("b_target").alias("bytes")),
+        F.struct(F.lit("content_source").alias("field"), F.when(F.col("at") >= 0, F.get("ends", F.col("at"))).alias("end"), F.col("n_source").alias("n"), F.col("b_source").alias("bytes")),
+        F.struct(F.lit("content_target").alias("field"), F.when(F.col("last") >= 0, F.get("target_ends", F.col("last"))).alias("end"), F.col("n_target").alias("n"), F.col("b_target").alias("bytes")),
     )
-    each = both.select(F.col("id").alias("chapter_id"), "site", F.explode(sides).alias("x")).select("chapter_id", "site", "x.*")
-    return each.where("story").withColumn("open", F.col("token").isNotNull())
-
-
-def cut_fields(chapters: DataFrame, books: DataFrame, lines: DataFrame, labels: DataFrame, min_known: int = MIN_KNOWN, most: int = BROADCAST_ROWS) -> DataFrame:
-    """(chapter_id, field, site, evidence) of values that were cut off; lines and labels as in story_ends."""
-    ends = stage(story_ends(lines, labels))
-    opened = ends.where("open")
-    tokens = stage(opened.where("token <> ''").select("token").distinct())
-    first = tokens.select(F.left("token", F.lit(2)).alias("head")).distinct()
-    heads = {r.head for r in first.collect()} if tokens.limit(most + 1).count() <= most else None
-    tokens = small(tokens)
-    words = stage(vocabulary(chapters.select("content_source", "content_target"), min_known, heads))
-    stems = words.select(F.explode(F.expr("transform(sequence(1, greatest(1, length(word) - 1)), i -> left(word, i))")).alias("token"), "word").where("token <> word")
-    prefixes = stems.select("token").join(tokens, "token", "left_semi").distinct()
-    unknown = small(stage(prefixes.join(words.select(F.col("word").alias("token")), "token", "left_anti").withColumn("word_cut", F.lit(True))))
-    sizes = []
-    for unit in ("n", "bytes"):
-        same = ends.groupBy("site", "field", F.floor(F.col(unit) / 4).alias(unit)).agg(F.count("*").alias("same"), F.count_if("open").alias("open"))
-        every = ends.groupBy("site", "field").agg(F.count("*").alias("every"))
-        at = same.join(every.withColumnRenamed("site", "s").withColumnRenamed("field", "f"), F.col("site").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")))
-        at = at.where((F.col("open") >= LIMIT_VALUES) & (F.col("open") >= F.col("every") * LIMIT_SHARE) & (F.col("open") * 2 > F.col("same")))
-        sizes.append(at.select(F.coalesce("site", F.lit("")).alias("site_key"), "field", F.col(unit).alias(f"{unit}_key"), F.lit(True).alias(f"{unit}_limit")))
-    x = opened.join(unknown, "token", "left").withColumns(
-        {"site_key": F.coalesce("site", F.lit("")), "n_key": F.floor(F.col("n") / 4), "bytes_key": F.floor(F.col("bytes") / 4)}
+    values = both.select(F.col("id").alias("chapter_id"), "site", F.explode(sides).alias("x")).select("chapter_id", "site", "x.*").where("end IS NOT NULL")
+    clean = f"bits[i] & {page_text.T_GARBLED} = 0"
+    inside = F.expr(f"filter(ends, (e, i) -> i < at AND substr(labels, i + 1, 1) = 'S' AND {clean})")
+    inner = both.select(F.lit("content_source").alias("field"), F.explode(inside).alias("end")).unionAll(
+        both.select(F.lit("content_target").alias("field"), F.explode(F.slice("target_ends", 1, F.greatest(F.col("last"), F.lit(0)))).alias("end"))
     )
-    x = x.join(small(stage(sizes[0])), ["site_key", "field", "n_key"], "left").join(small(stage(sizes[1])), ["site_key", "field", "bytes_key"], "left")
-    evidence = F.when(F.col("word_cut"), "word").when(F.col("n_limit") | F.col("bytes_limit"), "limit").otherwise("sentence")
+    return values, inner.groupBy("field", "end").agg(F.count("*").alias("n"))
+
+
+def cut_values(chapters: DataFrame, lines: DataFrame, labels: DataFrame, min_known: int = MIN_KNOWN, end_share: float = END_SHARE) -> DataFrame:
+    """(chapter_id, field, site, evidence) of values that seem cut off; lines and labels as in story_ends."""
+    values, inner = (stage(x) for x in story_ends(lines, labels))
+    by_shape = inner.groupBy("field", _shape(F.col("end")).alias("shape")).agg(F.sum("n").alias("n")).withColumn("script", F.left("shape", F.lit(1)))
+    all_ends = by_shape.groupBy("field", "script").agg(F.sum("n").alias("every"))
+    known = by_shape.join(all_ends, ["field", "script"]).where((F.col("n") >= min_known) & (F.col("n") >= F.col("every") * end_share)).select("field", "shape", F.lit(True).alias("known"))
+    ends = values.withColumns({"shape": _shape(F.col("end")), "token": _token(F.col("end")), "site_key": F.coalesce("site", F.lit("")), "n_key": F.floor(F.col("n") / 4), "bytes_key": F.floor(F.col("bytes") / 4)})
+    ends = stage(ends.join(small(stage(known)), ["field", "shape"], "left").withColumn("open", F.col("known").isNull()))
+    every = ends.groupBy("site_key", "field").agg(F.count("*").alias("every"))
+    limits = []
+    for unit in ("n", "bytes"):
+        same = ends.groupBy("site_key", "field", f"{unit}_key").agg(F.count("*").alias("same"), F.count_if("open").alias("n_open")).join(every, ["site_key", "field"])
+        same = same.where((F.col("n_open") >= LIMIT_VALUES) & (F.col("n_open") >= F.col("every") * LIMIT_SHARE) & (F.col("n_open") * 2 > F.col("same")))
+        limits.append(small(stage(same.select("site_key", "field", f"{unit}_key", F.lit(True).alias(f"{unit}_limit")))))
+    x = ends.join(limits[0], ["site_key", "field", "n_key"], "left").join(limits[1], ["site_key", "field", "bytes_key"], "left")
+    x = stage(x.withColumn("limit", F.coalesce("n_limit", "bytes_limit", F.lit(False))).where("open OR limit").select("chapter_id", "field", "site", "end", "token", "open", "limit"))
+    trie = small(stage(going_on(chapters.select("content_source", "content_target"), x.where("token <> ''")).withColumnRenamed("n", "n_on")))
+    ended = small(stage(inner.groupBy(_token(F.col("end")).alias("token")).agg(F.sum("n").alias("n_end")).join(x.select("token").distinct(), "token", "left_semi")))
+    x = x.join(trie, "token", "left").join(ended, "token", "left").fillna(0, ["n_on", "n_end"])
+    goes_on = F.col("n_on") >= min_known
+    rarely = goes_on & (F.col("n_on") >= 10 * min_known) & (F.col("n_end") <= GOES_ON * (F.col("n_on") + F.col("n_end")))
+    word = F.col("open") & goes_on
+    evidence = F.when(word & F.col("limit"), "both").when(word, "word").when(F.col("limit") & (F.col("open") | rarely), "limit")
+    return x.withColumn("evidence", evidence).where("evidence IS NOT NULL").select("chapter_id", "field", "site", "evidence")
+
+
+def cut_fields(chapters: DataFrame, books: DataFrame, lines: DataFrame, labels: DataFrame, min_known: int = MIN_KNOWN) -> DataFrame:
+    """(chapter_id, field, site, evidence) of values that were cut off, without residue and texts in a wrong encoding."""
+    cut = stage(cut_values(chapters, lines, labels, min_known))
     residue = page_text.residue_content(labels).select(F.col("id").alias("chapter_id"), F.lit("content_source").alias("field"))
-    fields = mojibake.library_fields(chapters.withColumn("title_source", F.lit(None).cast("string")), books)
-    asked = opened.where("field = 'content_source'").select(F.concat_ws("\t", F.lit("chapters"), "field", "chapter_id").alias("key"))
-    few = fields.join(small(stage(asked)), "key").dropDuplicates(["key"])
-    garbled = mojibake.found(mojibake.garbled_among(fields, few)).select(F.col("rec_id").cast("long").alias("chapter_id"), "field")
-    out = garbled.unionByName(residue)
-    return x.withColumn("evidence", evidence).join(out, ["chapter_id", "field"], "left_anti").select("chapter_id", "field", "site", "evidence")
+    fields = mojibake.library_fields(chapters, books)
+    asked = cut.where("field = 'content_source'").select(F.concat_ws("\t", F.lit("chapters"), "field", "chapter_id").alias("key"))
+    garbled = mojibake.found(mojibake.garbled_values(fields, stage(asked))).select(F.col("rec_id").cast("long").alias("chapter_id"), "field")
+    return cut.join(garbled.unionByName(residue), ["chapter_id", "field"], "left_anti")
 
 
 def cut_share(chapters: DataFrame, books: DataFrame, cut: DataFrame) -> DataFrame:

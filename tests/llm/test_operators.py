@@ -95,17 +95,56 @@ def test_lines_are_cut_out(spark):
 # --- problem 3
 
 
-@pytest.mark.parametrize(
-    ("line", "is_open"),
-    [("He said no.", False), ("He said n", True), ('She asked, "Why?', True), ('She asked, "Why?"', False), ("他說：「走！", True), ("一句話也說不出來……", False), ("一句話也說不出來…", True), ("말 한마디 없었다…", False)],
-)
-def test_open_ends(line, is_open):
-    assert page_text.open_end(line) is is_open
+def _cut_library(spark, ends, n=60):
+    """Chapters of one web book whose story has five whole lines before the given last line of some of them."""
+    rng = random.Random(11)
+    names, verbs = ["Marlow", "Quill", "Tessa", "Brandt"], ["crossed", "watched", "repaired", "remembered"]
+    said = lambda: f"{rng.choice(names)} {rng.choice(verbs)} the old {rng.choice(['bridge', 'lantern', 'harbour', 'ledger'])}, and nobody asked {rng.choice(['why', 'him', 'her'])}."
+    data = []
+    for k in range(n):
+        lines = [said() for _ in range(5)] + [ends.get(k, said())]
+        data.append((k, "b", "Bridge", "\n".join(lines), None, f"https://s.example/{k}"))
+    chapters = spark.createDataFrame(data, "id long, book_id string, title_source string, content_source string, content_target string, chapter_url string")
+    books = spark.createDataFrame([("b", "web", "https://s.example/", "en", "Book")], "id string, source_type string, source_url string, source_lang string, title string")
+    lines = page_text.chapter_lines(chapters, books, with_ends=True)
+    return chapters, books, lines, page_text.labelled(lines)
+
+
+def test_trie_and_lengths_decide_cuts(spark):
+    pad = lambda s, n: s.rjust(n, "x")
+    # 1-3 go on in the vocabulary, 4 is a fragment of no known word, 5-10 stop at one length with fragments of no known word
+    ends = {1: "Marlow crossed the old", 2: "Quill remembered the old lant", 3: 'She asked, "Marlow watched the old', 4: "Marlow met Zqv"}
+    chapters, books, lines, labels = _cut_library(spark, ends)
+    got = {r.chapter_id: r.evidence for r in text_cuts.cut_fields(chapters, books, lines, labels).collect()}
+    assert got == {1: "word", 2: "word", 3: "word"}
+    total = 900
+    data = [r.asDict() for r in chapters.collect()]
+    for r in data:
+        if 5 <= r["id"] <= 10:
+            head = r["content_source"].rsplit("\n", 1)[0]
+            r["content_source"] = head + "\n" + pad(f" Tessa met W{chr(97 + r['id'])}", total - len(head) - 1)
+    chapters = spark.createDataFrame(data, chapters.schema)
+    lines = page_text.chapter_lines(chapters, books, with_ends=True)
+    got = {r.chapter_id: r.evidence for r in text_cuts.cut_fields(chapters, books, lines, page_text.labelled(lines)).collect()}
+    assert got == {1: "word", 2: "word", 3: "word", **{k: "limit" for k in range(5, 11)}}
+
+
+def test_tokens_that_go_on_equal_counting(spark):
+    texts = ["the cat sat\nthe cathedral", "the cat", "他走了很遠，他走了\n走了", "15 cats and 7 dogs", None, ""]
+    asked = ["cat", "the", "sat", "走了", "cats", "0"]
+    want = {"cat": 3, "the": 3, "走了": 1, "cats": 1, "0": 2}
+    tokens = spark.createDataFrame([(t,) for t in asked], "token string")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for block in (200_000, 2):
+        assert dict(rows(text_cuts.going_on(df, tokens, block))) == want
 
 
-def test_vocabulary_counts(spark):
-    df = spark.createDataFrame([("the cat the cat", None), ("the dog", "cat")], "a string, b string")
-    assert rows(text_cuts.vocabulary(df, 3)) == {("the", 3), ("cat", 3)}
+@pytest.mark.parametrize(
+    ("line", "end"),
+    [("He said no.", "l  .\tno."), ('She asked, "Why?', 'l " ?\tWhy?'), ("他說：「走！", "c 「 ！\t走！"), ("錯誤15", "c  \t誤0"), ("7户", "c  \t0户"), ("은화 170닢을", "h  \t0닢을"), ("x", "l  \tx")],
+)
+def test_line_ends(line, end):
+    assert page_text.line_end(line) == end
 
 
 # --- problem 4
@@ -171,14 +210,55 @@ def test_residue_titles(title, bad):
     assert page_text.residue_title(title) is bad
 
 
-def test_undecided_lines_inherit():
+@pytest.mark.parametrize(
+    ("letters", "sizes", "labels"),
+    [("S?P??|?S?", (5, 3), "SsPppsSs"), ("P?????S", (7,), "PpppssS"), ("???", (3,), "sss"), ("", (0,), "")],
+)
+def test_undecided_lines_inherit_from_the_nearest(letters, sizes, labels):
     import numpy as np
 
-    T = page_text
-    bits = np.array([T.T_CLOSED, 0, T.T_LINKS, 0, 0, 0, T.T_CLOSED, 0])
-    none = np.zeros(8, dtype=bool)
-    got = T.label_batch(np.array([5, 3]), bits, np.array([True, True]), none, none).tobytes().decode()
-    assert got == "SsPppsSs"
+    bits = np.array([{"S": page_text.T_CLOSED, "P": page_text.T_LINKS, "?": 0}[c] for c in letters if c != "|"], dtype=np.int64)
+    none = np.zeros(len(bits), dtype=bool)
+    assert page_text.label_batch(np.array(sizes), bits, np.array([True] * len(sizes)), none, none, none).tobytes().decode() == labels
+
+
+def test_link_density():
+    assert page_text.link_density("Home | Library | Rankings") == pytest.approx(23 / 25)
+    assert page_text.link_density("← Previous") == 1.0 and page_text.link_density("He went home.") == 0.0
+    assert 0 < page_text.link_density("He read it long ago at www.site.example and then, for many years, thought of nothing else at all, day or night.") < 0.2
+
+
+def test_reworded_notices_are_found_by_evidence(spark):
+    """Notices that no list holds: they recur over books, next to no prose stands beside them, and the titles speak of other things."""
+    notices = ["Sorry, this chapter could not be loaded.", "您的IP已被限制访问", "章を読み込めませんでした。", "잠시 후에 다시 오십시오."]
+    story = "The {} crossed the {} bridge in the rain, and nobody had seen the {} lantern since the autumn of that year."
+    data = []
+    for k in range(80):
+        text = "\n".join(story.format(f"{a}{k}", f"{k}{a}", a) for a in ("rider", "widow", "miller", "smith"))
+        bad = k % 10 == 3
+        data.append((k, f"b{k % 8}", f"Chapter {k}: Lantern", "Home | Library | Rankings\n" + (notices[k // 20] if bad else text), f"https://s.example/{k}"))
+    chapters = spark.createDataFrame(data, "id long, book_id string, title_source string, content_source string, chapter_url string")
+    books = spark.createDataFrame([(f"b{k}", "web", f"https://s{k % 3}.example/") for k in range(8)], "id string, source_type string, source_url string")
+    labels = page_text.labelled(page_text.chapter_lines(chapters, books))
+    assert rows(page_text.residue_fields(labels)) == {(k, "content_source") for k in range(80) if k % 10 == 3}
+    # a line spread thinly over sites counts as widespread
+    thin = [(1000 + k, f"t{k}", "Chapter 1", "Read more stories here", None) for k in range(300)]
+    thin_books = spark.createDataFrame([(f"t{k}", "web", f"https://t{k}.example/") for k in range(300)], books.schema)
+    lines = page_text.chapter_lines(spark.createDataFrame(thin, chapters.schema), thin_books)
+    assert [(r.wide, r.often) for r in page_text.widespread(lines).collect()] == [(True, False)]
+
+
+def test_titles_are_residue_by_evidence(spark):
+    data = []
+    for k in range(120):
+        bad = k % 6 == 1
+        title = "Preparing your page" if bad else "The Error" if k % 6 == 2 else f"Chapter {k}: Lantern {k}"
+        text = "Please hold on a little." if bad else "\n".join(f"Rider {k} crossed bridge {k}{a}, and nobody in the town ever saw the lantern of {k}{a} again." for a in "abcd")
+        data.append((k, f"b{k % 8}", title, text, f"https://s.example/{k}"))
+    chapters = spark.createDataFrame(data, "id long, book_id string, title_source string, content_source string, chapter_url string")
+    books = spark.createDataFrame([(f"b{k}", "web", f"https://s{k % 3}.example/") for k in range(8)], "id string, source_type string, source_url string")
+    got = rows(page_text.residue_fields(page_text.labelled(page_text.chapter_lines(chapters, books))))
+    assert got == {(k, f) for k in range(120) if k % 6 == 1 for f in ("title_source", "content_source")}
 
 
 def test_label_paths_agree(spark):
@@ -189,8 +269,8 @@ def test_label_paths_agree(spark):
 
 def test_boilerplate_goes_story_stays(spark):
     head = ["首頁", "書庫", "我們使用 Cookie，繼續瀏覽即表示您同意。"]
-    data = [(k, f"b{k % 6}", f"第{k}章 書", "\n".join([*head, f"他走了{k}里路，到了{chr(0x5000 + k)}村。", f"“你來了？”她問{chr(0x5100 + k)}。"])) for k in range(30)]
-    chapters = spark.createDataFrame(data, "id long, book_id string, title_source string, content_source string")
+    data = [(k, f"b{k % 6}", f"第{k}章 書", "\n".join([*head, f"他走了{k}里路，到了{chr(0x5000 + k)}村。", f"“你來了？”她問{chr(0x5100 + k)}。"]), None) for k in range(30)]
+    chapters = spark.createDataFrame(data, "id long, book_id string, title_source string, content_source string, chapter_url string")
     books = spark.createDataFrame([(f"b{k}", "web", "https://www.site.example:80/x") for k in range(6)], "id string, source_type string, source_url string")
     labels = page_text.labelled(page_text.chapter_lines(chapters, books))
     assert rows(page_text.page_lines(labels)) == {(k, n) for k in range(30) for n in (1, 2, 3)}
@@ -216,11 +296,40 @@ def test_chains_invert(chain):
 
 def test_restores_whole_lines_and_places():
     clean = set("竹林的書頁，。他走了É’")
-    chains = [("utf-8", "w1252"), ("big5", "gb18030")]
-    line = mojibake.garble("竹林的書頁。", chains[0])
-    assert mojibake.restore(f"他走了。\n{line}", chains, clean)[0] == "他走了。\n竹林的書頁。"
-    assert mojibake.restore("From Ã‰mor", chains, clean)[0] == "From Émor"
-    assert mojibake.restore("Émor walks", chains, clean) == ("Émor walks", 0, 0)
+    hits = {("utf-8", "w1252"): {mojibake.garble(c, ("utf-8", "w1252")): c for c in "竹林的"}, ("big5", "gb18030"): {}}
+    line = mojibake.garble("竹林的書頁。", ("utf-8", "w1252"))
+    assert mojibake.restore(f"他走了。\n{line}", hits, clean)[0] == "他走了。\n竹林的書頁。"
+    assert mojibake.restore("From Ã‰mor", hits, clean)[0] == "From Émor"
+    assert mojibake.restore("Émor walks", hits, clean) == ("Émor walks", 0, 0)
+
+
+def test_originals_are_substituted():
+    chain = ("utf-8", "w1252")
+    table = {mojibake.garble(w, chain): w for w in ("소금", "호수", "é")}
+    assert mojibake.substituted(mojibake.garble("소금호수 café", chain), table) == "소금호수 café"
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_forms_equal_garbling_word_by_word(pairs):
+    words = ["竹林", "Öshasan’s", "扉の", "소금", "É", "’", "”"] if not pairs else ["竹林", "소금", "扉の"]
+    for at, got in mojibake.forms(words, pairs):
+        true, wrong = mojibake.CHAINS[at]
+        joins = true == "utf-8" and wrong in mojibake._LEGACY
+        for w, f in zip(words, got, strict=True):
+            try:
+                want = mojibake.garble(w, (true, wrong), "replace" if joins else "strict")
+            except UnicodeError:
+                want = ""
+            assert f == (want.rstrip("\ufffd") if joins else want), (w, true, wrong)
+
+
+def test_double_forms_and_rare_words_are_in_the_table(spark):
+    """A word seen once, and an apostrophe whose double form has eight characters."""
+    texts = [f"Rider {k} went home." for k in range(300)] + ["Soënga’s door stood open."] + ["It’s Raën."] * 12
+    bad = [mojibake.garble("Soënga", ("utf-8", "latin-1")) + " left.", "He said it" + mojibake.garble("’", ("2x", "w1252")) + "s late."]
+    data = [("en", t, f"x\ty\t{k}") for k, t in enumerate(texts + bad)]
+    got = {int(r.key.split("\t")[2]): r.restored for r in mojibake.garbled_values(spark.createDataFrame(data, "lang string, text string, key string")).collect()}
+    assert got[len(texts)] == "Soënga left." and got[len(texts) + 1] == "He said it’s late."
 
 
 def test_planted_garbles_are_found(spark):
