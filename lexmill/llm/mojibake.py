@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,8 +169,9 @@ def _forms(sets):
     return run
 
 
-#: Lengths of the garbled forms of characters and pairs; forms from LONG on are looked for only where an unclean character begins them.
-_LENGTHS, LONG = (1, 2, 3, 4, 5, 6, 7, 8), 4
+#: Lengths of the garbled forms of characters and pairs. Only UTF-8 read twice makes forms longer than SHORT, and these all
+#: begin with the character that is the first byte of two: the UTF-8 of a Latin letter.
+SHORT, LONG, LEAD = (1, 2, 3), (4, 5, 6, 7, 8), "\xc3"
 _RUN = re.compile("[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u3000-\u3002\uff01-\uff0f]+")
 
 
@@ -189,11 +191,9 @@ def _tokens(sets):
                 for line in text.split("\n"):
                     at = [p for p, c in enumerate(line) if c in bad]
                     for p in at:
-                        for n in _LENGTHS:
-                            if n < LONG:
-                                own.update(line[q : q + n] for q in range(max(0, p - n + 1), p + 1))
-                            else:
-                                own.add(line[p : p + n])
+                        for n in SHORT:
+                            own.update(line[q : q + n] for q in range(max(0, p - n + 1), p + 1))
+                        own.update(line[p : p + n] for n in (LONG if line[p] == LEAD else LONG[:1]))
                     if at:
                         own.update(w for w in _RUN.findall(line) if not bad.isdisjoint(w))
                 key.append(k)
@@ -243,6 +243,8 @@ def restore(text: str, hits: Hits, clean: set[str] | frozenset[str]) -> tuple[st
     covered = {chain: set().union(*originals) for chain, originals in hits.items()}
 
     def back(piece: str) -> str | None:
+        if "\ufffd" in piece:  # something is lost for good
+            return None
         bad = {c for c in piece if not fine(c)}
         for chain, originals in hits.items():
             was = None
@@ -299,10 +301,17 @@ def _restored(sets):
         own_sets = {lang: frozenset(s) for lang, s in sets.value.items()}
         for batch in batches:
             rows = []
-            for lang, text, key, lost, found in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
+            lists = batch.column(4)
+            parts = [lists.flatten().field(k).to_pylist() for k in range(3)]  # the lists end to end
+            sizes = [n or 0 for n in pc.list_value_length(lists).to_pylist()]
+            at = 0
+            for lang, text, key, lost, size in zip(*(batch.column(x).to_pylist() for x in range(4)), sizes, strict=True):
                 by_chain: dict[int, dict[str, str]] = {}
-                for h in sorted(found or [], key=lambda h: (h["chain"], h["form"], h["original"])):
-                    by_chain.setdefault(h["chain"], {}).setdefault(h["form"], h["original"])
+                for k in range(at, at + size):
+                    own = by_chain.setdefault(parts[0][k], {})
+                    form, original = parts[1][k], parts[2][k]
+                    own[form] = min(own.get(form, original), original)
+                at += size
                 hits = {CHAINS[c]: by_chain[c] for c in sorted(by_chain, key=lambda c: (-len(by_chain[c]), c))}
                 was, turned, left = restore(text, hits, own_sets.get(lang or "", frozenset()))
                 if lost or turned:
