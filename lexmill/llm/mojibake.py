@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.rolling import chunks, joined
-from lexmill.runtime import small, stage
+from lexmill.runtime import BROADCAST_ROWS, small, stage
 
 CLEAN_SHARE = 0.003
 MIN_CLEAN = 3
@@ -152,8 +152,11 @@ def _form(word: str, chain: tuple[str, str], joins: bool) -> str:
         return ""
 
 
-def _forms(sets):
+def _forms(sets, asked=None):
+    """asked: broadcast tokens, the only forms to give; None gives all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = asked.value if asked is not None else None
         clean = set().union(*sets.value.values()) if sets.value else set()
         known, high = clean | {chr(c) for c in range(128)}, {c for c in clean if c > "\x7f"}
         for batch in batches:
@@ -163,7 +166,7 @@ def _forms(sets):
             for of_pairs, own in ((True, pairs), (False, others)):
                 own = [w for w in own if known.issuperset(w) and "\n" not in w and "?" not in w]
                 for at, garbled in forms(own, of_pairs) if own else ():
-                    rows = [(f, w) for f, w in zip(garbled, own, strict=True) if f and f != w and not high.issuperset(f)]
+                    rows = [(f, w) for f, w in zip(garbled, own, strict=True) if f and f != w and (wanted is None or f in wanted) and not high.issuperset(f)]
                     yield pa.record_batch([pa.array([f for f, _ in rows], pa.string()), pa.array([at] * len(rows), pa.int32()), pa.array([w for _, w in rows], pa.string())], ["form", "chain", "original"])
 
     return run
@@ -349,7 +352,11 @@ def garbled_values(fields: DataFrame, only: DataFrame | None = None) -> DataFram
     sets = spark.sparkContext.broadcast(clean_sets([(lang, chr(k), n) for lang, k, n in inventory], values))
     asked = fields if only is None else fields.join(small(only), "key", "left_semi").select("lang", "text", "key")
     suspects = stage(asked.mapInArrow(_tokens(sets), "key string, lost boolean, tokens array<string>").dropDuplicates(["key"]))
-    table = counts.select("k", "word").distinct().mapInArrow(_forms(sets), "form string, chain int, original string")
+    forms_of = suspects.select(F.explode("tokens").alias("form")).distinct()
+    # few tokens go to the words, else the whole table meets the tokens
+    few_forms = [r.form for r in forms_of.limit(BROADCAST_ROWS + 1).collect()] if only is not None else None
+    asked_forms = spark.sparkContext.broadcast(set(few_forms)) if few_forms is not None and len(few_forms) <= BROADCAST_ROWS else None
+    table = counts.select("k", "word").distinct().mapInArrow(_forms(sets, asked_forms), "form string, chain int, original string")
     hits = suspects.select("key", F.explode("tokens").alias("form")).join(table, "form").groupBy("key").agg(F.collect_set(F.struct("chain", "form", "original")).alias("hits"))
     chosen = stage(suspects.select("key", "lost").join(hits, "key", "left").where("lost OR hits IS NOT NULL"))
     few = asked.join(small(chosen.select("key")), "key", "left_semi").dropDuplicates(["key"])  # only keys may be broadcast

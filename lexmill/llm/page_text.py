@@ -186,7 +186,7 @@ def hashed(s: str) -> int:
 
 
 def masked(t: str) -> str:
-    return _DIGITS.sub("#", _IDS.sub("0", t))
+    return _DIGITS.sub("#", _IDS.sub("0", t)) if _DIGITS.search(t) else t
 
 
 def rules(t: str) -> tuple[int, int]:

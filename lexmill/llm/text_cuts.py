@@ -63,17 +63,18 @@ class Trie:
 
     def count(self, texts: list[str | None]) -> Counter[str]:
         out: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-        for text in texts:
-            if text and self.words:
-                for line in text.split("\n"):
-                    if line:
-                        own = line.split()
-                        words.update(own[:-1])
-                        if own and own[-1]:
-                            for w in self.beginnings(own[-1]):  # the last word of a line only begins what is longer
-                                if len(w) < len(page_text.bare(own[-1])):
-                                    out[w] += 1
+        words, ends = Counter(), Counter()
+        for text in texts if self.words else ():
+            for line in text.split("\n") if text else ():
+                if line and not page_text._CJK.search(line):  # there tokens are pairs
+                    own = line.split()
+                    words.update(own[:-1])
+                    if own:
+                        ends[own[-1]] += 1
+        for word, n in ends.items():
+            for w in self.beginnings(word):  # the last word of a line only begins what is longer
+                if len(w) < len(page_text.bare(word)):
+                    out[w] += n
         for word, n in words.items():
             for w in self.beginnings(word):
                 out[w] += n
