@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import codes
+from lexmill.llm.rolling import codes
 from lexmill.llm.lookalikes import LATIN_CLASSES, plain
 from lexmill.runtime import small, stage
 

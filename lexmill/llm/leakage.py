@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import chunks, joined, signed, windows
+from lexmill.llm.rolling import chunks, joined, signed, windows
 from lexmill.runtime import stage
 
 TERM = 25

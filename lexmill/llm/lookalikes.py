@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import chunks, joined
+from lexmill.llm.rolling import chunks, joined
 from lexmill.runtime import small, stage
 
 # Characters that look alike, one class per word.

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import chunks, joined
+from lexmill.llm.rolling import chunks, joined
 from lexmill.runtime import BROADCAST_ROWS, small, stage
 
 CLEAN_SHARE = 0.003

@@ -134,18 +134,23 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans.sharing_pairs(*shared_spans.shared_spans(table(spark, sf_dir, "documents")))
+    return shared_spans.sharing_pairs(*shared_spans.repeated_windows(table(spark, sf_dir, "documents")))
+
+
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its classes: the least document that holds one of its stretches, and the number of documents that do."""
+    return shared_spans.memberships(*shared_spans.repeated_windows(table(spark, sf_dir, "documents")))
 
 
 def p10_shared_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of its characters that stand verbatim in another one."""
-    return shared_spans.shared_share(table(spark, sf_dir, "documents"))
+    return shared_spans.shared_share(*shared_spans.repeated_windows(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_glossary, p1_chapters, p4_found, p2_found, p2_site_lines, p2_clean, p3_found, p3_evidence, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
-        p7_main_text, p8_containers, p9_found, p9_leaked_items, p10_found, p10_shared_chars,
+        p7_main_text, p8_containers, p9_found, p9_leaked_items, p10_found, p10_classes, p10_shared_chars,
     )
 }

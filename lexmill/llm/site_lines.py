@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import chunks, codes, prefix, spans, windows
+from lexmill.llm.rolling import chunks, codes, prefix, spans, windows
 from lexmill.functions.web import site
 from lexmill.runtime import small, stage
 

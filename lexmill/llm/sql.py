@@ -10,7 +10,15 @@ _SITE_LINES = f"""b AS (SELECT DISTINCT id, nullif(regexp_replace(regexp_extract
   s AS (SELECT site, count(DISTINCT id) AS docs FROM c GROUP BY site),
   n AS (SELECT site, key, count(DISTINCT id) AS n FROM k WHERE key <> '' GROUP BY site, key)"""
 
+_WINDOWS = """w AS (SELECT doc_id, unnest(range(1, length(text) - 198)) AS pos, unnest(list_transform(range(1, length(text) - 198), lambda k: md5_number(text[k:k + 199]))) AS h FROM documents WHERE length(text) >= 200),
+  r AS (SELECT h, min(doc_id) AS rep_id, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), x AS (SELECT w.*, rep_id, n_docs FROM w JOIN r USING (h))"""
+
 SQL: dict[str, str] = {
+    "p10_classes": f"WITH {_WINDOWS} SELECT DISTINCT doc_id, rep_id, n_docs FROM x",
+    "p10_shared_chars": f"""WITH {_WINDOWS},
+      y AS (SELECT DISTINCT doc_id, pos FROM x),
+      z AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM y)
+      SELECT doc_id, CAST(sum(least(200, coalesce(nxt - pos, 200))) AS INTEGER) AS shared_chars, CAST(count(*) FILTER (nxt IS NULL OR nxt - pos > 200) AS INTEGER) AS n_spans FROM z GROUP BY doc_id""",
     "p2_found": f"""WITH {_SITE_LINES}
       SELECT DISTINCT k.id AS chapter_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN n ON k.site = n.site AND k.key = n.key JOIN s ON k.site = s.site WHERE n.n >= 5 AND n.n * 10 >= s.docs""",
     "p9_found": """WITH i AS (SELECT DISTINCT item_id, regexp_replace(lower(passage), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM bench_items),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.rolling import chunks, joined
+from lexmill.llm.rolling import chunks, joined
 from lexmill.functions.web import site
 from lexmill.llm import mojibake, page_text
 from lexmill.runtime import BROADCAST_ROWS, small, stage

@@ -430,9 +430,27 @@ def test_shared_spans_equal_brute_force(spark):
         if marked:
             share[a] = len(marked)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    spans, copies = shared_spans.shared_spans(df)
-    assert rows(shared_spans.sharing_pairs(spans, copies)) == want and want
-    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_share(df).collect()} == share
+    found, copies = shared_spans.repeated_windows(df)
+    assert rows(shared_spans.sharing_pairs(found, copies)) == want and want
+    assert {r.doc_id: r.shared_chars for r in shared_spans.shared_share(found, copies).collect()} == share
+    every = defaultdict(set)
+    for a, own in enumerate(grams):
+        for g in own:
+            every[g].add(a)
+    classes = {(a, min(ds), len(ds)) for ds in every.values() if len(ds) > 1 for a in ds}
+    assert rows(shared_spans.memberships(found, copies)) == classes
+
+
+def test_a_paragraph_in_thousands_of_documents_stays_linear(spark):
+    rng = random.Random(4)
+    notice = "".join(rng.choice("abcdefgh ijk") for _ in range(260))
+    docs = [(k, t[:150] + notice + t[150:]) for k, t in enumerate(_texts(8, 3000, low=220, high=260))]
+    found, copies = shared_spans.repeated_windows(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert found.count() <= 3000 * 70  # the windows of the notice, give or take what chance adds at its ends
+    got = shared_spans.memberships(found, copies)
+    assert got.where("rep_id = 0 AND n_docs = 3000").count() == 3000
+    assert got.count() <= 3000 * 8
+    assert shared_spans.shared_share(found, copies).where("shared_chars >= 260").count() == 3000
 
 
 def test_normal_form_is_stable():
