@@ -1,9 +1,12 @@
 """Lines repeated across one site's documents (problem 2).
 
 Each text is cut into content-defined chunks: a rolling hash over CUT_WINDOW code points ends a chunk wherever it falls
-into one of 2**CUT_BITS residues. The hash starts anew after a line feed, so a line is a whole number of chunks and the
-chunks of equal lines are equal. Spark counts the distinct documents per (site, chunk); a chunk in fewer documents than a
-line needs can belong to no repeated line, so only lines all of whose chunks are frequent remain. They are counted exactly.
+into one of 2**CUT_BITS residues. The hash starts anew after a line feed, because the result is stated by line: a line is a
+whole number of chunks and the chunks of equal lines are equal. Spark counts the distinct documents per (site, chunk). A line
+that is one chunk is repeated if its chunk is. Of the longer lines those whose chunks are all frequent remain; frequent chunks may
+be put together anew in every document, so the documents of these chains of chunks are counted once more.
+
+A frequent chunk or line of a large site meets its documents by broadcast up to a counted bound, beyond it in SALTS parts.
 
 Lines are compared after trimming Unicode white space and replacing every run of ASCII digits by one mark; empty lines never
 count. Null text has no lines, documents without a site (null url) belong to none, rows
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.rolling import chunks, codes, prefix, spans, windows
 from lexmill.functions.web import site
-from lexmill.runtime import small, stage
+from lexmill.runtime import BROADCAST_ROWS, small, stage
 
 MIN_DOCS = 5
 MIN_SHARE = 0.1
@@ -96,7 +99,20 @@ def with_site(chapters: DataFrame, books: DataFrame, *columns: str) -> DataFrame
     return chapters.where("id IS NOT NULL").select("id", "book_id", *columns).join(small(hosts), "book_id").select(F.col("id").cast("long").alias("id"), "site", *columns)
 
 
-def site_lines(docs: DataFrame, text_col: str = "content_source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+SALTS = 32
+
+
+def _meet(texts: DataFrame, keys: DataFrame, on: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """texts (with a column id) joined with a staged table of distinct keys; no key's texts meet in one task as a whole."""
+    if keys.limit(most + 1).count() <= most:
+        return texts.join(F.broadcast(keys), on)
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return texts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def site_lines(
+    docs: DataFrame, text_col: str = "content_source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, most: int = BROADCAST_ROWS
+) -> DataFrame:
     """docs: id, site, text. Every occurrence of a repeated line: (site, id, line_no, line_hash)."""
     cut = stage(docs.where(F.col("site").isNotNull()).select("id", "site", text_col).mapInArrow(_cut_lines, _CUT).dropDuplicates(["id"]))
     need = cut.groupBy("site").agg(F.greatest(F.lit(min_docs), F.ceil(F.count("*") * F.lit(min_share) - F.lit(1e-9))).alias("need"))
@@ -105,10 +121,9 @@ def site_lines(docs: DataFrame, text_col: str = "content_source", min_docs: int
         cut.select("site", F.explode(F.array_distinct("chunks")).alias("chunk")).groupBy("site", "chunk").agg(F.count("*").alias("n"))
         .join(need, "site").where("n >= need").select("site", "chunk")
     )
-    often = small(stage(often))
     # position k of a line within its document stands for the line until it is kept
     each = cut.select("id", "site", F.explode(F.arrays_zip("chunks", "chunk_line")).alias("x")).select("id", "site", F.col("x.chunks").alias("chunk"), F.col("x.chunk_line").alias("k"))
-    hot = each.join(often, ["site", "chunk"]).groupBy("id", "k").agg(F.count("*").alias("hot"))
+    hot = _meet(each, stage(often), ["site", "chunk"], most).groupBy("id", "k").agg(F.count("*").alias("hot"))
     hot = hot.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "hot"))).alias("hot"))
     whole = cut.join(hot, "id").select(
         "id", "site",
@@ -116,10 +131,12 @@ def site_lines(docs: DataFrame, text_col: str = "content_source", min_docs: int
             "filter(transform(lines, (h, i) -> named_struct('line_no', numbers[i], 'line_hash', h, "
             "'hot', coalesce(hot[i], 0L), 'all', counts[i])), x -> x.hot = x.all)"
         )).alias("x"),
-    ).select("id", "site", "x.line_no", "x.line_hash")
+    ).select("id", "site", "x.line_no", "x.line_hash", (F.col("x.all") == 1).alias("one"))
     whole = stage(whole)
-    counted = whole.groupBy("site", "line_hash").agg(F.count_distinct("id").alias("n")).join(need, "site").where("n >= need").select("site", "line_hash")
-    return whole.join(counted, ["site", "line_hash"]).select("site", "id", "line_no", "line_hash")
+    chains = whole.where("NOT one")
+    counted = chains.groupBy("site", "line_hash").agg(F.count_distinct("id").alias("n")).join(need, "site").where("n >= need").select("site", "line_hash")
+    columns = ["site", "id", "line_no", "line_hash"]
+    return whole.where("one").select(*columns).unionByName(_meet(chains, stage(counted), ["site", "line_hash"], most).select(*columns))
 
 
 def listed(docs: DataFrame, found: DataFrame, text_col: str = "content_source") -> DataFrame:

@@ -74,7 +74,9 @@ def test_site_lines_equal_counting(spark):
         lines = [rng.choice(pool) for _ in range(8)] + [f"story {rng.random()}", "", "  "]
         rng.shuffle(lines)
         docs.append((k, rng.choice(["a.example", "b.example"]), "\n".join(f" {x}　" if rng.random() < 0.3 else x for x in lines)))
-    got = rows(site_lines.site_lines(spark.createDataFrame(docs + docs[:3], "id long, site string, content_source string"), min_share=0.4).select("id", "line_no"))
+    df = spark.createDataFrame(docs + docs[:3], "id long, site string, content_source string")
+    got = rows(site_lines.site_lines(df, min_share=0.4).select("id", "line_no"))
+    assert rows(site_lines.site_lines(df, min_share=0.4, most=0).select("id", "line_no")) == got
     seen, n = defaultdict(set), defaultdict(set)
     key = lambda x: re.sub("[0-9]+", "#", x.strip())
     for i, s, t in docs:
