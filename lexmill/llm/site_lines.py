@@ -2,7 +2,7 @@
 
 Each text is cut into content-defined chunks: a rolling hash over CUT_WINDOW code points ends a chunk wherever it falls
 into one of 2**CUT_BITS residues. The hash starts anew after a line feed, because the result is stated by line: a line is a
-whole number of chunks and the chunks of equal lines are equal. Spark counts the distinct documents per (site, chunk). A line
+whole number of chunks, a chunk knows whether it begins or ends one, and the chunks of equal lines are equal. Spark counts the distinct documents per (site, chunk). A line
 that is one chunk is repeated if its chunk is. Of the longer lines those whose chunks are all frequent remain; frequent chunks may
 be put together anew in every document, so the documents of these chains of chunks are counted once more.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.rolling import chunks, codes, prefix, spans, windows
+from lexmill.llm.rolling import chunks, codes, mix, prefix, spans, windows
 from lexmill.functions.web import site
 from lexmill.runtime import BROADCAST_ROWS, small, stage
 
@@ -63,7 +63,9 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.concatenate(([0], np.where(ends[edge], edge + 1, edge)[:-1]))
             full = edge > starts
             starts, edge = starts[full], edge[full]
-            h_chunk, of = spans(p, starts, edge), line[starts]
+            # where a chunk begins or ends a line belongs to its content
+            side = (np.concatenate(([True], c[:-1] == _LF))[starts].astype(np.uint64) << np.uint64(1)) | ends[edge].astype(np.uint64)
+            h_chunk, of = mix(spans(p, starts, edge) + side), line[starts]
             begin = np.concatenate(([0], feeds[:-1] + 1))
             h_line, filled = spans(p, begin, feeds), feeds > begin
             first = np.concatenate(([0], np.cumsum([len(doc) for doc in masked])))
