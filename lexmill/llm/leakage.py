@@ -5,6 +5,10 @@ position, the term before it, the term after it). A run of 2 * TERM characters o
 so an exact phrase is found by intersecting the two offset-adjusted lists. The rarer term of the two leads: only its
 postings are stored, and the neighbour kept in the posting decides the intersection.
 
+Where a passage was edited, no long run is left. A proximity match is two or more of the successive terms of a passage (those at
+multiples of TERM) in one document, in their order and within NEAR letters and digits: the positional lists of these terms are
+intersected with the offsets left free.
+
 The test vocabulary is sent to the executors while its counted size stays within MAX_TERMS; a larger test set is worked off
 in several blocks of items, each against all documents. Null or short texts and passages (below 2 * TERM characters) match
 nothing, nor do rows without an id; repeated rows count once.
@@ -24,6 +28,8 @@ from lexmill.llm.rolling import chunks, joined, signed, windows
 from lexmill.runtime import stage
 
 TERM = 25
+#: Letters and digits between the beginnings of two terms of a proximity match.
+NEAR = 400
 #: Terms of one block of test items (8 bytes each).
 MAX_TERMS = 2_000_000
 _BITS = 22
@@ -127,6 +133,39 @@ def _item_terms(term: int):
     return run
 
 
+def _collected(terms: DataFrame) -> np.ndarray:
+    """Distinct terms of one block, at most about MAX_TERMS."""
+    return terms.select("term").distinct().toArrow().column("term").to_numpy()
+
+
+def _listed(items: DataFrame, term: int, block_terms: int, every: int = 1) -> list[DataFrame]:
+    """(term, item_id, pos) of the items, at every so many positions, in blocks of whole items."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").distinct()
+    listed = stage(items.mapInArrow(_item_terms(term), "term long, item_id long, pos int").where(F.col("pos") % every == 0))
+    blocks = max(1, -(-listed.count() // block_terms))
+    return [listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, term: int = TERM, near: int = NEAR, block_terms: int = MAX_TERMS) -> DataFrame:
+    """(doc_id, item_id, n_terms): documents with two or more of the successive terms of a passage in order and near each other.
+
+    n_terms: how many of the passage's terms stand near another one. Exact phrases of 3 * term - 1 are among the matches.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    parts = []
+    for own in _listed(items, term, block_terms, term):
+        words = docs.sparkSession.sparkContext.broadcast(_collected(own).tobytes())
+        index = docs.mapInArrow(_postings(words, term), "term long, doc_id long, pos int, before long, after long").select("term", "doc_id", F.col("pos").alias("at"))
+        met = stage(index.join(own, "term").select("doc_id", "item_id", "at", "pos").distinct())
+        # a document and item have few distinct terms, at most near / term of them stand in one window
+        bins = met.withColumn("bin", F.floor(F.col("at") / near))
+        later = bins.select("doc_id", "item_id", F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"), F.col("at").alias("at2"), F.col("pos").alias("pos2"))
+        pairs = bins.join(later, ["doc_id", "item_id", "bin"]).where((F.col("pos2") > F.col("pos")) & (F.col("at2") - F.col("at")).between(term, near))
+        parts.append(pairs.groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("a"), F.collect_set("pos2").alias("b")))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.select("doc_id", "item_id", F.size(F.array_union("a", "b")).alias("n_terms"))
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_terms: int = MAX_TERMS, places: bool = True) -> DataFrame:
     """Every place where 2 * term successive letters and digits of a passage stand in a document.
 
@@ -135,15 +174,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").distinct()
-    listed = stage(items.mapInArrow(_item_terms(term), "term long, item_id long, pos int"))
-    blocks = max(1, -(-listed.count() // block_terms))
     parts = []
-    for b in range(blocks):
-        own = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+    for own in _listed(items, term, block_terms):
         left, right = own.toDF("lead", "item_id", "pos"), own.select(F.col("term").alias("next"), "item_id", (F.col("pos") - term).alias("pos"))
         pairs = left.join(right, ["item_id", "pos"]).select("item_id", "pos", "lead", "next")
-        words = np.array([r[0] for r in own.select("term").distinct().collect()], dtype=np.int64)
+        words = _collected(own)
         counts = docs.mapInArrow(_frequency(spark.sparkContext.broadcast(words.tobytes()), term), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         counts = stage(counts)
         found = pairs.join(counts.toDF("lead", "n_lead"), "lead").join(counts.toDF("next", "n_next"), "next")
@@ -156,7 +191,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_te
         )
         if not places:
             anchors = anchors.select("item_id", "term", "partner", "forward").distinct()
-        rare = np.array([r[0] for r in anchors.select("term").distinct().collect()], dtype=np.int64)
+        rare = _collected(anchors)
         index = docs.mapInArrow(
             _postings(spark.sparkContext.broadcast(rare.tobytes()), term), "term long, doc_id long, pos int, before long, after long"
         )

@@ -133,6 +133,11 @@ def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+def p9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with several terms of a passage in order and near each other, edits between them allowed."""
+    return leakage.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.sharing_pairs(*shared_spans.repeated_windows(table(spark, sf_dir, "documents")))
 
@@ -151,6 +156,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_glossary, p1_chapters, p4_found, p2_found, p2_site_lines, p2_clean, p3_found, p3_evidence, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
-        p7_main_text, p8_containers, p9_found, p9_leaked_items, p10_found, p10_classes, p10_shared_chars,
+        p7_main_text, p8_containers, p9_found, p9_leaked_items, p9_proximity, p10_found, p10_classes, p10_shared_chars,
     )
 }
