@@ -6,8 +6,8 @@ so an exact phrase is found by intersecting the two offset-adjusted lists. The r
 postings are stored, and the neighbour kept in the posting decides the intersection.
 
 Where a passage was edited, no long run is left. A proximity match is two or more of the successive terms of a passage (those at
-multiples of TERM) in one document, in their order and within NEAR letters and digits: the positional lists of these terms are
-intersected with the offsets left free.
+multiples of TERM) next to each other in one document, in their order and within NEAR letters and digits: the positional lists
+of these terms are merged with the offsets left free.
 
 The test vocabulary is sent to the executors while its counted size stays within MAX_TERMS; a larger test set is worked off
 in several blocks of items, each against all documents. Null or short texts and passages (below 2 * TERM characters) match
@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.rolling import chunks, joined, signed, windows
@@ -147,7 +147,7 @@ def _listed(items: DataFrame, term: int, block_terms: int, every: int = 1) -> li
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, term: int = TERM, near: int = NEAR, block_terms: int = MAX_TERMS) -> DataFrame:
-    """(doc_id, item_id, n_terms): documents with two or more of the successive terms of a passage in order and near each other.
+    """(doc_id, item_id, n_terms): documents in which one of the successive terms of a passage is followed by a later one near it.
 
     n_terms: how many of the passage's terms stand near another one. Exact phrases of 3 * term - 1 are among the matches.
     """
@@ -156,14 +156,12 @@ def proximity_matches(docs: DataFrame, items: DataFrame, term: int = TERM, near:
     for own in _listed(items, term, block_terms, term):
         words = docs.sparkSession.sparkContext.broadcast(_collected(own).tobytes())
         index = docs.mapInArrow(_postings(words, term), "term long, doc_id long, pos int, before long, after long").select("term", "doc_id", F.col("pos").alias("at"))
-        met = stage(index.join(own, "term").select("doc_id", "item_id", "at", "pos").distinct())
-        # a document and item have few distinct terms, at most near / term of them stand in one window
-        bins = met.withColumn("bin", F.floor(F.col("at") / near))
-        later = bins.select("doc_id", "item_id", F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"), F.col("at").alias("at2"), F.col("pos").alias("pos2"))
-        pairs = bins.join(later, ["doc_id", "item_id", "bin"]).where((F.col("pos2") > F.col("pos")) & (F.col("at2") - F.col("at")).between(term, near))
-        parts.append(pairs.groupBy("doc_id", "item_id").agg(F.collect_set("pos").alias("a"), F.collect_set("pos2").alias("b")))
-    found = reduce(DataFrame.unionByName, parts)
-    return found.select("doc_id", "item_id", F.size(F.array_union("a", "b")).alias("n_terms"))
+        terms = own.groupBy("item_id", "term").agg(F.min("pos").alias("pos"))  # a term that a passage repeats counts where it stands first
+        met = index.join(terms, "term").select("doc_id", "item_id", "at", "pos").distinct()
+        order = Window.partitionBy("doc_id", "item_id").orderBy("at")
+        pairs = met.withColumns({"at0": F.lag("at").over(order), "pos0": F.lag("pos").over(order)}).where((F.col("pos") > F.col("pos0")) & (F.col("at") - F.col("at0")).between(term, near))
+        parts.append(pairs.select("doc_id", "item_id", F.explode(F.array("pos0", "pos")).alias("pos")))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.count_distinct("pos").cast("int").alias("n_terms"))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, term: int = TERM, block_terms: int = MAX_TERMS, places: bool = True) -> DataFrame:

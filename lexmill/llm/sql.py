@@ -33,9 +33,11 @@ SQL: dict[str, str] = {
       g AS (SELECT item_id, unnest(range(0, length(t) - 24, 25)) AS q, unnest(list_transform(range(0, length(t) - 24, 25), lambda k: t[k + 1:k + 25])) AS g FROM i WHERE length(t) >= 25),
       d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
       w AS (SELECT doc_id, unnest(range(0, length(t) - 24)) AS p, unnest(list_transform(range(0, length(t) - 24), lambda k: t[k + 1:k + 25])) AS g FROM d WHERE length(t) >= 25),
-      m AS (SELECT DISTINCT doc_id, item_id, p, q FROM w JOIN g USING (g)),
-      x AS (SELECT a.doc_id, a.item_id, a.q AS q1, b.q AS q2 FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.q > a.q AND b.p - a.p BETWEEN 25 AND 400)
-      SELECT doc_id, item_id, CAST(count(DISTINCT q) AS INTEGER) AS n_terms FROM (SELECT doc_id, item_id, q1 AS q FROM x UNION ALL SELECT doc_id, item_id, q2 FROM x) GROUP BY ALL""",
+      f AS (SELECT item_id, g, min(q) AS q FROM g GROUP BY item_id, g),
+      m AS (SELECT DISTINCT doc_id, item_id, p, q FROM w JOIN f USING (g)),
+      x AS (SELECT *, lag(p) OVER o AS p0, lag(q) OVER o AS q0 FROM m WINDOW o AS (PARTITION BY doc_id, item_id ORDER BY p)),
+      y AS (SELECT * FROM x WHERE q > q0 AND p - p0 BETWEEN 25 AND 400)
+      SELECT doc_id, item_id, CAST(count(DISTINCT q) AS INTEGER) AS n_terms FROM (SELECT doc_id, item_id, q FROM y UNION ALL SELECT doc_id, item_id, q0 FROM y) GROUP BY ALL""",
     "p9_leaked_items": """WITH i AS (SELECT DISTINCT item_id, regexp_replace(lower(passage), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM bench_items),
       g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 48), lambda k: t[k:k + 49])) AS g FROM i WHERE length(t) >= 50),
       d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
