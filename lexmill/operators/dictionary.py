@@ -86,3 +86,8 @@ def matches(found: DataFrame) -> DataFrame:
 def presence(found: DataFrame) -> DataFrame:
     """(id, key) of keys that occur at all."""
     return found.select("id", "key").distinct()
+
+
+def sources_present(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term) of terms whose own source occurs, whatever their aliases do. terms: id, source."""
+    return found.join(terms.select(F.col("id").alias("term"), F.col("source").alias("key")), ["term", "key"], "left_semi").select("id", "term").distinct()

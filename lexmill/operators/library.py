@@ -61,3 +61,9 @@ def cascade(child: DataFrame, gone: DataFrame, column: str, set_null: bool = Fal
         return child.join(ids, column, "left_anti")
     marked = child.join(ids.withColumn("_gone", F.lit(True)), column, "left")
     return marked.withColumn(column, F.when(F.col("_gone"), None).otherwise(F.col(column))).drop("_gone").select(*child.columns)
+
+
+def imported(books: DataFrame, parts: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(books, chapters) of an import: books (book_id, title), parts (book_id, seq, ...); ids get the kind before them, chapters a dense place from 0."""
+    name = lambda df: df.withColumn("book_id", F.concat(F.lit(f"{kind}-"), "book_id"))
+    return name(books), name(parts)

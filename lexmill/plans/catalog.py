@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ("usage", "shelf", "texts", "matching", "documents", "streams", "edits")
+MODULES: tuple[str, ...] = ("usage", "shelf", "texts", "matching", "documents", "streams", "edits", "rules")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -132,12 +132,18 @@ def glossary_fingerprints(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CB} SELECT id AS chapter_id, sha256('v1 ' || source_lang || '>' || target_lang || ' deep ' || sha256(content_source)) AS memo FROM cb"""
+    f"""WITH {_CB}, g AS (SELECT DISTINCT * FROM glossary WHERE book_id IS NOT NULL), s AS (SELECT book_id, source || '=' || target || '#' || gender || CASE WHEN trim(coalesce(context, '')) <> '' THEN '@' || trim(context) ELSE '' END || CASE WHEN pinned THEN '!' ELSE '' END
+        || CASE WHEN len(json_transform(aliases, '["VARCHAR"]')) > 0 THEN '~' || array_to_string(list_sort(json_transform(aliases, '["VARCHAR"]')), ',') ELSE '' END AS s FROM g),
+      f AS (SELECT book_id, left(sha256(string_agg(s, chr(10) ORDER BY s)), 16) AS fp FROM s GROUP BY book_id)
+    SELECT id AS chapter_id, sha256('v1 ' || source_lang || '>' || target_lang || ' deep ' || coalesce(fp, left(sha256(''), 16)) || ' ' || sha256(content_source)) AS memo FROM cb LEFT JOIN f ON f.book_id = cb.book_id"""
 )
 def memo_keys(t: Tables) -> DataFrame:
-    """Memo key of a chapter: changes with version, language pair, model and text."""
-    x = _texts(t, "content_source")
-    payload = F.concat(F.lit("v1 "), "source_lang", F.lit(">"), "target_lang", F.lit(" deep "), F.sha2("content_source", 256))
+    """Memo key of a chapter: changes with version, language pair, model, the book's terms and text."""
+    text = F.sha2("content_source", 256)
+    x = t.chapters.select("id", "book_id", text.alias("text")).distinct().join(t.once("books", F.col("id").alias("book_id"), "source_lang", "target_lang"), "book_id")
+    x = x.join(glossary_fingerprints(t), "book_id", "left")
+    terms = F.coalesce("fingerprint", F.left(F.sha2(F.lit(""), 256), F.lit(16)))
+    payload = F.concat(F.lit("v1 "), "source_lang", F.lit(">"), "target_lang", F.lit(" deep "), terms, F.lit(" "), "text")
     return x.select(F.col("id").alias("chapter_id"), F.sha2(payload, 256).alias("memo"))
 
 

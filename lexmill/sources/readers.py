@@ -92,6 +92,17 @@ def term_rows(table: DataFrame, *keep: str) -> DataFrame:
     return cleaned.where("source <> '' AND target <> ''")
 
 
+def term_files(spark: SparkSession, path: str, *keep: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """Terms of CSV files with a header; files with a quote left open, or of more than max_rows rows in all, are refused. Ragged rows are kept."""
+    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    quotes = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.sum(F.regexp_count("value", F.lit('"'))).alias("n"))
+    if quotes.where("n % 2 = 1").limit(1).count():
+        raise ValueError("a quote is not closed")
+    if max_rows is not None and table.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    return term_rows(table, *keep)
+
+
 def term_table(terms: DataFrame, *keep: str) -> DataFrame:
     """Terms as a table to export: formula signs disarmed, gender and tags in one column, aliases joined. keep: further columns."""
     sex = F.when(F.col("gender").isin("masculine", "feminine"), F.concat(F.lit("#"), "gender"))

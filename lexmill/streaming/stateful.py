@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,6 +84,38 @@ def admitted(requests: DataFrame, window: int = WINDOW_MS, limit: int = LIMIT) -
     return rows.mapInPandas(run, "user_id long, at long, id long, admitted boolean")
 
 
+def flushed(log: DataFrame, now: Column, backoff: int = BACKOFF_MS) -> DataFrame:
+    """One flush of every user's write log: replay() as windows. log: id, user_id, at, status, attempts; adds state, attempts counts on.
+
+    An operation stops its user's flush if it still pauses after a failure, or if it fails for the time being.
+    """
+    result = F.when(F.col("status") < 300, "flushed").when(F.col("status").between(400, 499) & ~F.col("status").isin(*TRANSIENT), "dropped").otherwise("pending")
+    x = log.withColumns({"outcome": result, "waits": (F.col("attempts") > 0) & (now - F.col("at") < backoff), "place": F.struct("at", "id")})
+    stops = x.where("waits OR outcome = 'pending'").groupBy("user_id").agg(F.min("place").alias("stop"))
+    y = x.join(stops, "user_id", "left")
+    before = F.col("stop").isNull() | (F.col("place") < F.col("stop"))
+    tried = F.coalesce(F.col("place") == F.col("stop"), F.lit(False)) & ~F.col("waits")
+    return y.select("id", "user_id", F.when(before, F.col("outcome")).otherwise("pending").alias("state"), (F.col("attempts") + tried.cast("int")).alias("attempts"))
+
+
+def throttled(progress: DataFrame, growth: float = GROWTH) -> DataFrame:
+    """progress: user_id, at, id, progress. Adds saved, by streaming each user's values in time order through saved()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, last = object(), 0.0
+        for pdf in batches:
+            flags: list[bool] = []
+            for name, part in pdf.groupby("user_id", sort=False, dropna=False):
+                if name != user:
+                    user, last = name, 0.0
+                got, last = saved(part["progress"].tolist(), last, growth)
+                flags += got
+            yield pdf[["user_id", "at", "id"]].assign(saved=flags)
+
+    rows = progress.select("user_id", "at", "id", "progress").where("user_id IS NOT NULL").repartition("user_id").sortWithinPartitions("user_id", "at", "id")
+    return rows.mapInPandas(run, "user_id long, at long, id long, saved boolean")
+
+
 def admitted_stream(requests: DataFrame, window: int = WINDOW_MS, limit: int = LIMIT) -> DataFrame:
     """The same over a stream, the admitted times of the last window kept as state of each user."""
 
