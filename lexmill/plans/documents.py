@@ -25,29 +25,41 @@ def _chapters(t: Tables) -> DataFrame:
     return t.chapters.select("id", "book_id", "seq", "title_source", "title_target", "content_source", "content_target").dropDuplicates(["id"])
 
 
+_ENDS = "e AS (SELECT book_id, min(seq // 500) AS first, max(seq // 500) AS last FROM c GROUP BY book_id)"
+_PART = "regexp_replace(coalesce(title_target, title_source), '<[^>]+>', '', 'g') || chr(10) || chr(10) || regexp_replace(coalesce(content_target, content_source), '<[^>]+>', '', 'g')"
+_NAME = "coalesce(b.title_target, b.title)"
+
+
 @query(
-    f"""WITH {_C}, {_B}, p AS (SELECT book_id, string_agg(regexp_replace(coalesce(title_target, title_source), '<[^>]+>', '', 'g') || chr(10) || chr(10) || regexp_replace(coalesce(content_target, content_source), '<[^>]+>', '', 'g'), chr(10) || chr(10) || chr(10) ORDER BY seq) AS body FROM c GROUP BY book_id)
-    SELECT b.id AS book_id, md5(coalesce(b.title_target, b.title) || chr(10) || CASE WHEN coalesce(author, '') <> '' THEN author || chr(10) ELSE '' END || chr(10) || p.body || chr(10)) AS digest FROM b JOIN p ON b.id = p.book_id"""
+    f"""WITH {_C}, {_B}, {_ENDS}, p AS (SELECT book_id, seq // 500 AS part, string_agg({_PART}, chr(10) || chr(10) || chr(10) ORDER BY seq, id) AS body FROM c GROUP BY ALL)
+    SELECT b.id AS book_id, CAST(p.part AS INTEGER) AS part, md5(CASE WHEN part = first THEN {_NAME} || chr(10) || CASE WHEN coalesce(author, '') <> '' THEN author || chr(10) ELSE '' END || chr(10) ELSE chr(10) || chr(10) || chr(10) END
+      || p.body || CASE WHEN part = last THEN chr(10) ELSE '' END) AS digest FROM b JOIN p ON b.id = p.book_id JOIN e ON e.book_id = b.id"""
 )
 def export_txt(t: Tables) -> DataFrame:
-    """Whole books as plain text, by digest."""
-    return writers.export_book(t.books, _chapters(t)).select("book_id", F.md5("body").alias("digest"))
+    """Books as plain text in parts, by digest."""
+    return writers.export_book(t.books, _chapters(t)).select("book_id", "part", F.md5("body").alias("digest"))
 
 
 @query(
-    f"""WITH {_C}, {_B}, p AS (SELECT book_id, string_agg('## ' || regexp_replace(coalesce(title_target, title_source), '<[^>]+>', '', 'g') || chr(10) || chr(10) || regexp_replace(coalesce(content_target, content_source), '<[^>]+>', '', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq) AS body FROM c GROUP BY book_id)
-    SELECT b.id AS book_id, md5('# ' || coalesce(b.title_target, b.title) || chr(10) || CASE WHEN coalesce(author, '') <> '' THEN chr(10) || '_' || author || '_' || chr(10) ELSE '' END || chr(10) || p.body || chr(10)) AS digest FROM b JOIN p ON b.id = p.book_id"""
+    f"""WITH {_C}, {_B}, {_ENDS}, p AS (SELECT book_id, seq // 500 AS part, string_agg('## ' || {_PART}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seq, id) AS body FROM c GROUP BY ALL)
+    SELECT b.id AS book_id, CAST(p.part AS INTEGER) AS part, md5(CASE WHEN part = first THEN '# ' || {_NAME} || chr(10) || CASE WHEN coalesce(author, '') <> '' THEN chr(10) || '_' || author || '_' || chr(10) ELSE '' END || chr(10)
+      ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || p.body || CASE WHEN part = last THEN chr(10) ELSE '' END) AS digest FROM b JOIN p ON b.id = p.book_id JOIN e ON e.book_id = b.id"""
 )
 def export_md(t: Tables) -> DataFrame:
-    """Whole books as markdown, by digest."""
-    return writers.export_book(t.books, _chapters(t), "md").select("book_id", F.md5("body").alias("digest"))
+    """Books as markdown in parts, by digest."""
+    return writers.export_book(t.books, _chapters(t), "md").select("book_id", "part", F.md5("body").alias("digest"))
 
 
-@query(f"WITH {_C} SELECT book_id, count(*) AS n FROM c JOIN (SELECT DISTINCT id FROM books) b ON c.book_id = b.id GROUP BY book_id")
+@query(
+    f"""WITH {_C}, {_B} SELECT book_id, b.title, CAST(row_number() OVER (PARTITION BY book_id ORDER BY seq, c.id) - 1 AS INTEGER) AS idx, coalesce(c.title_target, title_source) AS chapter, md5(coalesce(content_target, content_source)) AS digest
+    FROM c JOIN b ON c.book_id = b.id"""
+)
 def export_json(t: Tables) -> DataFrame:
-    """Whole books as JSON, read back: chapters per book."""
-    j = writers.export_book(t.books, _chapters(t), "json")
-    return j.select("book_id", F.size(F.from_json("body", "struct<chapters:array<struct<title:string>>>")["chapters"]).cast("long").alias("n"))
+    """Books as JSON in parts, the parts laid end to end and read back."""
+    j = writers.export_book(t.books, _chapters(t), "json").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("part", "body"))).alias("p"))
+    back = F.from_json(F.array_join(F.col("p.body"), ""), "struct<title:string,chapters:array<struct<title:string,content:string>>>")
+    x = j.select("book_id", back.alias("j")).select("book_id", F.col("j.title").alias("title"), F.posexplode("j.chapters").alias("idx", "c"))
+    return x.select("book_id", "title", "idx", F.col("c.title").alias("chapter"), F.md5("c.content").alias("digest"))
 
 
 @query(

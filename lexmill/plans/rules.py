@@ -242,7 +242,7 @@ def retry_delays(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS (SELECT DISTINCT event_id, user_id, event_type, CAST(epoch_ms(ts) AS BIGINT) AS moment FROM events), n AS (SELECT max(moment) AS now FROM e), j AS (SELECT user_id, max(moment) AS moment, max_by(event_type, (moment, event_id)) AS state FROM e GROUP BY user_id)
+    f"""WITH e AS (SELECT DISTINCT event_id, user_id, event_type, epoch_us(ts) // 1000 AS moment FROM events), n AS (SELECT max(moment) AS now FROM e), j AS (SELECT user_id, max(moment) AS moment, max_by(event_type, (moment, event_id)) AS state FROM e GROUP BY user_id)
     SELECT user_id, state, j.moment + {LIMITS.evict_ms} <= now AND state <> 'view' AS evicted FROM j, n"""
 )
 def evicted_jobs(t: Tables) -> DataFrame:
@@ -254,7 +254,7 @@ def evicted_jobs(t: Tables) -> DataFrame:
     return j.join(now).select("user_id", "state", ((F.col("at") + LIMITS.evict_ms <= F.col("now")) & (F.col("state") != "view")).alias("evicted"))
 
 
-_OPS = f"""o AS (SELECT event_id AS id, user_id, CAST(epoch_ms(ts) AS BIGINT) AS moment, CASE WHEN event_id % 7 < 5 THEN 200 ELSE {_STATUS} END AS status, CAST(event_id % 3 AS INTEGER) AS attempts FROM (SELECT DISTINCT event_id, user_id, ts FROM events))"""
+_OPS = f"""o AS (SELECT event_id AS id, user_id, epoch_us(ts) // 1000 AS moment, CASE WHEN event_id % 7 < 5 THEN 200 ELSE {_STATUS} END AS status, CAST(event_id % 3 AS INTEGER) AS attempts FROM (SELECT DISTINCT event_id, user_id, ts FROM events))"""
 
 
 @query(
@@ -273,7 +273,7 @@ def write_log_flushed(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, id) AS k FROM (SELECT DISTINCT event_id AS id, user_id, CAST(epoch_ms(ts) AS BIGINT) AS moment, value / 100.0 AS p FROM events)),
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, id) AS k FROM (SELECT DISTINCT event_id AS id, user_id, epoch_us(ts) // 1000 AS moment, value / 100.0 AS p FROM events)),
     r AS (SELECT id, user_id, k, p > 0.005 AS saved, CASE WHEN p > 0.005 THEN p ELSE 0.0 END AS last FROM e WHERE k = 1
       UNION ALL SELECT e.id, e.user_id, e.k, e.p > r.last + 0.005, CASE WHEN e.p > r.last + 0.005 THEN e.p ELSE r.last END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
     SELECT id, user_id, saved FROM r"""

@@ -162,21 +162,20 @@ def glossary_page(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {_G}, k AS (SELECT *, CASE WHEN scope = 'book' THEN book_id ELSE concat_ws('|', user_id, source_lang, target_lang) END AS owner_key FROM g),
-    cut AS (SELECT quantile_disc(updated_at, 0.5) AS cut_at FROM k), e AS (SELECT k.* FROM k, cut WHERE updated_at <= cut_at), i AS (SELECT k.* FROM k, cut WHERE updated_at > cut_at),
+    e AS (SELECT * FROM k WHERE id % 2 = 0), i AS (SELECT * FROM k WHERE id % 2 = 1),
     e1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_key, scope, source ORDER BY updated_at DESC, id DESC) rn FROM e) WHERE rn = 1),
     i1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_key, scope, source ORDER BY updated_at DESC, id DESC) rn FROM i) WHERE rn = 1)
     SELECT coalesce(e1.owner_key, i1.owner_key) AS owner_key, coalesce(e1.scope, i1.scope) AS scope, coalesce(e1.source, i1.source) AS source, coalesce(i1.target, e1.target) AS target,
-      coalesce(e1.created_at, i1.created_at) AS created_at, coalesce(i1.updated_at, e1.updated_at) AS updated_at,
+      CASE WHEN e1.source IS NULL THEN i1.first_chapter_id ELSE e1.first_chapter_id END AS first_chapter_id, coalesce(e1.created_at, i1.created_at) AS created_at, coalesce(i1.updated_at, e1.updated_at) AS updated_at,
       CASE WHEN e1.source IS NULL THEN 'added' WHEN i1.source IS NULL THEN 'kept' ELSE 'updated' END AS outcome
     FROM e1 FULL JOIN i1 ON e1.owner_key = i1.owner_key AND e1.scope = i1.scope AND e1.source = i1.source"""
 )
 def glossary_merge(t: Tables) -> DataFrame:
-    """Upsert of the later half of all terms into the earlier half: last wins, created_at stays."""
-    g = t.glossary.distinct().select(*library.term_key(), "target", "created_at", "updated_at", "id")
-    at = t.glossary.select("id", "updated_at").distinct().agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY updated_at)").alias("at")).first()[0]
+    """Upsert of every other term (odd ids) into the rest: last wins, created_at and the first chapter stay."""
+    g = t.glossary.distinct().select(*library.term_key(), "target", "first_chapter_id", "created_at", "updated_at", "id")
     keys, order = ["owner_key", "scope", "source"], [F.col("updated_at"), F.col("id")]
-    old = ordered.last_by_key(g.where(F.col("updated_at") <= at), keys, order)
-    return library.upsert(old, g.where(F.col("updated_at") > at), keys, order, ["created_at"]).drop("id")
+    old = ordered.last_by_key(g.where("id % 2 = 0"), keys, order)
+    return library.upsert(old, g.where("id % 2 = 1"), keys, order, ["created_at", "first_chapter_id"]).drop("id")
 
 
 @query(

@@ -18,7 +18,7 @@ _CB = "cb AS (SELECT DISTINCT c.id, c.book_id, c.seq, c.title_source, c.title_ta
 
 def _texts(t: Tables, *columns: str) -> DataFrame:
     b = t.once("books", F.col("id").alias("book_id"), "source_lang", "target_lang")
-    return t.chapters.select("id", "book_id", *columns).dropDuplicates(["id"]).join(b, "book_id")
+    return t.chapters.select("id", "book_id", *columns).join(b, "book_id")  # rows delivered twice drop out of the compact results
 
 
 @query(
@@ -59,7 +59,7 @@ def content_counts(t: Tables) -> DataFrame:
     """Characters, words, paragraphs and reading time of every chapter by its language."""
     x = _texts(t, "content_source")
     s = X.content_stats(F.col("content_source"), languages.delimited(F.col("source_lang")), languages.read_rate(F.col("source_lang")))
-    return x.select(F.col("id").alias("chapter_id"), s.alias("s")).select("chapter_id", "s.*")
+    return x.select(F.col("id").alias("chapter_id"), s.alias("s")).select("chapter_id", "s.*").distinct()
 
 
 @query(
@@ -70,7 +70,7 @@ def content_counts(t: Tables) -> DataFrame:
 )
 def detected_languages(t: Tables) -> DataFrame:
     """Source language of every chapter by its scripts."""
-    return _texts(t, "content_source").select(F.col("id").alias("chapter_id"), X.language(F.col("content_source")).alias("lang"))
+    return _texts(t, "content_source").select(F.col("id").alias("chapter_id"), X.language(F.col("content_source")).alias("lang")).distinct()
 
 
 @query(
@@ -85,7 +85,7 @@ def translation_flags(t: Tables) -> DataFrame:
     return x.select(
         F.col("id").alias("chapter_id"), X.has_residue(c, F.col("source_lang")).alias("residue"), X.degenerate(c).alias("degenerate"),
         X.over_expanded(s, c).alias("expanded"), F.when(F.length(s) > 0, F.round(F.length(c) / F.length(s), 4)).alias("ratio"),
-    )
+    ).distinct()
 
 
 @query(
@@ -95,7 +95,7 @@ def paragraphs_aligned(t: Tables) -> DataFrame:
     """Whether source and translation have as many paragraphs."""
     n = lambda c: F.size(F.split(c, r"\n{2,}", -1))
     x = _texts(t, "content_source", "content_target").where("content_target IS NOT NULL")
-    return x.select(F.col("id").alias("chapter_id"), (n("content_source") == n("content_target")).alias("aligned"))
+    return x.select(F.col("id").alias("chapter_id"), (n("content_source") == n("content_target")).alias("aligned")).distinct()
 
 
 @query(
@@ -150,8 +150,7 @@ def memo_keys(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT id AS chapter_id, CAST((length(lower(content_source)) - length(replace(lower(content_source), 'the', ''))) / 3 AS INTEGER) AS n FROM chapters")
 def find_in_page(t: Tables) -> DataFrame:
     """Occurrences of a needle in every chapter, letter case aside."""
-    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
-    return c.select(F.col("id").alias("chapter_id"), X.occurrences(F.col("content_source"), F.lit("the")).alias("n"))
+    return t.chapters.select(F.col("id").alias("chapter_id"), X.occurrences(F.col("content_source"), F.lit("the")).alias("n")).distinct()
 
 
 @query(
@@ -167,47 +166,43 @@ def private_addresses(t: Tables) -> DataFrame:
 @query()
 def body_texts(t: Tables) -> DataFrame:
     """Control labels dropped, broken paragraphs joined: (chapter_id, n_before, n_after, digest)."""
-    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
-    x = c.select(F.col("id").alias("chapter_id"), "content_source", column(P.body_text, "string")(F.col("content_source")).alias("body"))
+    x = t.chapters.select(F.col("id").alias("chapter_id"), "content_source", column(P.body_text, "string")(F.col("content_source")).alias("body"))
     n = lambda col: F.size(F.split(col, r"\n{2,}", -1))
-    return x.select("chapter_id", n("content_source").alias("n_before"), n("body").alias("n_after"), F.md5("body").alias("digest"))
+    return x.select("chapter_id", n("content_source").alias("n_before"), n("body").alias("n_after"), F.md5("body").alias("digest")).distinct()
 
 
 @query()
 def extraction_chunks(t: Tables) -> DataFrame:
     """Greedy chunks for extraction: (chapter_id, chunk_no, chars)."""
-    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
-    x = c.select(F.col("id").alias("chapter_id"), F.posexplode(column(P.extract_chunks, "array<string>")(F.col("content_source"))).alias("chunk_no", "chunk"))
-    return x.select("chapter_id", "chunk_no", F.length("chunk").alias("chars"))
+    x = t.chapters.select(F.col("id").alias("chapter_id"), F.posexplode(column(P.extract_chunks, "array<string>")(F.col("content_source"))).alias("chunk_no", "chunk"))
+    return x.select("chapter_id", "chunk_no", F.length("chunk").alias("chars")).distinct()
 
 
 @query()
 def tagged_paragraphs(t: Tables) -> DataFrame:
     """Paragraph chunks with numbered tags and back again: every place filled (chapter_id, chunk_no, places, filled)."""
-    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
-    x = c.select(F.col("id").alias("chapter_id"), F.posexplode(column(P.paragraph_chunks, "array<array<string>>")(F.col("content_source"))).alias("chunk_no", "paras"))
+    x = t.chapters.select(F.col("id").alias("chapter_id"), F.posexplode(column(P.paragraph_chunks, "array<array<string>>")(F.col("content_source"))).alias("chunk_no", "paras"))
     tagged = column(lambda p: P.numbered(list(p)), "string")(F.col("paras"))
     back = column(P.slots, "array<string>")(tagged, F.size("paras"))
-    return x.select("chapter_id", "chunk_no", F.size("paras").alias("places"), F.size(F.filter(back, lambda s: s.isNotNull())).alias("filled"))
+    return x.select("chapter_id", "chunk_no", F.size("paras").alias("places"), F.size(F.filter(back, lambda s: s.isNotNull())).alias("filled")).distinct()
 
 
 @query()
 def sentence_counts(t: Tables) -> DataFrame:
     """Sentences of every chapter: number and longest length."""
-    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
-    x = c.select(F.col("id").alias("chapter_id"), column(P.sentence_spans, "array<array<int>>")(F.col("content_source")).alias("s"))
-    return x.select("chapter_id", F.size("s").alias("n"), F.array_max(F.transform("s", lambda p: p[1] - p[0])).alias("longest"))
+    x = t.chapters.select(F.col("id").alias("chapter_id"), column(P.sentence_spans, "array<array<int>>")(F.col("content_source")).alias("s"))
+    return x.select("chapter_id", F.size("s").alias("n"), F.array_max(F.transform("s", lambda p: p[1] - p[0])).alias("longest")).distinct()
 
 
 @query()
 def inline_tokens(t: Tables) -> DataFrame:
     """Words of all paragraphs rendered as inline markup: their number, and the characters of the paragraphs up to their last words."""
-    c = t.chapters.select("id", "content_source").dropDuplicates(["id"])
-    p = c.select(F.col("id").alias("chapter_id"), F.explode(F.split("content_source", "\n", -1)).alias("p"))
+    p = t.chapters.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("chapter_id"), "content_source")
+    p = p.select("row", "chapter_id", F.explode(F.split("content_source", "\n", -1)).alias("p"))
     kind = "array<struct<text:string,start:int,end:int,tags:array<string>,is_word:boolean,is_break:boolean>>"
-    x = p.select("chapter_id", column(P.tokens, kind)(X.markup(F.col("p"))).alias("w"))
-    x = x.select("chapter_id", F.transform(F.filter("w", lambda w: w.is_word), lambda w: w.end).alias("ends")).where(F.size("ends") > 0)
-    return x.groupBy("chapter_id").agg(F.sum(F.size("ends")).alias("words"), F.sum(F.array_max("ends")).alias("chars"))
+    x = p.select("row", "chapter_id", column(P.tokens, kind)(X.markup(F.col("p"))).alias("w"))
+    x = x.select("row", "chapter_id", F.transform(F.filter("w", lambda w: w.is_word), lambda w: w.end).alias("ends")).where(F.size("ends") > 0)
+    return x.groupBy("row", "chapter_id").agg(F.sum(F.size("ends")).alias("words"), F.sum(F.array_max("ends")).alias("chars")).drop("row").distinct()
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -39,9 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset and the master is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
     return at.rstrip("/")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -147,3 +148,79 @@ def test_replay():
     assert states([op(200), op(503), op(200)]) == ["flushed", "pending", "pending"]
     assert states([op(200, 1, 90_000), op(200)]) == ["pending", "pending"] and states([op(200, 1, 10_000)]) == ["flushed"]
     assert stateful.saved([0.1, 0.104, 0.2])[0] == [True, False, True]
+
+
+def test_settings_as_text():
+    from lexmill.plans.rules import Limits
+
+    assert Limits.read({"daily_budget": "", "requests": "0"}) == Limits()
+    got = Limits.read({"daily_budget": "0", "requests": "7"})
+    assert got.daily_budget == 0 and got.requests == 7
+
+
+def test_flush_as_windows_equals_replay(spark):
+    import random
+
+    from lexmill.streaming import stateful as S
+
+    rng = random.Random(2)
+    logs = {u: [{"id": u * 100 + k, "user_id": u, "at": k * 1000, "status": rng.choice([200, 200, 201, 404, 401, 429, 500, 302]), "attempts": rng.choice([0, 0, 1])} for k in range(12)] for u in range(20)}
+    now = 70_000
+    want = {}
+    for log in logs.values():
+        for op in S.replay([dict(op, last_attempt_at=op["at"]) for op in log], now):
+            want[op["id"]] = (op["state"], op["attempts"])
+    df = spark.createDataFrame([op for log in logs.values() for op in log], "id long, user_id long, at long, status int, attempts int")
+    from pyspark.sql import functions as F
+
+    assert {r.id: (r.state, r.attempts) for r in S.flushed(df, F.lit(now)).collect()} == want
+
+
+def test_throttled_progress_equals_its_rule(spark):
+    from lexmill.streaming import stateful as S
+
+    values = [0.1, 0.104, 0.106, 0.05, 0.2, 0.2049, 0.206]
+    df = spark.createDataFrame([(1, k, k, v) for k, v in enumerate(values)], "user_id long, at long, id long, progress double")
+    assert [r.saved for r in S.throttled(df).orderBy("id").collect()] == S.saved(values)[0]
+
+
+def test_term_files_refuse_an_open_quote(spark, tmp_path):
+    from lexmill.sources import readers
+
+    (tmp_path / "good.csv").write_text('Raw,Translation,description\n"a, b",x,#male\n c ,"y ""z"""\n', encoding="utf-8")
+    got = {(r.source, r.target, r.gender) for r in readers.term_files(spark, str(tmp_path / "good.csv")).collect()}
+    assert got == {("a, b", "x", "masculine"), ("c", 'y "z"', "neuter")}
+    (tmp_path / "bad.csv").write_text('source,target\n"a,b\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="quote"):
+        readers.term_files(spark, str(tmp_path / "bad.csv"))
+    with pytest.raises(ValueError, match="more than"):
+        readers.term_files(spark, str(tmp_path / "good.csv"), max_rows=1)
+
+
+def test_exports_in_parts_lie_end_to_end(spark):
+    import json
+
+    from lexmill.sources import writers
+
+    books = spark.createDataFrame([("b", "T", None, "A")], "id string, title string, title_target string, author string")
+    data = [(k, "b", k * 7, f"t{k}", None, f"c{k}", None) for k in range(9)]
+    chapters = spark.createDataFrame(data, "id long, book_id string, seq int, title_source string, title_target string, content_source string, content_target string")
+    for kind in ("txt", "md", "json"):
+        files = {places: "".join(r.body for r in writers.export_book(books, chapters, kind, places).orderBy("part").collect()) for places in (10, 1000)}
+        assert files[10] == files[1000]
+        assert kind != "json" or [c["title"] for c in json.loads(files[10])["chapters"]] == [f"t{k}" for k in range(9)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lexmill import runtime
+
+    kept = dict(runtime._LOCAL)
+    runtime._LOCAL.clear()
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    try:
+        with pytest.raises(RuntimeError):
+            runtime.shared_dir(session)
+    finally:
+        runtime._LOCAL.update(kept)

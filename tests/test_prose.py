@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexmill.functions import html as H
 from lexmill.functions import prose as P
 from lexmill.functions import text as X
 
@@ -117,3 +118,36 @@ def test_markup_is_random_safe():
     for _ in range(200):
         s = "".join(rng.choice("<>b/&;a \n") for _ in range(30))
         assert "".join(t for t, _ in P.runs(s)) is not None
+
+
+@pytest.mark.parametrize(
+    ("line", "heading"),
+    [
+        ("第三章 起点之战", True), ("第三章起点之战", False), ("第12話：剣", True), ("あとがき", True), ("외전 - 별", True), ("Chapter 7. The Gate", True), ("Chapter 7th day", False), ("제3장", True),
+        ("序章", True), ("番外、春", True), ("番外的故事", False),
+    ],
+)
+def test_headings_end_or_are_followed_by_a_separator(line, heading):
+    assert (P.text_chapters(f"{line}\nbody", "f")[0] == (line, "body")) is heading
+
+
+@pytest.mark.parametrize("label", ["上一章", "下一節", "前一页", "下一篇", "返回目錄", "存书签", "加入书架", "章节错误,点此举报", "第(1/3)页", "12 / 340", "로딩 중...", "목록 보기", "Table of Contents", "PREV"])
+def test_control_labels_are_dropped(label):
+    assert P.without_labels(f"story\n\n{label}\n\nmore") == "story\n\nmore"
+
+
+@pytest.mark.parametrize("line", ["前一节", "大學", "下一站", "返回的人", "The next one"])
+def test_prose_is_kept(line):
+    assert P.without_labels(line) == line
+
+
+@pytest.mark.parametrize(
+    ("html", "which", "found"),
+    [
+        ('<div id="nextra-banner" data-href="/x"></div>', "next", None), ('<input class="next" value="5515272">', "next", None), ('<a class="forward" href="/n">x</a>', "next", "https://s.example/n"),
+        ('<input id="next_epi_auto_url" value="/viewer/2">', "next", "https://s.example/viewer/2"), ('<div class="feedback" data-url="/f"></div>', "prev", None), ('<a class="上一頁" href="/p">x</a>', "prev", "https://s.example/p"),
+        ("<div onclick=\"go('/novel/42')\"></div>", "index", "https://s.example/novel/42"), ('<a href="/q">다음화 보기</a>', "next", "https://s.example/q"), ('<link rel="next" href="/l/"><a class="next" href="/m">x</a>', "next", "https://s.example/l"),
+    ],
+)
+def test_neighbours_by_hints(html, which, found):
+    assert H.nav_by_hints(H.tree(html), "https://s.example/viewer/1", which) == found
