@@ -139,36 +139,55 @@ class _Direction:
         self.to = np.array([t for k in known for t, _ in k], dtype=np.int64)
         self.p = np.array([p for k in known for _, p in k])
         self.rarity = np.array([rarity_other[w] for w in other] or [0.0])
-        self.column = np.full(max(1, len(other)), -1, dtype=np.int64)
-
-    def retrieve(self, own: _Bags, others: _Bags, numbers: dict[str, int]):
-        """(expected weight by sentence and word, index from words to sentences of the other side, weight of each bag, of each other sentence).
-
-        The last columns are the numbers of both sides.
-        """
-        n, m, w = own.n, others.n, own.ids
-        size = self.start[w + 1] - self.start[w]
-        at = np.repeat(self.start[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        t, p, of = self.to[at], self.p[at], np.repeat(own.owner, size)
-        seen = np.unique(t)
-        k, width = len(seen), max(1, len(seen) + len(numbers))
-        self.column[seen] = np.arange(k)
-        expected = np.bincount(of * width + self.column[t], weights=p, minlength=n * width).astype(np.float64).reshape(n, width)
-        np.minimum(expected, 1.0, out=expected)
-        expected[:, :k] *= self.rarity[seen]
-        index = np.zeros((width, m))
-        col = self.column[others.ids]
-        index[col[col >= 0], others.owner[col >= 0]] = 1.0
-        self.column[seen] = -1
-        mass = np.bincount(others.owner, weights=self.rarity[others.ids], minlength=m).astype(np.float64)
-        for i, xs in enumerate(own.numbers):
-            for x in xs:
-                expected[i, k + numbers[x]] = NUMBER_WEIGHT
-        for j, xs in enumerate(others.numbers):
-            mass[j] += NUMBER_WEIGHT * len(xs)
-            for x in xs:
-                index[k + numbers[x], j] = 1.0
-        return expected, index, np.maximum(expected.sum(axis=1), 1e-9), np.maximum(mass, 1e-9)
+
+    def retrieve(self, own: _Bags, others: _Bags, numbers: dict[str, int]) -> _Index:
+        """The expected words of this side's sentences against the inverted index of the other side; numbers are words of their own."""
+        base = len(self.rarity)
+        size = self.start[own.ids + 1] - self.start[own.ids]
+        at = np.repeat(self.start[own.ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key, slot = np.unique(np.repeat(own.owner, size) * np.int64(base) + self.to[at], return_inverse=True)
+        weight = np.minimum(np.bincount(slot, weights=self.p[at], minlength=len(key)), 1.0)
+        row, word = key // base, key % base
+        n_row, n_word = own.numbered(numbers)
+        o_row, o_word = others.numbered(numbers)
+        return _Index(
+            np.concatenate((row, n_row)), np.concatenate((word, base + n_word)), np.concatenate((weight * self.rarity[word], np.full(len(n_row), NUMBER_WEIGHT))),
+            np.concatenate((others.owner, o_row)), np.concatenate((others.ids, base + o_word)),
+            np.concatenate((self.rarity[others.ids], np.full(len(o_row), NUMBER_WEIGHT))), own.n, others.n,
+        )
+
+
+class _Index:
+    """Expected words by sentence of one side, postings by word of the other; scores exist only for pairs that share a word."""
+
+    def __init__(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray, owner: np.ndarray, own_word: np.ndarray, mass: np.ndarray, n: int, m: int):
+        self.n, self.m = n, m
+        self.full = np.maximum(np.bincount(row, weights=weight, minlength=n), 1e-9)
+        self.mass = np.maximum(np.bincount(owner, weights=mass, minlength=m), 1e-9)
+        order = np.argsort(own_word, kind="stable")
+        listed, posting = own_word[order], owner[order]
+        lo, hi = np.searchsorted(listed, word, "left"), np.searchsorted(listed, word, "right")
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.pairs, slot = np.unique(np.repeat(row, size) * np.int64(max(1, m)) + posting[at], return_inverse=True)
+        self.got = np.bincount(slot, weights=np.repeat(weight, size), minlength=len(self.pairs))
+        by_row = np.argsort(row, kind="stable")
+        self.cut, self.word, self.weight = np.searchsorted(row[by_row], np.arange(n + 1)), word[by_row], weight[by_row]
+        by_owner = np.argsort(owner, kind="stable")
+        self.own_cut, self.own_word = np.searchsorted(owner[by_owner], np.arange(m + 1)), own_word[by_owner]
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """Scores of pairs (row * m + column); 0 where no word is shared."""
+        if not len(self.pairs):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.got[at], 0.0)
+
+    def gain(self, row: int, column: int, beside: int) -> float:
+        """Share of a row's expectation found in one column and not in the one beside it."""
+        words, weight = self.word[self.cut[row] : self.cut[row + 1]], self.weight[self.cut[row] : self.cut[row + 1]]
+        of = lambda c: self.own_word[self.own_cut[c] : self.own_cut[c + 1]]
+        return float(weight[np.isin(words, of(column)) & ~np.isin(words, of(beside))].sum() / self.full[row])
 
 
 def _wide_table() -> np.ndarray:
@@ -224,6 +243,22 @@ class _Bags:
             self.owner = np.concatenate((self.owner, both // len(ids)))
 
 
+    def numbered(self, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, number) of all numbers."""
+        both = [(i, numbers[x]) for i, xs in enumerate(self.numbers) for x in xs]
+        return np.array([i for i, _ in both], dtype=np.int64), np.array([x for _, x in both], dtype=np.int64)
+
+
+def _mutual(rows: np.ndarray, columns: np.ndarray, by_row: np.ndarray, by_column: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the best of their row and of their column; of equals the first."""
+    place = np.arange(len(rows))
+    first_of = lambda key, score: (o := np.lexsort((place, -score, key)))[np.concatenate(([True], key[o][1:] != key[o][:-1]))] if len(key) else place
+    best_r, best_c = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+    best_r[first_of(rows, by_row)] = True
+    best_c[first_of(columns, by_column)] = True
+    return np.flatnonzero(best_r & best_c)
+
+
 class Aligner:
     """Aligns the sentences of one chapter with the tables of its language pair."""
 
@@ -240,49 +275,51 @@ class Aligner:
             return []
         bag_s, bag_t = _Bags([source[k][0] for k in s_at], self.source), _Bags([target[k][0] for k in t_at], self.target)
         numbers = {x: k for k, x in enumerate(sorted(set().union(*bag_s.numbers, *bag_t.numbers)))}
-        exp_s, in_t, full_s, mass_t = self.forward.retrieve(bag_s, bag_t, numbers)
-        exp_t, in_s, full_t, mass_s = self.backward.retrieve(bag_t, bag_s, numbers)
-        got_s, got_t = exp_s @ in_t, exp_t @ in_s
+        there, back = self.forward.retrieve(bag_s, bag_t, numbers), self.backward.retrieve(bag_t, bag_s, numbers)
         n, m = len(s_at), len(t_at)
-        near = -1e-3 * np.abs(np.arange(n)[:, None] / n - np.arange(m)[None, :] / m)
-        cos_s, cos_t = got_s / np.sqrt(full_s[:, None] * mass_t[None, :]), (got_t / np.sqrt(full_t[:, None] * mass_s[None, :])).T
-        k = len(numbers)
-        clash = np.zeros((n, m), dtype=bool)
-        if k:
-            a, b = exp_s[:, -k:] > 0, in_t[-k:] > 0
-            clash = a.any(axis=1)[:, None] & b.any(axis=0)[None, :] & ~((a.astype(np.float32) @ b.astype(np.float32)) > 0)
-        both = np.where(clash, -1.0, (cos_s + cos_t) / 2 + near)
-        best_t, best_s = np.where(clash, -1.0, cos_s + 0.25 * cos_t + near).argmax(axis=1), np.where(clash, -1.0, cos_t + 0.25 * cos_s + near).argmax(axis=0)
-        mate_s = {i: int(j) for i, j in enumerate(best_t) if best_s[j] == i and both[i, j] >= ACCEPT}
+        # candidates: pairs that either direction's index retrieves
+        keys = np.union1d(there.pairs, back.pairs % n * m + back.pairs // n)
+        i, j = keys // m, keys % m
+        flipped = j * n + i
+        cos_s, cos_t = there.score(keys) / np.sqrt(there.full[i] * there.mass[j]), back.score(flipped) / np.sqrt(back.full[j] * back.mass[i])
+        clash = lambda a, b: bool(bag_s.numbers[a]) and bool(bag_t.numbers[b]) and bag_s.numbers[a].isdisjoint(bag_t.numbers[b])
+        fits = np.array([not clash(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool) if numbers else np.ones(len(keys), dtype=bool)
+        i, j, cos_s, cos_t = i[fits], j[fits], cos_s[fits], cos_t[fits]
+        near = -1e-3 * np.abs(i / n - j / m)
+        both = (cos_s + cos_t) / 2 + near
+        at = _mutual(i, j, cos_s + 0.25 * cos_t + near, cos_t + 0.25 * cos_s + near)
+        at = at[both[at] >= ACCEPT]
+        mate_s = dict(zip(i[at].tolist(), j[at].tolist(), strict=True))
         if not grow:
-            return [(s_at[i], t_at[j]) for i, j in mate_s.items()]
+            return [(s_at[a], t_at[b]) for a, b in mate_s.items()]
         # among what is left: sentences whose best partner went to a better match
-        used = set(mate_s.values())
-        left_s, left_t = [i for i in range(n) if i not in mate_s], [j for j in range(m) if j not in used]
-        if left_s and left_t:
-            rest = both[np.ix_(left_s, left_t)]
-            a, b = rest.argmax(axis=1), rest.argmax(axis=0)
-            mate_s |= {left_s[x]: left_t[y] for x, y in enumerate(a) if b[y] == x and rest[x, y] >= 1.5 * ACCEPT}
-        mate_t = {j: i for i, j in mate_s.items()}
+        free_s, free_t = np.ones(n, dtype=bool), np.ones(m, dtype=bool)
+        free_s[list(mate_s)] = False
+        free_t[list(mate_s.values())] = False
+        rest = np.flatnonzero(free_s[i] & free_t[j])
+        at = rest[_mutual(i[rest], j[rest], both[rest], both[rest])]
+        at = at[both[at] >= 1.5 * ACCEPT]
+        mate_s |= dict(zip(i[at].tolist(), j[at].tolist(), strict=True))
+        mate_t = {b: a for a, b in mate_s.items()}
         out = set(mate_s.items())
-        # a merge: source i says what the other side of a neighbour says beyond that neighbour; a split the other way round
-        for k, mates, exp, inside, full, got, whole in (
-            *((i, mate_s, exp_t, in_s, full_t, got_s, full_s) for i in range(n) if i not in mate_s),
-            *((j, mate_t, exp_s, in_t, full_s, got_t, full_t) for j in range(m) if j not in mate_t),
-        ):
-            best = None
-            if got[k].max() < COVER * whole[k]:
-                continue
-            for beside in (k - 1, k + 1, k - 2, k + 2):
-                o = mates.get(beside)
-                if o is None or (clash[k, o] if mates is mate_s else clash[o, k]):
+        # a merge: source a says what the other side of a neighbour says beyond that neighbour; a split the other way round
+        for count, mates, own, other in ((n, mate_s, there, back), (m, mate_t, back, there)):
+            top = np.zeros(count)
+            np.maximum.at(top, own.pairs // max(1, own.m), own.got)
+            for k in np.flatnonzero(top >= COVER * own.full).tolist():
+                if k in mates:
                     continue
-                gain = float((exp[o] * inside[:, k] * (1.0 - inside[:, beside])).sum() / full[o])
-                if gain >= GAIN and got[k, o] / whole[k] >= COVER and (best is None or gain > best[0] + 0.05):
-                    best = (gain, o)
-            if best:
-                out.add((k, best[1]) if mates is mate_s else (best[1], k))
-        return sorted((s_at[i], t_at[j]) for i, j in out)
+                best = None
+                for beside in (k - 1, k + 1, k - 2, k + 2):
+                    o = mates.get(beside)
+                    if o is None or (clash(k, o) if mates is mate_s else clash(o, k)):
+                        continue
+                    gain = other.gain(o, k, beside)
+                    if gain >= GAIN and own.score(np.array([k * own.m + o]))[0] / own.full[k] >= COVER and (best is None or gain > best[0] + 0.05):
+                        best = (gain, o)
+                if best:
+                    out.add((k, best[1]) if mates is mate_s else (best[1], k))
+        return sorted((s_at[a], t_at[b]) for a, b in out)
 
 
 def _rarity(bags: list[set[str]]) -> dict[str, float]:
