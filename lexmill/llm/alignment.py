@@ -2,8 +2,8 @@
 
 Translation tables are learned from the library itself, from all its chapters. Sentences that alone share a number are the
 first pairs; lexical translation probabilities are estimated on them in both directions (EM), the chapters are aligned, and
-the tables estimated again on the aligned pairs. EM runs in blocks of about BLOCK_CHAPTERS chapters of a language pair; the
-expected counts of all blocks are added up before they become probabilities. Vocabularies and rarities are counted over all
+the tables estimated again on the aligned pairs. EM runs in blocks of up to BLOCK_CHAPTERS chapters of a language pair as they
+lie together; the expected counts of all blocks are added up before they become probabilities. Vocabularies and rarities are counted over all
 sentences. Then every chapter is aligned: each
 sentence becomes a bag of expected words of the other language, weighted by probability and rarity; an inverted index from
 words to the sentences of the other side gives its scores; pairs that are best in both directions stand, and a sentence left
@@ -21,7 +21,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ from lexmill.runtime import small, stage
 
 #: Chapters of one language pair on which EM runs at a time; every chapter is in one block.
 BLOCK_CHAPTERS = 300
+#: Cells of a table of two vocabularies up to which EM counts them in place instead of sorting them.
+DENSE_CELLS = 1 << 25
 #: Expected counts below this share of their word in a block are not handed on; a probability loses at most this much.
 LEAST_SHARE = 0.005
 MIN_COUNT = 4
@@ -105,15 +106,24 @@ def expected_counts(pairs: list[tuple[set[str], set[str]]], known_s: Iterable[st
         none = np.zeros(0, dtype=np.int64)
         return list(ids), list(idt), none, none, np.zeros(0)
     r, c, o = np.concatenate(rows), np.concatenate(cols), np.concatenate(owner)
-    cell, inverse = np.unique(r.astype(np.int64) * len(idt) + c, return_inverse=True)
-    cell_row = cell // len(idt)
-    p = np.full(len(cell), 1.0)
-    for _ in range(rounds):
-        w = p[inverse]
+    at = r.astype(np.int64) * len(idt) + c
+    if len(ids) * len(idt) <= DENSE_CELLS:  # count cells in place, keep those that occur
+        cell, inverse = None, at
+        size = len(ids) * len(idt)
+    else:
+        cell, inverse = np.unique(at, return_inverse=True)
+        size = len(cell)
+    w = np.ones(len(r))
+    for k in range(rounds):
         share = w / np.bincount(o, weights=w, minlength=n_owner)[o]
-        mass = np.bincount(inverse, weights=share, minlength=len(cell))
-        p = mass / np.bincount(cell_row, weights=mass, minlength=len(ids))[cell_row]
-    return list(ids), list(idt), cell_row, cell % len(idt), mass
+        mass = np.bincount(inverse, weights=share, minlength=size)
+        if k + 1 < rounds:
+            total = np.bincount(r, weights=share, minlength=len(ids))
+            w = mass[inverse] / total[r]
+    if cell is None:
+        cell = np.flatnonzero(mass)
+        mass = mass[cell]
+    return list(ids), list(idt), cell // len(idt), cell % len(idt), mass
 
 
 def em(pairs: list[tuple[set[str], set[str]]], rounds: int = 5) -> Table:
@@ -361,40 +371,57 @@ def fit(source: list[str], target: list[str]) -> tuple[Table, Table, dict[str, f
 _WEIGHTS = "pair string, kind string, word string, other string, weight double, n long"
 
 
-def _weights(pair: str, rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["kind", "word", "other", "weight", "n"]).astype({"weight": "float64", "n": "int64"})
-    out.insert(0, "pair", pair)
-    return out
+def _weights(pair: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("kind", pa.string()), ("word", pa.string()), ("other", pa.string()), ("weight", pa.float64()), ("n", pa.int64()))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.record_batch([pa.array([pair] * len(rows), pa.string()), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True))], ["pair", *(n for n, _ in kinds)])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[str], list[str]]]:
+    """Chapters of a task in blocks of one language pair: (pair, sources, targets), where the texts lie; nothing is moved for it."""
+    held: dict[str, tuple[list[str], list[str]]] = {}
+    for batch in batches:
+        for pair, source, target in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            own = held.setdefault(pair, ([], []))
+            own[0].append(source)
+            own[1].append(target)
+            if len(own[0]) >= size:
+                yield pair, *held.pop(pair)
+    for pair in sorted(held):
+        yield pair, *held[pair]
 
 
-def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sentences with each word in one block, by side; the row without a word counts all."""
-    pdf = pdf.drop_duplicates("id")
-    _, bags = _bags(list(pdf["source"]), list(pdf["target"]))
-    rows = []
-    for kind, side in (("s", [w for a, _ in bags for w, _ in a]), ("t", [w for _, b in bags for w, _ in b])):
-        rows += [(kind, w, None, 0.0, n) for w, n in Counter(w for ws in side for w in ws).items()]
-        rows.append((kind, None, None, 0.0, len(side)))
-    return _weights(pdf["pair"].iloc[0], rows)
-
-
-def _estimated(models):
-    """Expected counts of one block, both directions: pairs by shared numbers, or, where models has tables, by the aligner."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pair = pdf["pair"].iloc[0]
-        pdf = pdf.sort_values("id").drop_duplicates("id")
-        aligner = models.value[pair]
-        split, bags = _bags(list(pdf["source"]), list(pdf["target"]))
-        found = _matched(aligner, split, bags) if aligner.fitted else _seeds(bags)
-        rows = []
-        for kind, pairs, ids, idt in (("f", found, aligner.source.ids, aligner.target.ids), ("b", [(b, a) for a, b in found], aligner.target.ids, aligner.source.ids)):
-            count_s, seen_t = Counter(w for a, _ in pairs for w in sorted(a) if w in ids), sorted({w for _, b in pairs for w in b if w in idt})
-            s, t, row, col, mass = expected_counts(pairs, count_s, seen_t)
-            total = np.bincount(row, weights=mass, minlength=len(s))
-            rows += [(kind, w, None, float(total[k]), n) for k, (w, n) in enumerate(count_s.items())]
-            rows += [(kind, s[row[k]], t[col[k]], float(mass[k]), 0) for k in np.flatnonzero(mass >= LEAST_SHARE * total[row])]
-        return _weights(pair, rows)
+def _counted(size: int):
+    """Sentences with each word, by side; the row without a word counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, source, target in _blocks(batches, size):
+            _, bags = _bags(source, target)
+            rows = []
+            for kind, side in (("s", [w for a, _ in bags for w, _ in a]), ("t", [w for _, b in bags for w, _ in b])):
+                rows += [(kind, w, None, 0.0, n) for w, n in Counter(w for ws in side for w in ws).items()]
+                rows.append((kind, None, None, 0.0, len(side)))
+            yield _weights(pair, rows)
+
+    return run
+
+
+def _estimated(models, size: int):
+    """Expected counts of blocks, both directions: pairs by shared numbers, or, where models has tables, by the aligner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, source, target in _blocks(batches, size):
+            aligner = models.value[pair]
+            split, bags = _bags(source, target)
+            found = _matched(aligner, split, bags) if aligner.fitted else _seeds(bags)
+            rows = []
+            for kind, pairs, ids, idt in (("f", found, aligner.source.ids, aligner.target.ids), ("b", [(b, a) for a, b in found], aligner.target.ids, aligner.source.ids)):
+                count_s, seen_t = Counter(w for a, _ in pairs for w in sorted(a) if w in ids), sorted({w for _, b in pairs for w in b if w in idt})
+                s, t, row, col, mass = expected_counts(pairs, count_s, seen_t)
+                total = np.bincount(row, weights=mass, minlength=len(s))
+                rows += [(kind, w, None, float(total[k]), n) for k, (w, n) in enumerate(count_s.items())]
+                rows += [(kind, s[row[k]], t[col[k]], float(mass[k]), 0) for k in np.flatnonzero(mass >= LEAST_SHARE * total[row])]
+            yield _weights(pair, rows)
 
     return run
 
@@ -420,9 +447,8 @@ def _probabilities(weights: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> dict[str, Aligner]:
     """An aligner for each language pair, fitted on all its chapters in blocks of about block_chapters."""
     context = docs.sparkSession.sparkContext
-    sizes = docs.groupBy("pair").agg(F.ceil(F.count("*") / F.lit(block_chapters)).alias("n_blocks"))  # a row per language pair
-    blocks = docs.join(F.broadcast(sizes), "pair").withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks")).select("pair", "block", "id", "source", "target").groupBy("pair", "block")
-    counts = stage(blocks.applyInPandas(_counted, _WEIGHTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")))
+    once = stage(docs.dropDuplicates(["id"]))
+    counts = stage(once.mapInArrow(_counted(block_chapters), _WEIGHTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")))
     n: dict[tuple[str, str], int] = {(r.pair, r.kind): r.n + 1 for r in counts.where("word IS NULL").collect()}
     rarity: dict[str, dict[str, dict[str, float]]] = {pair: {"s": {}, "t": {}} for pair, _ in n}
     for pair, kind, word, c in counts.where(F.col("word").isNotNull() & (F.col("n") >= MIN_COUNT)).orderBy("pair", "kind", "word").collect():
@@ -431,7 +457,7 @@ def learn(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> dict[str, Al
     for _ in range(2):
         data = context.broadcast(models)
         tables: dict[str, dict[str, Table]] = {pair: {"f": {}, "b": {}} for pair in models}
-        for pair, kind, word, other, p in _probabilities(blocks.applyInPandas(_estimated(data), _WEIGHTS)).orderBy("pair", "kind", "word", F.desc("p"), "other").collect():
+        for pair, kind, word, other, p in _probabilities(once.mapInArrow(_estimated(data, block_chapters), _WEIGHTS)).orderBy("pair", "kind", "word", F.desc("p"), "other").collect():
             tables[pair][kind].setdefault(word, []).append((other, p))
         models = {pair: Aligner(t["f"], t["b"], rarity[pair]["s"], rarity[pair]["t"], True) for pair, t in tables.items()}
     return models
