@@ -124,6 +124,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bins"))
 
 
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class what was placed: documents, tokens, containers that overflow, and whole documents that were cut."""
+    placed = stage(p8_containers(spark, sf_dir))
+    over = placed.groupBy("bin_class", "container_id", "capacity_tokens").agg(F.sum("tokens").alias("t")).where("t > capacity_tokens").groupBy("bin_class").agg(F.count("*").alias("n_over"))
+    pieces = placed.groupBy("bin_class", "doc_id", "capacity_tokens").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    out = pieces.groupBy("bin_class").agg(F.count("*").alias("n_docs"), F.sum("t").alias("n_tokens"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_cut"))
+    return out.join(over, "bin_class", "left").select("bin_class", "n_docs", "n_tokens", F.coalesce("n_over", F.lit(0)).cast("long").alias("n_over"), "n_cut")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items"))
 
@@ -156,6 +165,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_glossary, p1_chapters, p4_found, p2_found, p2_site_lines, p2_clean, p3_found, p3_evidence, p3_site_share, p5_found, p5_library, p6_found, p6_restored, p7_found,
-        p7_main_text, p8_containers, p9_found, p9_leaked_items, p9_proximity, p10_found, p10_classes, p10_shared_chars,
+        p7_main_text, p8_containers, p8_placed, p9_found, p9_leaked_items, p9_proximity, p10_found, p10_classes, p10_shared_chars,
     )
 }

@@ -21,6 +21,8 @@ SQL: dict[str, str] = {
       SELECT doc_id, CAST(sum(least(200, coalesce(nxt - pos, 200))) AS INTEGER) AS shared_chars, CAST(count(*) FILTER (nxt IS NULL OR nxt - pos > 200) AS INTEGER) AS n_spans FROM z GROUP BY doc_id""",
     "p2_found": f"""WITH {_SITE_LINES}
       SELECT DISTINCT k.id AS chapter_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN n ON k.site = n.site AND k.key = n.key JOIN s ON k.site = s.site WHERE n.n >= 5 AND n.n * 10 >= s.docs""",
+    "p8_placed": """WITH d AS (SELECT doc_id, max(CASE WHEN n_tokens > 0 THEN n_tokens ELSE octet_length(encode(coalesce(text, ''))) + 1 END) AS n FROM documents GROUP BY doc_id)
+      SELECT bin_class, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_cut FROM d, (SELECT DISTINCT bin_class FROM bins) GROUP BY bin_class""",
     "p9_found": """WITH i AS (SELECT DISTINCT item_id, regexp_replace(lower(passage), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM bench_items),
       g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 48), lambda k: t[k:k + 49])) AS g FROM i WHERE length(t) >= 50),
       d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
