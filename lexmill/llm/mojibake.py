@@ -82,6 +82,7 @@ def ungarble(text: str, chain: tuple[str, str]) -> str:
 
 
 _SPACED = re.compile("[^\\W_\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]*[^\\W_\\x00-\\x7f\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef][^\\W_\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]*")
+_SPACED_HIGH = re.compile("[^\\W_\\x00-\\x7f\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]")
 _COUNTS = "lang string, k long, word string, n long"
 
 
@@ -96,7 +97,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(langs, texts, strict=True):
             if text and not text.isascii():
                 seen.setdefault(lang or "", Counter()).update(set(text))
-                words.update(_SPACED.findall(text))
+                if _SPACED_HIGH.search(text):
+                    words.update(_SPACED.findall(text))
         for i, j in chunks(texts):
             c, _ = joined(texts[i:j])
             both = high[c[:-1]] & high[c[1:]]

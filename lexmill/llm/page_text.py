@@ -235,7 +235,7 @@ def line_end(t: str) -> str:
 
 def _ruled(with_ends: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
+        known: dict[str, tuple[int, int, str]] = {}
         for batch in batches:
             numbers, hashes, bits, ends, targets, info, keys, shared = [], [], [], [], [], [], [], []
             titles, urls = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -246,7 +246,7 @@ def _ruled(with_ends: bool):
                     if t:
                         got = known.get(t)
                         if got is None:
-                            got = rules(t)
+                            got = (*rules(t), line_end(t) if with_ends else "")
                             if len(t) <= SHORT:
                                 if len(known) > 20_000:
                                     known.clear()
@@ -257,7 +257,7 @@ def _ruled(with_ends: bool):
                         if got[1] & (T_CLOSED | T_PROSE) and not got[1] & (T_LOW | T_HOLE | T_LINKS):
                             prose += len(t)
                         if with_ends:
-                            es.append(line_end(t))
+                            es.append(got[2])
                 numbers.append(no)
                 hashes.append(hs)
                 bits.append(bs)

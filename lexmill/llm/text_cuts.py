@@ -47,6 +47,8 @@ class Trie:
         self.words = {t for t in asked if not page_text._CJK.search(t)}
         self.lengths = sorted({len(t) for t in self.words})
         self.pairs = np.array(sorted(ord(t[0]) << 21 | ord(t[1]) for t in pairs), dtype=np.int64)
+        self.first, self.second = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
+        self.first[self.pairs >> 21], self.second[self.pairs & 0x1FFFFF] = True, True
         self.singles = {t for t in asked if len(t) == 1 and page_text._CJK.match(t)}
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -83,7 +85,8 @@ class Trie:
                 c, _ = joined([f"{t}\n" if t else "" for t in texts[i:j]])
                 if len(c) > 2:
                     c = np.where((c >= 48) & (c < 58), 48, c)
-                    key = ((c[:-2].astype(np.int64) << 21) | c[1:-1])[c[2:] != 10]
+                    on = np.flatnonzero(self.first[c[:-2]] & self.second[c[1:-1]] & (c[2:] != 10))
+                    key = (c[on].astype(np.int64) << 21) | c[on + 1]
                     at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
                     for k, n in zip(*np.unique(key[self.pairs[at] == key], return_counts=True), strict=True):
                         out[chr(int(k) >> 21) + chr(int(k) & 0x1FFFFF)] += int(n)
