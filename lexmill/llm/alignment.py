@@ -33,6 +33,8 @@ from lexmill.runtime import small, stage
 BLOCK_CHAPTERS = 300
 #: Cells of a table of two vocabularies up to which EM counts them in place instead of sorting them.
 DENSE_CELLS = 1 << 25
+#: Cells of finished blocks a task holds apart before it adds them up.
+MOST_CELLS = 2_000_000
 #: Expected counts below this share of their word in a block are not handed on; a probability loses at most this much.
 LEAST_SHARE = 0.005
 MIN_COUNT = 4
@@ -406,22 +408,65 @@ def _counted(size: int):
     return run
 
 
+class _Sums:
+    """Expected counts of the blocks of a task, added up by cell before they leave it."""
+
+    def __init__(self, ids: dict[str, int], idt: dict[str, int]):
+        self.ids, self.idt, self.words, self.others = ids, idt, pa.array(list(ids), pa.string()), pa.array(list(idt), pa.string())
+        self.total, self.n = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+        self.cells: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, pairs: list[tuple[set[str], set[str]]]) -> None:
+        count = Counter(w for a, _ in pairs for w in sorted(a) if w in self.ids)
+        s, t, row, col, mass = expected_counts(pairs, count, sorted({w for _, b in pairs for w in b if w in self.idt}))
+        total = np.bincount(row, weights=mass, minlength=len(s))
+        at_s, at_t = np.array([self.ids[w] for w in s], dtype=np.int64), np.array([self.idt[w] for w in t], dtype=np.int64)
+        self.total[at_s] += total
+        self.n[at_s] += np.array([count[w] for w in s], dtype=np.int64)
+        keep = mass >= LEAST_SHARE * total[row]
+        self.cells.append((at_s[row[keep]] * len(self.idt) + at_t[col[keep]], mass[keep]))
+        self.held += int(keep.sum())
+        if self.held > MOST_CELLS:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.cells:
+            key, slot = np.unique(np.concatenate([k for k, _ in self.cells]), return_inverse=True)
+            self.cells = [(key, np.bincount(slot, weights=np.concatenate([m for _, m in self.cells]), minlength=len(key)))]
+            self.held = 0
+
+    def rows(self, pair: str, kind: str) -> pa.RecordBatch:
+        self.merge()
+        key, mass = self.cells[0] if self.cells else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        seen = np.flatnonzero(self.n)
+        n = len(seen) + len(key)
+        return pa.record_batch(
+            [
+                pa.array([pair] * n, pa.string()), pa.array([kind] * n, pa.string()), self.words.take(pa.array(np.concatenate((seen, key // max(1, len(self.idt)))))),
+                pa.concat_arrays([pa.nulls(len(seen), pa.string()), self.others.take(pa.array(key % max(1, len(self.idt))))]),
+                pa.array(np.concatenate((self.total[seen], mass))), pa.array(np.concatenate((self.n[seen], np.zeros(len(key), dtype=np.int64)))),
+            ],
+            ["pair", "kind", "word", "other", "weight", "n"],
+        )
+
+
 def _estimated(models, size: int):
     """Expected counts of blocks, both directions: pairs by shared numbers, or, where models has tables, by the aligner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple[_Sums, _Sums]] = {}
         for pair, source, target in _blocks(batches, size):
             aligner = models.value[pair]
             split, bags = _bags(source, target)
             found = _matched(aligner, split, bags) if aligner.fitted else _seeds(bags)
-            rows = []
-            for kind, pairs, ids, idt in (("f", found, aligner.source.ids, aligner.target.ids), ("b", [(b, a) for a, b in found], aligner.target.ids, aligner.source.ids)):
-                count_s, seen_t = Counter(w for a, _ in pairs for w in sorted(a) if w in ids), sorted({w for _, b in pairs for w in b if w in idt})
-                s, t, row, col, mass = expected_counts(pairs, count_s, seen_t)
-                total = np.bincount(row, weights=mass, minlength=len(s))
-                rows += [(kind, w, None, float(total[k]), n) for k, (w, n) in enumerate(count_s.items())]
-                rows += [(kind, s[row[k]], t[col[k]], float(mass[k]), 0) for k in np.flatnonzero(mass >= LEAST_SHARE * total[row])]
-            yield _weights(pair, rows)
+            ids, idt = aligner.source.ids, aligner.target.ids
+            forward, backward = sums.setdefault(pair, (_Sums(ids, idt), _Sums(idt, ids)))
+            forward.add(found)
+            backward.add([(b, a) for a, b in found])
+        for pair, both in sums.items():
+            for kind, own in zip("fb", both, strict=True):
+                yield own.rows(pair, kind)
 
     return run
 
