@@ -145,7 +145,7 @@ def test_prose_is_kept(line):
     ("html", "which", "found"),
     [
         ('<div id="nextra-banner" data-href="/x"></div>', "next", None), ('<input class="next" value="5515272">', "next", None), ('<a class="forward" href="/n">x</a>', "next", "https://s.example/n"),
-        ('<input id="next_epi_auto_url" value="/viewer/2">', "next", "https://s.example/viewer/2"), ('<div class="feedback" data-url="/f"></div>', "prev", None), ('<a class="上一頁" href="/p">x</a>', "prev", "https://s.example/p"),
+        ('<input id="next_page_url" value="/viewer/2">', "next", "https://s.example/viewer/2"), ('<div class="feedback" data-url="/f"></div>', "prev", None), ('<a class="上一頁" href="/p">x</a>', "prev", "https://s.example/p"),
         ("<div onclick=\"go('/novel/42')\"></div>", "index", "https://s.example/novel/42"), ('<a href="/q">다음화 보기</a>', "next", "https://s.example/q"), ('<link rel="next" href="/l/"><a class="next" href="/m">x</a>', "next", "https://s.example/l"),
     ],
 )
