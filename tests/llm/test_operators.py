@@ -192,6 +192,21 @@ def test_alignment_learns_from_all_chapters(spark):
     assert abs(a.backward.rarity[k] - math.log(1501 / 6)) < 1e-9
 
 
+def test_long_chapters_need_no_matrix_of_sentences():
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(2000)]
+    a = alignment.Aligner({w: [(w[::-1], 0.9)] for w in words}, {w[::-1]: [(w, 0.9)] for w in words}, dict.fromkeys(words, 5.0), {w[::-1]: 5.0 for w in words}, True)
+    said = [[rng.choice(words) for _ in range(8)] for _ in range(4000)]
+    source, target = " ".join(" ".join(x) + "." for x in said), " ".join(" ".join(w[::-1] for w in x) + "." for x in said)
+    tracemalloc.start()
+    got = a.pairs(alignment.marked_sentences(source), alignment.marked_sentences(target))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(i == j for i, j in got) == 4000 and most < 4000 * 4000 * 8, "less than one matrix of all pairs"
+
+
 def test_cut_sentences_pair_with_nothing():
     a = alignment.Aligner({}, {}, {}, {})
     assert a.pairs([("No end 5", False)], [("無 5。", True)]) == []
