@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.rolling import codes
@@ -33,6 +33,10 @@ from lexmill.runtime import small, stage
 BLOCK_CHAPTERS = 300
 #: Cells of a table of two vocabularies up to which EM counts them in place instead of sorting them.
 DENSE_CELLS = 1 << 25
+#: Cells of the matrices of chapters that are aligned together; a longer chapter is aligned alone, without matrices.
+GROUP_CELLS = 1 << 19
+#: Parts in which the expected counts of a direction are added up.
+PARTS = 32
 #: Cells of finished blocks a task holds apart before it adds them up.
 MOST_CELLS = 2_000_000
 #: Expected counts below this share of their word in a block are not handed on; a probability loses at most this much.
@@ -92,50 +96,94 @@ def words(s: str, is_plain: bool = False) -> tuple[set[str], set[str]]:
 Table = dict[str, list[tuple[str, float]]]
 
 
-def expected_counts(pairs: list[tuple[set[str], set[str]]], known_s: Iterable[str], known_t: Iterable[str], rounds: int = 5):
-    """(words s, words t, row, column, mass): how often s is expected to stand for t in the pairs after some rounds of EM, by cell."""
-    ids, idt = {w: k for k, w in enumerate(known_s)}, {w: k for k, w in enumerate(known_t)}
-    rows, cols, owner = [], [], []
-    n_owner = 0
-    for a, b in pairs:
-        x, y = [ids[w] for w in a if w in ids], [idt[w] for w in b if w in idt]
-        if x and y:
-            rows.append(np.array(x).repeat(len(y)))
-            cols.append(np.array(y * len(x)))
-            owner.append(np.array(list(range(n_owner, n_owner + len(y))) * len(x)))
-            n_owner += len(y)
-    if not rows:
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(len(x[:1]), dtype=bool), x[1:] != x[:-1]))]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... up to size[0] numbers, then those of the next start."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class _Classes:
+    """Words of one side of the pairs, those that stand in exactly the same pairs as one class: EM cannot tell them apart."""
+
+    def __init__(self, owner: np.ndarray, ids: np.ndarray, n_pairs: int):
+        self.words, at = np.unique(ids, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.n = np.bincount(at, minlength=len(self.words))
+        # a sum of random numbers of its pairs names the set of pairs
+        drawn = np.random.default_rng(7).integers(0, 1 << 64, n_pairs, dtype=np.uint64)
+        marks = np.add.reduceat(drawn[owner[order]], np.cumsum(self.n) - self.n) if len(order) else drawn[:0]
+        _, first, self.of = np.unique(marks, return_index=True, return_inverse=True)
+        self.size = np.bincount(self.of, minlength=len(first))
+        leads = np.zeros(len(self.words), dtype=bool)
+        leads[first] = True
+        keep = leads[at]
+        self.owner, self.ids = owner[keep], self.of[at[keep]]
+        self.per_pair = np.bincount(self.owner, minlength=n_pairs)
+        self.start = np.cumsum(self.per_pair) - self.per_pair
+        self.members, self.first = np.argsort(self.of, kind="stable"), np.cumsum(self.size) - self.size
+
+
+def expected_counts(s: _Classes, t: _Classes, rounds: int = 5, least: float = 0.0):
+    """(word s, word t, mass) by cell, and the mass of each word s: how often s is expected to stand for t in the pairs after some rounds of EM.
+
+    Cells below the share least of their word are left out.
+    """
+    size = s.per_pair[t.owner]
+    size, owner, c = size[size > 0], t.owner[size > 0], t.ids[size > 0]
+    if not len(size):
         none = np.zeros(0, dtype=np.int64)
-        return list(ids), list(idt), none, none, np.zeros(0)
-    r, c, o = np.concatenate(rows), np.concatenate(cols), np.concatenate(owner)
-    at = r.astype(np.int64) * len(idt) + c
-    if len(ids) * len(idt) <= DENSE_CELLS:  # count cells in place, keep those that occur
-        cell, inverse = None, at
-        size = len(ids) * len(idt)
+        return none, none, np.zeros(0), np.zeros(len(s.words))
+    at = np.repeat(c, size) + s.ids[_ranges(s.start[owner], size)] * len(t.size)
+    begin, n = np.cumsum(size) - size, len(s.size) * len(t.size)
+    if n <= DENSE_CELLS:  # find the cells in place, keep those that occur
+        there = np.zeros(n, dtype=bool)
+        there[at] = True
+        cell = np.flatnonzero(there)
+        place = np.empty(n, dtype=np.int32)
+        place[cell] = np.arange(len(cell), dtype=np.int32)
+        at = place[at].astype(np.intp)
     else:
-        cell, inverse = np.unique(at, return_inverse=True)
-        size = len(cell)
-    w = np.ones(len(r))
+        cell, at = np.unique(at, return_inverse=True)
+    row, col = cell // len(t.size), cell % len(t.size)
+    w = s.size[row].astype(np.float64)
     for k in range(rounds):
-        share = w / np.bincount(o, weights=w, minlength=n_owner)[o]
-        mass = np.bincount(inverse, weights=share, minlength=size)
+        share = w[at]
+        share /= np.repeat(np.add.reduceat(share, begin), size)
+        mass = np.bincount(at, weights=share, minlength=len(cell)) / s.size[row]
+        total = np.bincount(row, weights=mass * t.size[col], minlength=len(s.size))
         if k + 1 < rounds:
-            total = np.bincount(r, weights=share, minlength=len(ids))
-            w = mass[inverse] / total[r]
-    if cell is None:
-        cell = np.flatnonzero(mass)
-        mass = mass[cell]
-    return list(ids), list(idt), cell // len(idt), cell % len(idt), mass
+            w = s.size[row] * mass / total[row]
+    keep = mass >= least * total[row]
+    row, col, mass = row[keep], col[keep], mass[keep]
+    each = s.size[row] * t.size[col]
+    inner, wide = _ranges(np.zeros(len(each), dtype=np.int64), each), np.repeat(t.size[col], each)
+    of_s = s.members[np.repeat(s.first[row], each) + inner // wide]
+    of_t = t.members[np.repeat(t.first[col], each) + inner % wide]
+    return s.words[of_s], t.words[of_t], np.repeat(mass, each), total[s.of]
+
+
+def _flat(bags: Iterable[Iterable[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bag, word) of all known words."""
+    both = [(k, ids[w]) for k, bag in enumerate(bags) for w in sorted(bag) if w in ids]
+    return np.array([k for k, _ in both], dtype=np.int64), np.array([w for _, w in both], dtype=np.int64)
 
 
 def em(pairs: list[tuple[set[str], set[str]]], rounds: int = 5) -> Table:
     """Lexical translation probabilities p(t | s) from pairs of bags, the best KEEP of each s."""
     count_s, count_t = Counter(w for a, _ in pairs for w in a), Counter(w for _, b in pairs for w in b)
-    s_words, t_words, row, col, mass = expected_counts(pairs, (w for w, n in count_s.items() if n >= MIN_COUNT), (w for w, n in count_t.items() if n >= MIN_COUNT), rounds)
-    p = mass / np.bincount(row, weights=mass, minlength=len(s_words))[row]
+    s_words, t_words = (sorted(w for w, n in count.items() if n >= MIN_COUNT) for count in (count_s, count_t))
+    s = _Classes(*_flat((a for a, _ in pairs), {w: k for k, w in enumerate(s_words)}), len(pairs))
+    t = _Classes(*_flat((b for _, b in pairs), {w: k for k, w in enumerate(t_words)}), len(pairs))
+    row, col, mass, total = expected_counts(s, t, rounds)
+    p = mass / total[np.searchsorted(s.words, row)]
     keep = p >= MIN_PROBABILITY
+    row, col, p = row[keep], col[keep], p[keep]
     out: Table = defaultdict(list)
-    for k in np.flatnonzero(keep)[np.argsort(-p[keep], kind="stable")]:
+    for k in np.lexsort((col, -p)).tolist():
         own = out[s_words[row[k]]]
         if len(own) < KEEP:
             own.append((t_words[col[k]], float(p[k])))
@@ -224,16 +272,33 @@ class _Vocabulary:
         self.keys, self.of = np.array([x for x, _ in pairs], dtype=np.int64), np.array([k for _, k in pairs], dtype=np.int64)
 
 
+def _plain_lines(field: list[str]) -> tuple[str, list[str]]:
+    """Sentences in plain letters, joined by line feeds and as lines."""
+    text = plain("\n".join(field))
+    text = text.translate(_LATIN) if _ALIKE.search(text) else text
+    lines = text.split("\n")
+    if len(lines) != len(field):
+        lines = [plain(x).replace("\n", " ").translate(_LATIN) for x in field]
+        text = "\n".join(lines)
+    return text, lines
+
+
+def _wide_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(line, pair of neighbouring characters as a number) of text outside Latin script."""
+    c = codes(text).astype(np.int64)
+    wide = _wide_table()[c]
+    after = np.concatenate((wide[1:], [False]))
+    alone = wide & ~after & ~np.concatenate(([False], wide[:-1]))
+    at = np.flatnonzero((wide & after) | alone)
+    key = (c[at] << 21) | np.where(alone[at], 0, c[np.minimum(at + 1, len(c) - 1)])
+    return np.cumsum(c == 10)[at], key
+
+
 class _Bags:
     """Known words of the sentences of one side, end to end, and their numbers."""
 
     def __init__(self, field: list[str], known: _Vocabulary):
-        text = plain("\n".join(field))
-        text = text.translate(_LATIN) if _ALIKE.search(text) else text
-        lines = text.split("\n")
-        if len(lines) != len(field):
-            lines = [plain(x).replace("\n", " ") for x in field]
-            text = "\n".join(lines)
+        text, lines = _plain_lines(field)
         self.n = len(field)
         self.numbers = [{n.lstrip("0") or "0" for n in _NUMBER.findall(x)} for x in lines]
         ids, latin = known.ids, [_WORD.findall(x) for x in text.lower().split("\n")] if _LATIN_LETTER.search(text) else []
@@ -241,19 +306,22 @@ class _Bags:
         self.ids = np.array([w for ws in flat for w in ws], dtype=np.int64)
         self.owner = np.repeat(np.arange(len(flat)), [len(ws) for ws in flat])
         if len(known.keys) and not text.isascii():
-            c = codes(text).astype(np.int64)
-            wide = _wide_table()[c]
-            after = np.concatenate((wide[1:], [False]))
-            alone = wide & ~after & ~np.concatenate(([False], wide[:-1]))
-            at = np.flatnonzero((wide & after) | alone)
-            key = (c[at] << 21) | np.where(alone[at], 0, c[np.minimum(at + 1, len(c) - 1)])
+            line, key = _wide_pairs(text)
             found = np.minimum(np.searchsorted(known.keys, key), len(known.keys) - 1)
             hit = known.keys[found] == key
-            line = np.cumsum(c == 10)[at[hit]]
-            both = np.unique(line * len(ids) + known.of[found[hit]])
+            line = line[hit]
+            both = _distinct(line * len(ids) + known.of[found[hit]])
             self.ids = np.concatenate((self.ids, both % len(ids)))
             self.owner = np.concatenate((self.owner, both // len(ids)))
 
+    @classmethod
+    def of(cls, side: _Side) -> _Bags:
+        """The bags of a chapter that is in numbers already."""
+        self = cls.__new__(cls)
+        self.n, self.ids, self.owner, self.numbers = len(side.place), side.ids, side.owner, [set() for _ in side.place]
+        for k, x in zip(side.n_owner.tolist(), side.n_ids.tolist(), strict=True):
+            self.numbers[k].add(str(x))
+        return self
 
     def numbered(self, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, number) of all numbers."""
@@ -261,14 +329,123 @@ class _Bags:
         return np.array([i for i, _ in both], dtype=np.int64), np.array([x for _, x in both], dtype=np.int64)
 
 
+def _best(key: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Whether each place has the best score of its key; of equals the first."""
+    out = np.zeros(len(key), dtype=bool)
+    if len(key):
+        top = np.full(int(key.max()) + 1, -np.inf)
+        np.maximum.at(top, key, score)
+        at = np.flatnonzero(score == top[key])
+        out[at[np.unique(key[at], return_index=True)[1]]] = True
+    return out
+
+
 def _mutual(rows: np.ndarray, columns: np.ndarray, by_row: np.ndarray, by_column: np.ndarray) -> np.ndarray:
     """Places of the pairs that are the best of their row and of their column; of equals the first."""
-    place = np.arange(len(rows))
-    first_of = lambda key, score: (o := np.lexsort((place, -score, key)))[np.concatenate(([True], key[o][1:] != key[o][:-1]))] if len(key) else place
-    best_r, best_c = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
-    best_r[first_of(rows, by_row)] = True
-    best_c[first_of(columns, by_column)] = True
-    return np.flatnonzero(best_r & best_c)
+    return np.flatnonzero(_best(rows, by_row) & _best(columns, by_column))
+
+
+class _Side:
+    """Sentences of one side of some chapters, end to end: their words and numbers."""
+
+    def __init__(self, count: np.ndarray, place: np.ndarray, owner: np.ndarray, ids: np.ndarray, n_owner: np.ndarray, n_ids: np.ndarray):
+        #: sentences by chapter; place of each in its field; (sentence, word); (sentence, number), numbers named apart in each chapter
+        self.count, self.place, self.owner, self.ids, self.n_owner, self.n_ids = count, place, owner, ids, n_owner, n_ids
+        self.first = np.cumsum(count) - count
+        self.chapter = np.repeat(np.arange(len(count)), count)
+
+    def chosen(self, keep: np.ndarray) -> _Side:
+        """Only the sentences where keep is true."""
+        new = np.cumsum(keep) - 1
+        w, x = keep[self.owner], keep[self.n_owner]
+        count = np.bincount(self.chapter[keep], minlength=len(self.count))
+        return _Side(count, self.place[keep], new[self.owner[w]], self.ids[w], new[self.n_owner[x]], self.n_ids[x])
+
+
+_HEAD = 6
+
+
+def _packed(source: list[str], target: list[str], s_known: _Vocabulary, t_known: _Vocabulary) -> list[bytes]:
+    """Chapters as numbers: for each side the sentences (1 if closed and with a letter), words by sentence, and numbers by sentence."""
+    sides = []
+    for field, known in ((source, s_known), (target, t_known)):
+        split = [marked_sentences(x) for x in field]
+        flat = [x for own in split for x in own]
+        bags = _Bags([x for x, _ in flat], known)
+        order = np.argsort(bags.owner, kind="stable")
+        ids = bags.ids[order].astype(np.int32)
+        per = np.bincount(bags.owner, minlength=len(flat)).astype(np.int32)
+        usable = np.array([closed and _LETTER.search(x) is not None for x, closed in flat], dtype=np.int32)
+        cut = np.concatenate(([0], np.cumsum([len(own) for own in split]))).astype(np.int64)
+        sides.append((usable, per, ids, np.concatenate(([0], np.cumsum(per)))[cut].tolist(), cut.tolist(), bags.numbers))
+    out = []
+    for k in range(len(source)):
+        named: dict[str, int] = {}
+        parts, head = [], []
+        for usable, per, ids, at, cut, numbers in sides:
+            a, b = cut[k], cut[k + 1]
+            said = [(i, named.setdefault(x, len(named))) for i, xs in enumerate(numbers[a:b]) if xs for x in sorted(xs)]
+            head += [b - a, at[k + 1] - at[k], len(said)]
+            parts += [usable[a:b], per[a:b], ids[at[k] : at[k + 1]], np.array([i for i, _ in said] + [x for _, x in said], dtype=np.int32)]
+        out.append(np.concatenate((np.array(head, dtype=np.int32), *parts)).tobytes())
+    return out
+
+
+def _unpacked(chapters: list[bytes]) -> list[tuple[_Side, np.ndarray]]:
+    """Both sides of some chapters, each with its usable sentences."""
+    read = [np.frombuffer(x, dtype=np.int32) for x in chapters]
+    heads = np.array([x[:_HEAD] for x in read], dtype=np.int64).reshape(-1, _HEAD)
+    whole = np.concatenate(read) if read else np.zeros(0, dtype=np.int32)
+    at = np.cumsum([0] + [len(x) for x in read])[:-1] + _HEAD
+    out = []
+    for n, m, k in (heads[:, :3].T, heads[:, 3:].T):
+        usable, per, ids = (whole[_ranges(at + x, y)].astype(np.int64) for x, y in ((0, n), (n, n), (2 * n, m)))
+        n_in, n_ids = (whole[_ranges(at + 2 * n + m + x, k)].astype(np.int64) for x in (0, k))
+        side = _Side(n, _ranges(np.zeros(len(n), dtype=np.int64), n), np.repeat(np.arange(len(per)), per), ids, n_in + np.repeat(np.cumsum(n) - n, k), n_ids)
+        out.append((side, usable == 1))
+        at = at + 2 * n + m + 2 * k
+    return out
+
+
+class _Scores:
+    """One direction over some chapters: expected words of own sentences against the words of the others, chapter by chapter."""
+
+    def __init__(self, table: _Direction, own: _Side, others: _Side):
+        self.own, self.others, base = own, others, max(1, len(table.rarity))
+        size = table.start[own.ids + 1] - table.start[own.ids]
+        at = _ranges(table.start[own.ids], size)
+        key, slot = np.unique(np.repeat(own.owner, size) * np.int64(base) + table.to[at], return_inverse=True)
+        row, word = key // base, key % base
+        weight = np.minimum(np.bincount(slot, weights=table.p[at], minlength=len(key)), 1.0) * table.rarity[word]
+        n, m = len(own.place), len(others.place)
+        self.full = np.maximum(np.bincount(row, weights=weight, minlength=n) + NUMBER_WEIGHT * np.bincount(own.n_owner, minlength=n), 1e-9)
+        self.mass = np.maximum(np.bincount(others.owner, weights=table.rarity[others.ids], minlength=m) + NUMBER_WEIGHT * np.bincount(others.n_owner, minlength=m), 1e-9)
+        # the words of the others by chapter are the columns of its matrices
+        listed, column = np.unique(others.chapter[others.owner] * np.int64(base) + others.ids, return_inverse=True)
+        cut = np.searchsorted(listed, np.arange(len(own.count) + 1) * np.int64(base))
+        self.wide = np.diff(cut)
+        self.at_own, self.at_others = np.cumsum(own.count * self.wide) - own.count * self.wide, np.cumsum(others.count * self.wide) - others.count * self.wide
+        self.expected, self.said = np.zeros(int((own.count * self.wide).sum())), np.zeros(int((others.count * self.wide).sum()))
+        if len(listed):
+            k = own.chapter[row]
+            sought = k * np.int64(base) + word
+            found = np.minimum(np.searchsorted(listed, sought), len(listed) - 1)
+            hit = listed[found] == sought
+            k, row, found = k[hit], row[hit], found[hit]
+            self.expected[self.at_own[k] + (row - own.first[k]) * self.wide[k] + found - cut[k]] = weight[hit]
+            k = others.chapter[others.owner]
+            self.said[self.at_others[k] + (others.owner - others.first[k]) * self.wide[k] + column - cut[k]] = 1.0
+
+    def matrix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Expected words of own sentences of chapter k, and words of the others."""
+        n, m, w = self.own.count[k], self.others.count[k], self.wide[k]
+        return self.expected[self.at_own[k] : self.at_own[k] + n * w].reshape(n, w), self.said[self.at_others[k] : self.at_others[k] + m * w].reshape(m, w)
+
+    def gain(self, k: int, row: int, column: int, beside: int) -> float:
+        """Weight of a row's expectation found in one column and not in the one beside it, numbers aside."""
+        w, e, o = self.wide[k], self.at_own[k] + (row - self.own.first[k]) * self.wide[k], self.at_others[k] - self.others.first[k] * self.wide[k]
+        has, lacks = self.said[o + column * w : o + column * w + w], self.said[o + beside * w : o + beside * w + w]
+        return float(self.expected[e : e + w] @ np.maximum(has - lacks, 0.0))
 
 
 class Aligner:
@@ -280,15 +457,126 @@ class Aligner:
         self.forward = _Direction(forward, self.source.ids, self.target.ids, rarity_t)
         self.backward = _Direction(backward, self.target.ids, self.source.ids, rarity_s)
 
+    def together(self, s: _Side, t: _Side, grow: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, sentence) numbers of all chapters that are translations of each other; the rules of pairs(), with small matrices by chapter."""
+        there, back = _Scores(self.forward, s, t), _Scores(self.backward, t, s)
+        wide = t.count[s.chapter]
+        begin = np.cumsum(wide) - wide  # the cells of a sentence of the source
+        i = np.repeat(np.arange(len(s.place)), wide)
+        j = _ranges(t.first[s.chapter], wide)
+        to_t, to_s = np.zeros(len(i)), np.zeros(len(i))
+        at = 0
+        for k, n in enumerate((s.count * t.count).tolist()):
+            if n:
+                expected, said = there.matrix(k)
+                to_t[at : at + n] = (expected @ said.T).ravel()
+                expected, said = back.matrix(k)
+                to_s[at : at + n] = (said @ expected.T).ravel()
+                at += n
+        # numbers are words of their own
+        span = 1 + max(int(s.n_ids.max(initial=0)), int(t.n_ids.max(initial=0)))
+        key_s, key_t = s.chapter[s.n_owner] * span + s.n_ids, t.chapter[t.n_owner] * span + t.n_ids
+        order = np.argsort(key_t, kind="stable")
+        lo, hi = np.searchsorted(key_t[order], key_s, "left"), np.searchsorted(key_t[order], key_s, "right")
+        a, b = np.repeat(s.n_owner, hi - lo), t.n_owner[order][_ranges(lo, hi - lo)]
+        shared = np.bincount(begin[a] + b - t.first[t.chapter[b]], minlength=len(i))
+        to_t += NUMBER_WEIGHT * shared
+        to_s += NUMBER_WEIGHT * shared
+        said_s, said_t = np.zeros(len(s.place), dtype=bool), np.zeros(len(t.place), dtype=bool)
+        said_s[s.n_owner] = True
+        said_t[t.n_owner] = True
+        clash = said_s[i] & said_t[j] & (shared == 0)
+        fits = np.flatnonzero(((to_t > 0) | (to_s > 0)) & ~clash)
+        x, y = i[fits], j[fits]
+        cos_s, cos_t = to_t[fits] / np.sqrt(there.full[x] * there.mass[y]), to_s[fits] / np.sqrt(back.full[y] * back.mass[x])
+        k = s.chapter[x]
+        near = -1e-3 * np.abs((x - s.first[k]) / s.count[k] - (y - t.first[k]) / t.count[k])
+        both = (cos_s + cos_t) / 2 + near
+        at = _mutual(x, y, cos_s + 0.25 * cos_t + near, cos_t + 0.25 * cos_s + near)
+        at = at[both[at] >= ACCEPT]
+        if not grow:
+            return x[at], y[at]
+        mate_s, mate_t = np.full(len(s.place), -1), np.full(len(t.place), -1)
+        mate_s[x[at]], mate_t[y[at]] = y[at], x[at]
+        rest = np.flatnonzero((mate_s[x] < 0) & (mate_t[y] < 0))
+        at = rest[_mutual(x[rest], y[rest], both[rest], both[rest])]
+        at = at[both[at] >= 1.5 * ACCEPT]
+        mate_s[x[at]], mate_t[y[at]] = y[at], x[at]
+        own = np.flatnonzero(mate_s >= 0)
+        out = [np.stack((own, mate_s[own]), axis=1)]
+        top_s, top_t = np.zeros(len(s.place)), np.zeros(len(t.place))
+        np.maximum.at(top_s, i, to_t)
+        np.maximum.at(top_t, j, to_s)
+        numbers_s, numbers_t = defaultdict(set), defaultdict(set)
+        for side, numbers in ((s, numbers_s), (t, numbers_t)):
+            for a, b in zip(side.n_owner.tolist(), side.n_ids.tolist(), strict=True):
+                numbers[a].add(b)
+        # a merge: source a says what the other side of a neighbour says beyond that neighbour; a split the other way round
+        grown = []
+        for side, mates, top, one, other, score, nums, nums_o in (
+            (s, mate_s, top_s, there, back, to_t, numbers_s, numbers_t), (t, mate_t, top_t, back, there, to_s, numbers_t, numbers_s),
+        ):
+            for a in np.flatnonzero((mates < 0) & (top >= COVER * one.full)).tolist():
+                k = int(side.chapter[a])
+                lo, hi, best = int(side.first[k]), int(side.first[k] + side.count[k]), None
+                for beside in (a - 1, a + 1, a - 2, a + 2):
+                    if not lo <= beside < hi or mates[beside] < 0:
+                        continue
+                    o = int(mates[beside])
+                    cell = begin[a] + o - t.first[k] if side is s else begin[o] + a - t.first[k]
+                    if clash[cell] or score[cell] / one.full[a] < COVER:
+                        continue
+                    gain = other.gain(k, o, a, beside)
+                    if o in nums_o and a in nums:
+                        gain += NUMBER_WEIGHT * len((nums_o[o] & nums[a]) - nums.get(beside, set()))
+                    gain /= other.full[o]
+                    if gain >= GAIN and (best is None or gain > best[0] + 0.05):
+                        best = (gain, o)
+                if best:
+                    grown.append((a, best[1]) if side is s else (best[1], a))
+        out.append(np.array(grown, dtype=np.int64).reshape(-1, 2))
+        found = np.unique(np.concatenate(out), axis=0)
+        return found[:, 0], found[:, 1]
+
+    def packed_pairs(self, chapters: list[bytes], grow: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[_Side, np.ndarray]]]]:
+        """By groups of packed chapters: (chapter, sentence, sentence) as places in the group, and its sides."""
+        held, cells = [], 0
+        for k, x in enumerate([*chapters, b""]):
+            n, words_s, _, m, words_t, _ = np.frombuffer(x[: 4 * _HEAD], dtype=np.int32).tolist() if x else (0,) * _HEAD
+            cost = n * m + n * words_t + m * words_s
+            if held and (not x or cells + cost > GROUP_CELLS):
+                yield held, *self._group(held, [chapters[h] for h in held], cells, grow)
+                held, cells = [], 0
+            held.append(k)
+            cells += cost
+
+    def _group(self, held: list[int], chapters: list[bytes], cells: int, grow: bool):
+        (s, s_usable), (t, t_usable) = sides = _unpacked(chapters)
+        s_at, t_at = np.flatnonzero(s_usable), np.flatnonzero(t_usable)
+        own_s, own_t = s.chosen(s_usable), t.chosen(t_usable)
+        if cells <= GROUP_CELLS:
+            a, b = self.together(own_s, own_t, grow)
+        else:  # one long chapter
+            a, b = self._retrieved(_Bags.of(own_s), _Bags.of(own_t), grow)
+        return s_at[a], t_at[b], sides
+
     def pairs(self, source: list[tuple[str, bool]], target: list[tuple[str, bool]], grow: bool = True) -> list[tuple[int, int]]:
         """Index pairs (from 0) of the marked sentences that are translations of each other."""
         s_at, t_at = ([k for k, (s, closed) in enumerate(side) if closed and _LETTER.search(s)] for side in (source, target))
         if not s_at or not t_at:
             return []
         bag_s, bag_t = _Bags([source[k][0] for k in s_at], self.source), _Bags([target[k][0] for k in t_at], self.target)
+        a, b = self._retrieved(bag_s, bag_t, grow)
+        return [(s_at[x], t_at[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+    def _retrieved(self, bag_s: _Bags, bag_t: _Bags, grow: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, sentence) of one chapter; no matrix of all sentences is made."""
+        if not bag_s.n or not bag_t.n:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none
         numbers = {x: k for k, x in enumerate(sorted(set().union(*bag_s.numbers, *bag_t.numbers)))}
         there, back = self.forward.retrieve(bag_s, bag_t, numbers), self.backward.retrieve(bag_t, bag_s, numbers)
-        n, m = len(s_at), len(t_at)
+        n, m = bag_s.n, bag_t.n
         # candidates: pairs that either direction's index retrieves
         keys = np.union1d(there.pairs, back.pairs % n * m + back.pairs // n)
         i, j = keys // m, keys % m
@@ -303,7 +591,7 @@ class Aligner:
         at = at[both[at] >= ACCEPT]
         mate_s = dict(zip(i[at].tolist(), j[at].tolist(), strict=True))
         if not grow:
-            return [(s_at[a], t_at[b]) for a, b in mate_s.items()]
+            return i[at], j[at]
         # among what is left: sentences whose best partner went to a better match
         free_s, free_t = np.ones(n, dtype=bool), np.ones(m, dtype=bool)
         free_s[list(mate_s)] = False
@@ -331,7 +619,8 @@ class Aligner:
                         best = (gain, o)
                 if best:
                     out.add((k, best[1]) if mates is mate_s else (best[1], k))
-        return sorted((s_at[a], t_at[b]) for a, b in out)
+        found = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
 
 
 def _rarity(bags: list[set[str]]) -> dict[str, float]:
@@ -370,40 +659,88 @@ def fit(source: list[str], target: list[str]) -> tuple[Table, Table, dict[str, f
     return em(seeds), em([(b, a) for a, b in seeds]), rarity_s, rarity_t
 
 
-_WEIGHTS = "pair string, kind string, word string, other string, weight double, n long"
-
+_COUNTS = "pair string, kind string, word string, n long"
+_PACKED = "id long, pair string, packed binary"
+_PARTIAL = "pair string, kind string, part int, words binary, totals binary, n binary, word binary, other binary, mass binary"
+_CELLS = "pair string, kind string, word int, other int, p double, n long"
 
-def _weights(pair: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("kind", pa.string()), ("word", pa.string()), ("other", pa.string()), ("weight", pa.float64()), ("n", pa.int64()))
-    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-    return pa.record_batch([pa.array([pair] * len(rows), pa.string()), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True))], ["pair", *(n for n, _ in kinds)])
 
-
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[str], list[str]]]:
-    """Chapters of a task in blocks of one language pair: (pair, sources, targets), where the texts lie; nothing is moved for it."""
-    held: dict[str, tuple[list[str], list[str]]] = {}
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, tuple[list, ...]]]:
+    """Chapters of a task in blocks of one language pair: (pair, columns besides id and pair), where they lie; nothing is moved for it."""
+    held: dict[str, tuple[list, ...]] = {}
     for batch in batches:
-        for pair, source, target in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            own = held.setdefault(pair, ([], []))
-            own[0].append(source)
-            own[1].append(target)
+        _, pairs, *columns = (c.to_pylist() for c in batch.columns)
+        for pair, *row in zip(pairs, *columns, strict=True):
+            own = held.setdefault(pair, tuple([] for _ in row))
+            for column, value in zip(own, row, strict=True):
+                column.append(value)
             if len(own[0]) >= size:
-                yield pair, *held.pop(pair)
+                yield pair, held.pop(pair)
     for pair in sorted(held):
-        yield pair, *held[pair]
+        yield pair, held[pair]
+
+
+class _Words:
+    """Sentences with each word of one side, added up within a task; pairs of characters are counted as numbers."""
+
+    def __init__(self):
+        self.n, self.latin, self.wide = 0, Counter(), [np.zeros((2, 0), dtype=np.int64)]
+
+    def add(self, field: list[str]) -> None:
+        text, lines = _plain_lines(field)
+        self.n += len(field)
+        if _LATIN_LETTER.search(text):
+            for x in text.lower().split("\n"):
+                self.latin.update(set(_WORD.findall(x)))
+        if not text.isascii():
+            line, key = _wide_pairs(text)
+            key = np.sort(_distinct(line << 42 | key) & (1 << 42) - 1)
+            cut = np.flatnonzero(np.concatenate((key[:1] >= 0, key[1:] != key[:-1])))
+            self.wide.append(np.stack((key[cut], np.diff(cut, append=len(key)))))
+            if len(self.wide) > 16:
+                self.merge()
+
+    def merge(self) -> None:
+        key, slot = np.unique(np.concatenate([x[0] for x in self.wide]), return_inverse=True)
+        self.wide = [np.stack((key, np.bincount(slot, weights=np.concatenate([x[1] for x in self.wide]), minlength=len(key)).astype(np.int64)))]
+
+    def counts(self) -> Iterator[tuple[str, int]]:
+        self.merge()
+        yield from self.latin.items()
+        for key, n in self.wide[0].T.tolist():
+            yield chr(key >> 21) + (chr(key & 0x1FFFFF) if key & 0x1FFFFF else ""), n
 
 
 def _counted(size: int):
     """Sentences with each word, by side; the row without a word counts all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, source, target in _blocks(batches, size):
-            _, bags = _bags(source, target)
-            rows = []
-            for kind, side in (("s", [w for a, _ in bags for w, _ in a]), ("t", [w for _, b in bags for w, _ in b])):
-                rows += [(kind, w, None, 0.0, n) for w, n in Counter(w for ws in side for w in ws).items()]
-                rows.append((kind, None, None, 0.0, len(side)))
-            yield _weights(pair, rows)
+        sums: dict[tuple[str, str], _Words] = {}
+        for pair, fields in _blocks(batches, size):
+            for kind, field in zip("st", fields, strict=True):
+                sums.setdefault((pair, kind), _Words()).add([x for own in field for x in sentences(own)])
+        for (pair, kind), own in sums.items():
+            words_, n = zip((None, own.n), *own.counts(), strict=True)
+            yield pa.record_batch(
+                [pa.array([pair] * len(n), pa.string()), pa.array([kind] * len(n), pa.string()), pa.array(words_, pa.string()), pa.array(n, pa.int64())], ["pair", "kind", "word", "n"]
+            )
+
+    return run
+
+
+def _as_numbers(models):
+    """Every chapter split and looked up once; later passes read numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            ids, pairs, source, target = (c.to_pylist() for c in batch.columns)
+            packed: list[bytes | None] = [None] * len(ids)
+            for pair in sorted(set(pairs)):
+                at = [k for k, x in enumerate(pairs) if x == pair]
+                aligner = models.value[pair]
+                for k, x in zip(at, _packed([source[k] for k in at], [target[k] for k in at], aligner.source, aligner.target), strict=True):
+                    packed[k] = x
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "pair", "packed"])
 
     return run
 
@@ -411,22 +748,19 @@ def _counted(size: int):
 class _Sums:
     """Expected counts of the blocks of a task, added up by cell before they leave it."""
 
-    def __init__(self, ids: dict[str, int], idt: dict[str, int]):
-        self.ids, self.idt, self.words, self.others = ids, idt, pa.array(list(ids), pa.string()), pa.array(list(idt), pa.string())
-        self.total, self.n = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+    def __init__(self, n: int, m: int):
+        self.m = max(1, m)
+        self.total, self.n = np.zeros(n), np.zeros(n, dtype=np.int64)
         self.cells: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, pairs: list[tuple[set[str], set[str]]]) -> None:
-        count = Counter(w for a, _ in pairs for w in sorted(a) if w in self.ids)
-        s, t, row, col, mass = expected_counts(pairs, count, sorted({w for _, b in pairs for w in b if w in self.idt}))
-        total = np.bincount(row, weights=mass, minlength=len(s))
-        at_s, at_t = np.array([self.ids[w] for w in s], dtype=np.int64), np.array([self.idt[w] for w in t], dtype=np.int64)
-        self.total[at_s] += total
-        self.n[at_s] += np.array([count[w] for w in s], dtype=np.int64)
-        keep = mass >= LEAST_SHARE * total[row]
-        self.cells.append((at_s[row[keep]] * len(self.idt) + at_t[col[keep]], mass[keep]))
-        self.held += int(keep.sum())
+    def add(self, s: _Classes, t: _Classes) -> None:
+        self.n[s.words] += s.n
+        row, col, mass, total = expected_counts(s, t, least=LEAST_SHARE)
+        if len(row):
+            self.total[s.words] += total
+            self.cells.append((row * self.m + col, mass))
+            self.held += len(row)
         if self.held > MOST_CELLS:
             self.merge()
 
@@ -436,19 +770,33 @@ class _Sums:
             self.cells = [(key, np.bincount(slot, weights=np.concatenate([m for _, m in self.cells]), minlength=len(key)))]
             self.held = 0
 
-    def rows(self, pair: str, kind: str) -> pa.RecordBatch:
+    def parts(self) -> Iterator[tuple]:
+        """(part, words, totals, n, word, other, mass): the words by part, each with its cells."""
         self.merge()
         key, mass = self.cells[0] if self.cells else (np.zeros(0, dtype=np.int64), np.zeros(0))
-        seen = np.flatnonzero(self.n)
-        n = len(seen) + len(key)
-        return pa.record_batch(
-            [
-                pa.array([pair] * n, pa.string()), pa.array([kind] * n, pa.string()), self.words.take(pa.array(np.concatenate((seen, key // max(1, len(self.idt)))))),
-                pa.concat_arrays([pa.nulls(len(seen), pa.string()), self.others.take(pa.array(key % max(1, len(self.idt))))]),
-                pa.array(np.concatenate((self.total[seen], mass))), pa.array(np.concatenate((self.n[seen], np.zeros(len(key), dtype=np.int64)))),
-            ],
-            ["pair", "kind", "word", "other", "weight", "n"],
-        )
+        word, other, seen = key // self.m, key % self.m, np.flatnonzero(self.n)
+        for part in range(PARTS):
+            own, at = seen[seen % PARTS == part], np.flatnonzero(word % PARTS == part)
+            if len(own):
+                yield part, *(x.tobytes() for x in (own.astype(np.int32), self.total[own], self.n[own], word[at].astype(np.int32), other[at].astype(np.int32), mass[at]))
+
+
+def _in_sentences(side: _Side, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the chosen, word) of the chosen sentences."""
+    per = np.bincount(side.owner, minlength=len(side.place))
+    size = per[chosen]
+    return np.repeat(np.arange(len(chosen)), size), side.ids[_ranges((np.cumsum(per) - per)[chosen], size)]
+
+
+def _numbered_once(s: _Side, t: _Side) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences of a chapter that alone share a number."""
+    span = 1 + max(int(s.n_ids.max(initial=0)), int(t.n_ids.max(initial=0)))
+    alone = []
+    for side in (s, t):
+        key, at, n = np.unique(side.chapter[side.n_owner] * span + side.n_ids, return_index=True, return_counts=True)
+        alone.append((key[n == 1], side.n_owner[at[n == 1]]))
+    _, a, b = np.intersect1d(alone[0][0], alone[1][0], assume_unique=True, return_indices=True)
+    return alone[0][1][a], alone[1][1][b]
 
 
 def _estimated(models, size: int):
@@ -456,21 +804,60 @@ def _estimated(models, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[_Sums, _Sums]] = {}
-        for pair, source, target in _blocks(batches, size):
+        for pair, (chapters,) in _blocks(batches, size):
             aligner = models.value[pair]
-            split, bags = _bags(source, target)
-            found = _matched(aligner, split, bags) if aligner.fitted else _seeds(bags)
-            ids, idt = aligner.source.ids, aligner.target.ids
-            forward, backward = sums.setdefault(pair, (_Sums(ids, idt), _Sums(idt, ids)))
-            forward.add(found)
-            backward.add([(b, a) for a, b in found])
+            bags: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+            n = 0
+            if aligner.fitted:
+                groups = ((a, b, sides) for _, a, b, sides in aligner.packed_pairs(chapters, grow=False))
+            else:
+                sides = _unpacked(chapters)
+                groups = [(*_numbered_once(sides[0][0], sides[1][0]), sides)]
+            for *found, sides in groups:
+                for own, chosen, (side, _) in zip(bags, found, sides, strict=True):
+                    owner, ids = _in_sentences(side, chosen)
+                    own.append((owner + n, ids))
+                n += len(found[0])
+            s, t = (_Classes(*(np.concatenate(x) for x in zip(*own, strict=True)), n) for own in bags)
+            forward, backward = sums.setdefault(pair, (_Sums(len(aligner.source.ids), len(aligner.target.ids)), _Sums(len(aligner.target.ids), len(aligner.source.ids))))
+            forward.add(s, t)
+            backward.add(t, s)
         for pair, both in sums.items():
             for kind, own in zip("fb", both, strict=True):
-                yield own.rows(pair, kind)
+                rows = list(own.parts())
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    types = [pa.int32()] + [pa.binary()] * 6
+                    yield pa.record_batch(
+                        [pa.array([pair] * len(rows), pa.string()), pa.array([kind] * len(rows), pa.string()), *(pa.array(c, x) for c, x in zip(columns, types, strict=True))],
+                        ["pair", "kind", "part", "words", "totals", "n", "word", "other", "mass"],
+                    )
 
     return run
 
 
+def _added(rows: pa.Table) -> pa.Table:
+    """One part of the expected counts of all tasks: probabilities worth keeping, and how many pairs hold each word (other is null)."""
+    read = {c: np.concatenate([np.frombuffer(x, dtype=d) for x in rows.column(c).to_pylist()]) for c, d in
+            (("words", np.int32), ("totals", np.float64), ("n", np.int64), ("word", np.int32), ("other", np.int32), ("mass", np.float64))}
+    words_, slot = np.unique(read["words"], return_inverse=True)
+    total, n = np.bincount(slot, weights=read["totals"]), np.bincount(slot, weights=read["n"]).astype(np.int64)
+    key, slot = np.unique(read["word"].astype(np.int64) << 32 | read["other"], return_inverse=True)
+    at = np.searchsorted(words_, key >> 32)
+    p = np.bincount(slot, weights=read["mass"], minlength=len(key)) / total[at]
+    keep = (p >= MIN_PROBABILITY) & (n[at] >= MIN_COUNT)
+    word, other = np.concatenate((words_, key[keep] >> 32)), pa.array(key[keep] & 0xFFFFFFFF, pa.int32())
+    count, none = len(word), len(words_)
+    pair, kind = rows.column("pair")[0].as_py(), rows.column("kind")[0].as_py()
+    return pa.table(
+        [
+            pa.array([pair] * count, pa.string()), pa.array([kind] * count, pa.string()), pa.array(word, pa.int32()), pa.concat_arrays([pa.nulls(none, pa.int32()), other]),
+            pa.array(np.concatenate((np.zeros(none), p[keep])), pa.float64()), pa.array(np.concatenate((n, np.zeros(count - none, dtype=np.int64))), pa.int64()),
+        ],
+        ["pair", "kind", "word", "other", "p", "n"],
+    )
+
+
 def bilingual(chapters: DataFrame, books: DataFrame) -> DataFrame:
     """(id, pair, source, target) of chapters that have both texts; pair names the two languages."""
     langs = small(books.select(F.col("id").alias("book_id"), F.concat_ws(">", "source_lang", "target_lang").alias("pair")).dropDuplicates(["book_id"]))
@@ -478,54 +865,62 @@ def bilingual(chapters: DataFrame, books: DataFrame) -> DataFrame:
     return both.where("id IS NOT NULL AND length(source) > 0 AND length(target) > 0").join(langs, "book_id").select("id", "pair", "source", "target")
 
 
-def _probabilities(weights: DataFrame) -> DataFrame:
-    """(pair, kind, word, other, p) from the expected counts of all blocks, the best KEEP of each word."""
-    added = stage(weights.groupBy("pair", "kind", "word", "other").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")))
-    whole = added.where(F.col("other").isNull() & (F.col("n") >= MIN_COUNT))
-    flipped = whole.select("pair", F.when(F.col("kind") == "f", "b").otherwise("f").alias("kind"), F.col("word").alias("other"))
-    cells = added.where("other IS NOT NULL").join(whole.select("pair", "kind", "word", F.col("weight").alias("total")), ["pair", "kind", "word"])
-    cells = cells.select("pair", "kind", "word", "other", (F.col("weight") / F.col("total")).alias("p")).where(F.col("p") >= MIN_PROBABILITY)
-    best = F.row_number().over(Window.partitionBy("pair", "kind", "word").orderBy(F.desc("p"), "other"))
-    return cells.join(flipped, ["pair", "kind", "other"], "left_semi").withColumn("k", best).where(F.col("k") <= KEEP).select("pair", "kind", "word", "other", "p")
-
-
-def learn(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> dict[str, Aligner]:
-    """An aligner for each language pair, fitted on all its chapters in blocks of about block_chapters."""
+def _tables(cells: DataFrame, models: dict[str, Aligner]) -> dict[str, dict[str, Table]]:
+    """The best KEEP translations of each word by pair and direction, words on both sides held by MIN_COUNT pairs; bounded by the vocabularies."""
+    tables: dict[str, dict[str, Table]] = {pair: {"f": {}, "b": {}} for pair in models}
+    rows = cells.where(F.col("other").isNotNull() | (F.col("n") >= MIN_COUNT)).toPandas()
+    for (pair, kind), own in rows[rows["other"].notna()].groupby(["pair", "kind"]):
+        sides = [list(models[pair].source.ids), list(models[pair].target.ids)]
+        listed, others = sides if kind == "f" else sides[::-1]
+        held = rows.loc[rows["other"].isna() & (rows["pair"] == pair) & (rows["kind"] == ("b" if kind == "f" else "f")), "word"]
+        table = tables[pair][kind]
+        for word, other, p in own[own["other"].isin(set(held))].sort_values(["word", "p", "other"], ascending=[True, False, True])[["word", "other", "p"]].itertuples(index=False):
+            known = table.setdefault(listed[word], [])
+            if len(known) < KEEP:
+                known.append((others[int(other)], p))
+    return tables
+
+
+def _fitted(docs: DataFrame, block_chapters: int) -> tuple[DataFrame, dict[str, Aligner]]:
+    """All chapters in numbers, each id once, and an aligner for each language pair."""
     context = docs.sparkSession.sparkContext
     once = stage(docs.dropDuplicates(["id"]))
-    counts = stage(once.mapInArrow(_counted(block_chapters), _WEIGHTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")))
+    counts = stage(once.mapInArrow(_counted(block_chapters), _COUNTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")))
     n: dict[tuple[str, str], int] = {(r.pair, r.kind): r.n + 1 for r in counts.where("word IS NULL").collect()}
     rarity: dict[str, dict[str, dict[str, float]]] = {pair: {"s": {}, "t": {}} for pair, _ in n}
     for pair, kind, word, c in counts.where(F.col("word").isNotNull() & (F.col("n") >= MIN_COUNT)).orderBy("pair", "kind", "word").collect():
         rarity[pair][kind][word] = math.log(n[pair, kind] / c)
     models = {pair: Aligner({}, {}, r["s"], r["t"]) for pair, r in rarity.items()}
+    packed = stage(once.mapInArrow(_as_numbers(context.broadcast(models)), _PACKED))
     for _ in range(2):
-        data = context.broadcast(models)
-        tables: dict[str, dict[str, Table]] = {pair: {"f": {}, "b": {}} for pair in models}
-        for pair, kind, word, other, p in _probabilities(once.mapInArrow(_estimated(data, block_chapters), _WEIGHTS)).orderBy("pair", "kind", "word", F.desc("p"), "other").collect():
-            tables[pair][kind].setdefault(word, []).append((other, p))
+        partial = packed.mapInArrow(_estimated(context.broadcast(models), block_chapters), _PARTIAL)
+        tables = _tables(partial.groupBy("pair", "kind", "part").applyInArrow(_added, _CELLS), models)
         models = {pair: Aligner(t["f"], t["b"], rarity[pair]["s"], rarity[pair]["t"], True) for pair, t in tables.items()}
-    return models
+    return packed, models
+
+
+def learn(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> dict[str, Aligner]:
+    """An aligner for each language pair, fitted on all its chapters in blocks of about block_chapters."""
+    return _fitted(docs, block_chapters)[1]
 
 
 def _aligned(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, a, b = [], [], []
-            for ident, pair, source, target in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                aligner = models.value.get(pair)
-                if aligner is None:
-                    continue
-                for i, j in aligner.pairs(marked_sentences(source), marked_sentences(target)):
-                    ids.append(ident)
-                    a.append(i + 1)
-                    b.append(j + 1)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["chapter_id", "source_no", "target_no"])
+            ids, pairs, chapters = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for pair in sorted(set(pairs)):
+                at = np.array([k for k, x in enumerate(pairs) if x == pair])
+                for held, a, b, ((s, _), (t, _)) in models.value[pair].packed_pairs([chapters[k] for k in at.tolist()]):
+                    own = ids[at[held]][s.chapter[a]]
+                    yield pa.record_batch(
+                        [pa.array(own, pa.int64()), pa.array(s.place[a] + 1, pa.int32()), pa.array(t.place[b] + 1, pa.int32())], ["chapter_id", "source_no", "target_no"]
+                    )
 
     return run
 
 
-def aligned_sentences(docs: DataFrame, models: dict[str, Aligner]) -> DataFrame:
+def aligned_sentences(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> DataFrame:
     """docs: bilingual(). (chapter_id, source_no, target_no) of the sentences that say the same."""
+    packed, models = _fitted(docs, block_chapters)
     data = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(_aligned(data), "chapter_id long, source_no int, target_no int").distinct()
+    return packed.mapInArrow(_aligned(data), "chapter_id long, source_no int, target_no int")

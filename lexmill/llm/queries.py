@@ -70,7 +70,7 @@ def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = alignment.bilingual(*_library(spark, sf_dir))
-    return alignment.aligned_sentences(docs, alignment.learn(docs))
+    return alignment.aligned_sentences(docs)
 
 
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
