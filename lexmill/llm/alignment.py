@@ -19,9 +19,11 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,7 @@ def expected_counts(s: _Classes, t: _Classes, rounds: int = 5, least: float = 0.
     row, col = cell // len(t.size), cell % len(t.size)
     w = s.size[row].astype(np.float64)
     for k in range(rounds):
-        share = w[at]
+        share = w.take(at)
         share /= np.repeat(np.add.reduceat(share, begin), size)
         mass = np.bincount(at, weights=share, minlength=len(cell)) / s.size[row]
         total = np.bincount(row, weights=mass * t.size[col], minlength=len(s.size))
@@ -263,11 +265,20 @@ def _wide_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def _key(word: str) -> int:
+    """A word as a number: pairs of characters as they are, Latin words hashed."""
+    if _WORD.fullmatch(word):
+        return 1 << 62 | xxhash.xxh64_intdigest(word.encode()) >> 2
+    return ord(word[0]) << 21 | (ord(word[1]) if len(word) == 2 else 0)
+
+
 class _Vocabulary:
     """Words of one side by id; pairs of characters also by number, for whole fields at once."""
 
     def __init__(self, words_of_side: Iterable[str]):
         self.ids = {w: k for k, w in enumerate(words_of_side)}
+        keyed = sorted((_key(w), k) for w, k in self.ids.items())
+        self.by_key, self.of_key = np.array([x for x, _ in keyed], dtype=np.int64), np.array([k for _, k in keyed], dtype=np.int64)
         pairs = sorted((ord(w[0]) << 21 | (ord(w[1]) if len(w) == 2 else 0), k) for w, k in self.ids.items() if len(w) < 3 and w and _WIDE.fullmatch(w))
         self.keys, self.of = np.array([x for x, _ in pairs], dtype=np.int64), np.array([k for _, k in pairs], dtype=np.int64)
 
@@ -365,45 +376,79 @@ class _Side:
 _HEAD = 6
 
 
-def _packed(source: list[str], target: list[str], s_known: _Vocabulary, t_known: _Vocabulary) -> list[bytes]:
-    """Chapters as numbers: for each side the sentences (1 if closed and with a letter), words by sentence, and numbers by sentence."""
+def _packed(source: list[str], target: list[str], keys: dict[str, int]) -> tuple[list[bytes], list[bytes]]:
+    """Chapters as numbers: for each side the sentences (1 if closed and with a letter), words and numbers by sentence; and the words' keys. New Latin words enter keys."""
     sides = []
-    for field, known in ((source, s_known), (target, t_known)):
+    for field in (source, target):
         split = [marked_sentences(x) for x in field]
         flat = [x for own in split for x in own]
-        bags = _Bags([x for x, _ in flat], known)
-        order = np.argsort(bags.owner, kind="stable")
-        ids = bags.ids[order].astype(np.int32)
-        per = np.bincount(bags.owner, minlength=len(flat)).astype(np.int32)
+        text, lines = _plain_lines([x for x, _ in flat])
+        owner, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if _LATIN_LETTER.search(text):
+            said = [set(_WORD.findall(x)) for x in text.lower().split("\n")]
+            for w in set().union(*said).difference(keys):
+                keys[w] = _key(w)
+            ids = np.array([keys[w] for ws in said for w in ws], dtype=np.int64)
+            owner = np.repeat(np.arange(len(said)), [len(ws) for ws in said])
+        if not text.isascii():
+            line, key = _wide_pairs(text)
+            both = _distinct(line << 42 | key)
+            owner, ids = np.concatenate((owner, both >> 42)), np.concatenate((ids, both & (1 << 42) - 1))
+            order = np.argsort(owner, kind="stable")
+            owner, ids = owner[order], ids[order]
+        per = np.bincount(owner, minlength=len(flat)).astype(np.int32)
         usable = np.array([closed and _LETTER.search(x) is not None for x, closed in flat], dtype=np.int32)
         cut = np.concatenate(([0], np.cumsum([len(own) for own in split]))).astype(np.int64)
-        sides.append((usable, per, ids, np.concatenate(([0], np.cumsum(per)))[cut].tolist(), cut.tolist(), bags.numbers))
-    out = []
+        numbered = [(k, {n.lstrip("0") or "0" for n in _NUMBER.findall(x)}) for k, x in enumerate(lines)] if _NUMBER.search(text) else []
+        by_chapter: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for k, xs in numbered:
+            if xs:
+                c = int(np.searchsorted(cut, k, "right")) - 1
+                by_chapter[c] += [(k - int(cut[c]), x) for x in sorted(xs)]
+        sides.append((usable, per, ids, np.concatenate(([0], np.cumsum(per)))[cut].tolist(), cut.tolist(), by_chapter))
+    out, words_ = [], []
     for k in range(len(source)):
         named: dict[str, int] = {}
-        parts, head = [], []
-        for usable, per, ids, at, cut, numbers in sides:
+        parts, head, held = [], [], []
+        for usable, per, ids, at, cut, by_chapter in sides:
             a, b = cut[k], cut[k + 1]
-            said = [(i, named.setdefault(x, len(named))) for i, xs in enumerate(numbers[a:b]) if xs for x in sorted(xs)]
+            said = [(i, named.setdefault(x, len(named))) for i, x in by_chapter.get(k, ())]
             head += [b - a, at[k + 1] - at[k], len(said)]
-            parts += [usable[a:b], per[a:b], ids[at[k] : at[k + 1]], np.array([i for i, _ in said] + [x for _, x in said], dtype=np.int32)]
+            parts += [usable[a:b], per[a:b], np.array([i for i, _ in said] + [x for _, x in said], dtype=np.int32)]
+            held.append(ids[at[k] : at[k + 1]])
         out.append(np.concatenate((np.array(head, dtype=np.int32), *parts)).tobytes())
-    return out
+        words_.append(np.concatenate(held).tobytes())
+    return out, words_
+
+
+def _keys_of(packed: list[bytes], words_: list[bytes]) -> list[np.ndarray]:
+    """The words of all sentences of either side."""
+    heads = np.array([np.frombuffer(x, dtype=np.int32, count=_HEAD) for x in packed], dtype=np.int64).reshape(-1, _HEAD)
+    whole, m, o = np.frombuffer(b"".join(words_), dtype=np.int64), heads[:, 1], heads[:, 4]
+    at = np.cumsum(m + o) - (m + o)
+    return [whole[_ranges(at, m)], whole[_ranges(at + m, o)]]
 
 
-def _unpacked(chapters: list[bytes]) -> list[tuple[_Side, np.ndarray]]:
-    """Both sides of some chapters, each with its usable sentences."""
-    read = [np.frombuffer(x, dtype=np.int32) for x in chapters]
+def _unpacked(packed: list[bytes], words_: list[bytes], known: tuple[_Vocabulary, _Vocabulary]) -> list[tuple[_Side, np.ndarray]]:
+    """Both sides of some chapters with the known words, each with its usable sentences."""
+    read = [np.frombuffer(x, dtype=np.int32) for x in packed]
     heads = np.array([x[:_HEAD] for x in read], dtype=np.int64).reshape(-1, _HEAD)
     whole = np.concatenate(read) if read else np.zeros(0, dtype=np.int32)
     at = np.cumsum([0] + [len(x) for x in read])[:-1] + _HEAD
     out = []
-    for n, m, k in (heads[:, :3].T, heads[:, 3:].T):
-        usable, per, ids = (whole[_ranges(at + x, y)].astype(np.int64) for x, y in ((0, n), (n, n), (2 * n, m)))
-        n_in, n_ids = (whole[_ranges(at + 2 * n + m + x, k)].astype(np.int64) for x in (0, k))
-        side = _Side(n, _ranges(np.zeros(len(n), dtype=np.int64), n), np.repeat(np.arange(len(per)), per), ids, n_in + np.repeat(np.cumsum(n) - n, k), n_ids)
+    for n, k, keys, own in zip((heads[:, 0], heads[:, 3]), (heads[:, 2], heads[:, 5]), _keys_of(packed, words_), known, strict=True):
+        usable, per = (whole[_ranges(at + x, n)].astype(np.int64) for x in (0, n))
+        n_in, n_ids = (whole[_ranges(at + 2 * n + x, k)].astype(np.int64) for x in (0, k))
+        owner, ids = np.repeat(np.arange(len(per)), per), np.zeros(0, dtype=np.int64)
+        if len(own.by_key):
+            found = np.minimum(np.searchsorted(own.by_key, keys), len(own.by_key) - 1)
+            hit = own.by_key[found] == keys
+            owner, ids = owner[hit], own.of_key[found[hit]]
+        else:
+            owner = owner[:0]
+        side = _Side(n, _ranges(np.zeros(len(n), dtype=np.int64), n), owner, ids, n_in + np.repeat(np.cumsum(n) - n, k), n_ids)
         out.append((side, usable == 1))
-        at = at + 2 * n + m + 2 * k
+        at = at + 2 * n + 2 * k
     return out
 
 
@@ -538,20 +583,20 @@ class Aligner:
         found = np.unique(np.concatenate(out), axis=0)
         return found[:, 0], found[:, 1]
 
-    def packed_pairs(self, chapters: list[bytes], grow: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[_Side, np.ndarray]]]]:
-        """By groups of packed chapters: (chapter, sentence, sentence) as places in the group, and its sides."""
+    def packed_pairs(self, packed: list[bytes], words_: list[bytes], grow: bool = True) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[tuple[_Side, np.ndarray]]]]:
+        """By groups of packed chapters: their places, sentences of either side that say the same, and the sides of the group."""
         held, cells = [], 0
-        for k, x in enumerate([*chapters, b""]):
-            n, words_s, _, m, words_t, _ = np.frombuffer(x[: 4 * _HEAD], dtype=np.int32).tolist() if x else (0,) * _HEAD
-            cost = n * m + n * words_t + m * words_s
+        for k, x in enumerate([*packed, b""]):
+            n, w, _, m, v, _ = np.frombuffer(x, dtype=np.int32, count=_HEAD).tolist() if x else (0,) * _HEAD
+            cost = n * m + n * v + m * w
             if held and (not x or cells + cost > GROUP_CELLS):
-                yield held, *self._group(held, [chapters[h] for h in held], cells, grow)
+                yield held, *self._group([packed[h] for h in held], [words_[h] for h in held], cells, grow)
                 held, cells = [], 0
             held.append(k)
             cells += cost
 
-    def _group(self, held: list[int], chapters: list[bytes], cells: int, grow: bool):
-        (s, s_usable), (t, t_usable) = sides = _unpacked(chapters)
+    def _group(self, packed: list[bytes], words_: list[bytes], cells: int, grow: bool):
+        (s, s_usable), (t, t_usable) = sides = _unpacked(packed, words_, (self.source, self.target))
         s_at, t_at = np.flatnonzero(s_usable), np.flatnonzero(t_usable)
         own_s, own_t = s.chosen(s_usable), t.chosen(t_usable)
         if cells <= GROUP_CELLS:
@@ -659,9 +704,9 @@ def fit(source: list[str], target: list[str]) -> tuple[Table, Table, dict[str, f
     return em(seeds), em([(b, a) for a, b in seeds]), rarity_s, rarity_t
 
 
-_COUNTS = "pair string, kind string, word string, n long"
-_PACKED = "id long, pair string, packed binary"
-_PARTIAL = "pair string, kind string, part int, words binary, totals binary, n binary, word binary, other binary, mass binary"
+_COUNTS = "pair string, kind string, word long, n long"
+_PACKED = "id long, pair string, packed binary, words binary, latin array<string>"
+_PARTIAL = "pair string, kind string, part int, words binary, totals binary, n binary, cells binary, other binary, mass binary"
 _CELLS = "pair string, kind string, word int, other int, p double, n long"
 
 
@@ -681,34 +726,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
 
 
 class _Words:
-    """Sentences with each word of one side, added up within a task; pairs of characters are counted as numbers."""
+    """Sentences with each word of one side, added up within a task."""
 
     def __init__(self):
-        self.n, self.latin, self.wide = 0, Counter(), [np.zeros((2, 0), dtype=np.int64)]
-
-    def add(self, field: list[str]) -> None:
-        text, lines = _plain_lines(field)
-        self.n += len(field)
-        if _LATIN_LETTER.search(text):
-            for x in text.lower().split("\n"):
-                self.latin.update(set(_WORD.findall(x)))
-        if not text.isascii():
-            line, key = _wide_pairs(text)
-            key = np.sort(_distinct(line << 42 | key) & (1 << 42) - 1)
-            cut = np.flatnonzero(np.concatenate((key[:1] >= 0, key[1:] != key[:-1])))
-            self.wide.append(np.stack((key[cut], np.diff(cut, append=len(key)))))
-            if len(self.wide) > 16:
-                self.merge()
-
-    def merge(self) -> None:
-        key, slot = np.unique(np.concatenate([x[0] for x in self.wide]), return_inverse=True)
-        self.wide = [np.stack((key, np.bincount(slot, weights=np.concatenate([x[1] for x in self.wide]), minlength=len(key)).astype(np.int64)))]
+        self.n, self.counts, self.held = 0, [np.zeros((2, 0), dtype=np.int64)], 0
+
+    def add(self, n: int, keys: np.ndarray) -> None:
+        keys = np.sort(keys)
+        cut = np.flatnonzero(np.concatenate((keys[:1] >= 0, keys[1:] != keys[:-1])))
+        self.n += n
+        self.counts.append(np.stack((keys[cut], np.diff(cut, append=len(keys)))))
+        if len(self.counts) > 16:
+            self.merge()
 
-    def counts(self) -> Iterator[tuple[str, int]]:
-        self.merge()
-        yield from self.latin.items()
-        for key, n in self.wide[0].T.tolist():
-            yield chr(key >> 21) + (chr(key & 0x1FFFFF) if key & 0x1FFFFF else ""), n
+    def merge(self) -> np.ndarray:
+        key, slot = np.unique(np.concatenate([x[0] for x in self.counts]), return_inverse=True)
+        self.counts = [np.stack((key, np.bincount(slot, weights=np.concatenate([x[1] for x in self.counts]), minlength=len(key)).astype(np.int64)))]
+        return self.counts[0]
 
 
 def _counted(size: int):
@@ -716,33 +750,51 @@ def _counted(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], _Words] = {}
-        for pair, fields in _blocks(batches, size):
-            for kind, field in zip("st", fields, strict=True):
-                sums.setdefault((pair, kind), _Words()).add([x for own in field for x in sentences(own)])
+        for pair, (packed, words_) in _blocks(batches, size):
+            heads = np.array([np.frombuffer(x, dtype=np.int32, count=_HEAD) for x in packed], dtype=np.int64)
+            for kind, n, keys in zip("st", heads[:, [0, 3]].sum(axis=0).tolist(), _keys_of(packed, words_), strict=True):
+                sums.setdefault((pair, kind), _Words()).add(n, keys)
         for (pair, kind), own in sums.items():
-            words_, n = zip((None, own.n), *own.counts(), strict=True)
+            keys, n = own.merge()
             yield pa.record_batch(
-                [pa.array([pair] * len(n), pa.string()), pa.array([kind] * len(n), pa.string()), pa.array(words_, pa.string()), pa.array(n, pa.int64())], ["pair", "kind", "word", "n"]
-            )
+                [
+                    pa.array([pair] * (len(n) + 1), pa.string()), pa.array([kind] * (len(n) + 1), pa.string()),
+                    pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(keys)]), pa.array(np.concatenate(([own.n], n))),
+                ],
+                ["pair", "kind", "word", "n"],
+            )
 
     return run
 
 
-def _as_numbers(models):
-    """Every chapter split and looked up once; later passes read numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            ids, pairs, source, target = (c.to_pylist() for c in batch.columns)
-            packed: list[bytes | None] = [None] * len(ids)
-            for pair in sorted(set(pairs)):
-                at = [k for k, x in enumerate(pairs) if x == pair]
-                aligner = models.value[pair]
-                for k, x in zip(at, _packed([source[k] for k in at], [target[k] for k in at], aligner.source, aligner.target), strict=True):
-                    packed[k] = x
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "pair", "packed"])
-
-    return run
+def _as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every chapter split into words once; later passes read numbers. Rows without an id list the Latin words of the task."""
+    names = ["id", "pair", "packed", "words", "latin"]
+    keys: dict[str, int] = {}
+    none = lambda n, kind: pa.nulls(n, kind)
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+        ids, pairs, source, target = (c.to_pylist() for c in batch.columns)
+        packed: list[bytes | None] = [None] * len(ids)
+        words_: list[bytes | None] = [None] * len(ids)
+        before = len(keys)
+        for pair in sorted(set(pairs)):
+            at = [k for k, x in enumerate(pairs) if x == pair]
+            for k, x, w in zip(at, *_packed([source[k] for k in at], [target[k] for k in at], keys), strict=True):
+                packed[k], words_[k] = x, w
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(words_, pa.binary()), none(len(ids), pa.list_(pa.string()))], names)
+        new = list(islice(keys, before, None))
+        if new:
+            yield pa.record_batch([none(1, pa.int64()), none(1, pa.string()), none(1, pa.binary()), pa.array([np.array([keys[w] for w in new]).tobytes()], pa.binary()), pa.array([new], pa.list_(pa.string()))], names)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Latin words with their keys, each once in a task."""
+    seen: set[str] = set()
+    for batch in batches:
+        for own in batch.column(1).to_pylist():
+            new = [w for w in own if w not in seen]
+            seen.update(new)
+            yield pa.record_batch([pa.array([_key(w) for w in new], pa.int64()), pa.array(new, pa.string())], ["word", "said"])
 
 
 class _Sums:
@@ -771,14 +823,18 @@ class _Sums:
             self.held = 0
 
     def parts(self) -> Iterator[tuple]:
-        """(part, words, totals, n, word, other, mass): the words by part, each with its cells."""
+        """(part, words, totals, n, cells, other, mass): the words by part, the number of cells of each, and its cells."""
         self.merge()
         key, mass = self.cells[0] if self.cells else (np.zeros(0, dtype=np.int64), np.zeros(0))
-        word, other, seen = key // self.m, key % self.m, np.flatnonzero(self.n)
+        word, seen = key // self.m, np.flatnonzero(self.n)
+        order = np.argsort((word % PARTS).astype(np.uint8), kind="stable")
+        other, mass = (key % self.m).astype(np.int32)[order], mass.astype(np.float32)[order]
+        cells = np.bincount(word, minlength=len(self.n)).astype(np.int32)
+        cut = np.concatenate(([0], np.cumsum(np.bincount(word % PARTS, minlength=PARTS))))
         for part in range(PARTS):
-            own, at = seen[seen % PARTS == part], np.flatnonzero(word % PARTS == part)
+            own, a, b = seen[seen % PARTS == part], cut[part], cut[part + 1]
             if len(own):
-                yield part, *(x.tobytes() for x in (own.astype(np.int32), self.total[own], self.n[own], word[at].astype(np.int32), other[at].astype(np.int32), mass[at]))
+                yield part, *(x.tobytes() for x in (own.astype(np.int32), self.total[own], self.n[own], cells[own], other[a:b], mass[a:b]))
 
 
 def _in_sentences(side: _Side, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -804,14 +860,14 @@ def _estimated(models, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[_Sums, _Sums]] = {}
-        for pair, (chapters,) in _blocks(batches, size):
+        for pair, chapters in _blocks(batches, size):
             aligner = models.value[pair]
             bags: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
             n = 0
             if aligner.fitted:
-                groups = ((a, b, sides) for _, a, b, sides in aligner.packed_pairs(chapters, grow=False))
+                groups = ((a, b, sides) for _, a, b, sides in aligner.packed_pairs(*chapters, grow=False))
             else:
-                sides = _unpacked(chapters)
+                sides = _unpacked(*chapters, (aligner.source, aligner.target))
                 groups = [(*_numbered_once(sides[0][0], sides[1][0]), sides)]
             for *found, sides in groups:
                 for own, chosen, (side, _) in zip(bags, found, sides, strict=True):
@@ -830,7 +886,7 @@ def _estimated(models, size: int):
                     types = [pa.int32()] + [pa.binary()] * 6
                     yield pa.record_batch(
                         [pa.array([pair] * len(rows), pa.string()), pa.array([kind] * len(rows), pa.string()), *(pa.array(c, x) for c, x in zip(columns, types, strict=True))],
-                        ["pair", "kind", "part", "words", "totals", "n", "word", "other", "mass"],
+                        ["pair", "kind", "part", "words", "totals", "n", "cells", "other", "mass"],
                     )
 
     return run
@@ -839,10 +895,10 @@ def _estimated(models, size: int):
 def _added(rows: pa.Table) -> pa.Table:
     """One part of the expected counts of all tasks: probabilities worth keeping, and how many pairs hold each word (other is null)."""
     read = {c: np.concatenate([np.frombuffer(x, dtype=d) for x in rows.column(c).to_pylist()]) for c, d in
-            (("words", np.int32), ("totals", np.float64), ("n", np.int64), ("word", np.int32), ("other", np.int32), ("mass", np.float64))}
+            (("words", np.int32), ("totals", np.float64), ("n", np.int64), ("cells", np.int32), ("other", np.int32), ("mass", np.float32))}
     words_, slot = np.unique(read["words"], return_inverse=True)
     total, n = np.bincount(slot, weights=read["totals"]), np.bincount(slot, weights=read["n"]).astype(np.int64)
-    key, slot = np.unique(read["word"].astype(np.int64) << 32 | read["other"], return_inverse=True)
+    key, slot = np.unique(np.repeat(read["words"].astype(np.int64), read["cells"]) << 32 | read["other"], return_inverse=True)
     at = np.searchsorted(words_, key >> 32)
     p = np.bincount(slot, weights=read["mass"], minlength=len(key)) / total[at]
     keep = (p >= MIN_PROBABILITY) & (n[at] >= MIN_COUNT)
@@ -884,14 +940,17 @@ def _tables(cells: DataFrame, models: dict[str, Aligner]) -> dict[str, dict[str,
 def _fitted(docs: DataFrame, block_chapters: int) -> tuple[DataFrame, dict[str, Aligner]]:
     """All chapters in numbers, each id once, and an aligner for each language pair."""
     context = docs.sparkSession.sparkContext
-    once = stage(docs.dropDuplicates(["id"]))
-    counts = stage(once.mapInArrow(_counted(block_chapters), _COUNTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")))
+    both = stage(docs.dropDuplicates(["id"]).mapInArrow(_as_numbers, _PACKED))
+    packed = both.where("id IS NOT NULL").select("id", "pair", "packed", "words")
+    counts = stage(packed.mapInArrow(_counted(block_chapters), _COUNTS).groupBy("pair", "kind", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= MIN_COUNT)))
     n: dict[tuple[str, str], int] = {(r.pair, r.kind): r.n + 1 for r in counts.where("word IS NULL").collect()}
+    latin = both.where("id IS NULL").select("words", "latin").mapInArrow(_listed, "word long, said string").distinct()
+    said = {r.word: r.said for r in latin.join(counts.select("word").distinct(), "word", "left_semi").collect()}
     rarity: dict[str, dict[str, dict[str, float]]] = {pair: {"s": {}, "t": {}} for pair, _ in n}
-    for pair, kind, word, c in counts.where(F.col("word").isNotNull() & (F.col("n") >= MIN_COUNT)).orderBy("pair", "kind", "word").collect():
+    held = [(r.pair, r.kind, said[r.word] if r.word in said else chr(r.word >> 21) + chr(r.word & 0x1FFFFF).rstrip("\0"), r.n) for r in counts.where("word IS NOT NULL").collect()]
+    for pair, kind, word, c in sorted(held):
         rarity[pair][kind][word] = math.log(n[pair, kind] / c)
     models = {pair: Aligner({}, {}, r["s"], r["t"]) for pair, r in rarity.items()}
-    packed = stage(once.mapInArrow(_as_numbers(context.broadcast(models)), _PACKED))
     for _ in range(2):
         partial = packed.mapInArrow(_estimated(context.broadcast(models), block_chapters), _PARTIAL)
         tables = _tables(partial.groupBy("pair", "kind", "part").applyInArrow(_added, _CELLS), models)
@@ -907,10 +966,10 @@ def learn(docs: DataFrame, block_chapters: int = BLOCK_CHAPTERS) -> dict[str, Al
 def _aligned(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pairs, chapters = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, pairs, packed, words_ = batch.column(0).to_numpy(), *(batch.column(k).to_pylist() for k in (1, 2, 3))
             for pair in sorted(set(pairs)):
                 at = np.array([k for k, x in enumerate(pairs) if x == pair])
-                for held, a, b, ((s, _), (t, _)) in models.value[pair].packed_pairs([chapters[k] for k in at.tolist()]):
+                for held, a, b, ((s, _), (t, _)) in models.value[pair].packed_pairs([packed[k] for k in at.tolist()], [words_[k] for k in at.tolist()]):
                     own = ids[at[held]][s.chapter[a]]
                     yield pa.record_batch(
                         [pa.array(own, pa.int64()), pa.array(s.place[a] + 1, pa.int32()), pa.array(t.place[b] + 1, pa.int32())], ["chapter_id", "source_no", "target_no"]

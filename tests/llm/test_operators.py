@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import alignment, leakage, lookalikes, mojibake, packing, page_text, shared_spans, site_lines, text_cuts
 from lexmill.llm.queries import QUERIES
-from tests.conftest import rows
+from tests.conftest import DATA, rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -207,6 +207,45 @@ def test_long_chapters_need_no_matrix_of_sentences():
     assert sum(i == j for i, j in got) == 4000 and most < 4000 * 4000 * 8, "less than one matrix of all pairs"
 
 
+def test_words_of_the_same_pairs_share_their_counts():
+    """EM over classes of words gives what EM over all cells gives."""
+    rng = random.Random(2)
+    pairs = [({f"s{rng.randrange(12)}" for _ in range(5)}, {f"t{rng.randrange(9)}" for _ in range(4)}) for _ in range(60)]
+    pairs = [(a | {x + "x" for x in a if x < "s3"}, b | {x + "y" for x in b if x < "t4"}) for a, b in pairs]
+    p = {(s, t): 1.0 for a, b in pairs for s in a for t in b}
+    for _ in range(5):
+        mass = dict.fromkeys(p, 0.0)
+        for a, b in pairs:
+            for t in b:
+                whole = sum(p[s, t] for s in a)
+                for s in a:
+                    mass[s, t] += p[s, t] / whole
+        total = {}
+        for (s, _), m in mass.items():
+            total[s] = total.get(s, 0.0) + m
+        p = {(s, t): m / total[s] for (s, t), m in mass.items()}
+    got = {(s, t): x for s, own in alignment.em(pairs).items() for t, x in own}
+    assert len(got) > 20 and all(abs(p[k] - x) < 1e-9 for k, x in got.items())
+    s_words, t_words = sorted({w for a, _ in pairs for w in a}), sorted({w for _, b in pairs for w in b})
+    sides = [alignment._Classes(*alignment._flat(bags, {w: k for k, w in enumerate(ws)}), len(pairs)) for bags, ws in (([a for a, _ in pairs], s_words), ([b for _, b in pairs], t_words))]
+    assert len(sides[0].size) < len(s_words) and len(sides[1].size) < len(t_words)
+    row, col, mass_, _ = alignment.expected_counts(*sides)
+    assert {(s_words[r], t_words[c]): round(m, 9) for r, c, m in zip(row, col, mass_)} == {k: round(m, 9) for k, m in mass.items()}
+
+
+def test_chapters_aligned_together_as_one_by_one(spark):
+    """Packed chapters with small matrices give what the inverted indexes give."""
+    docs = alignment.bilingual(*(spark.read.parquet(f"{DATA}/sf0.01/{name}.parquet") for name in ("chapters", "books")))
+    packed, models = alignment._fitted(docs.limit(60), 300)
+    by_id = {}
+    for row in packed.collect():
+        for _, a, b, ((s, _), (t, _)) in models[row.pair].packed_pairs([row.packed], [row.words]):
+            by_id[row.id] = list(zip(s.place[a].tolist(), t.place[b].tolist(), strict=True))
+    assert len(by_id) == 60 and sum(map(len, by_id.values())) > 300
+    for r in docs.where(F.col("id").isin(list(by_id))).collect():
+        assert sorted(by_id[r.id]) == models[r.pair].pairs(alignment.marked_sentences(r.source), alignment.marked_sentences(r.target))
+
+
 def test_cut_sentences_pair_with_nothing():
     a = alignment.Aligner({}, {}, {}, {})
     assert a.pairs([("No end 5", False)], [("無 5。", True)]) == []
