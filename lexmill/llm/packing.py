@@ -18,7 +18,9 @@ import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,62 +41,121 @@ _M = 1 << 20
 Bins = list[list[int]]
 
 
-def best_fit(order: list[int], sizes: list[int], capacity: int, bins: Bins) -> Bins:
-    """Put the items into the fullest container that takes them, opening new ones; bins is changed."""
-    keys = sorted((capacity - sum(sizes[i] for i in b)) * _M + k for k, b in enumerate(bins))
+def best_fit(order: list[int], sizes: list[int], capacity: int, bins: Bins, fills: list[int] | None = None) -> Bins:
+    """Put the items into the fullest container that takes them, opening new ones; bins is changed, and fills, the sum of each, if given."""
+    fills = [sum(sizes[i] for i in b) for b in bins] if fills is None else fills
+    keys = sorted((capacity - x) * _M + k for k, x in enumerate(fills))
     for i in order:
-        at = bisect_left(keys, sizes[i] * _M)
+        size = sizes[i]
+        at = bisect_left(keys, size * _M)
         if at < len(keys):
             key = keys.pop(at)
             k = key % _M
             bins[k].append(i)
-            insort(keys, key - sizes[i] * _M)
+            fills[k] += size
+            insort(keys, key - size * _M, 0, at)
         else:
+            insort(keys, (capacity - size) * _M + len(bins))
             bins.append([i])
-            insort(keys, (capacity - sizes[i]) * _M + len(bins) - 1)
+            fills.append(size)
     return bins
 
 
-def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, int]:
-    """Fewer containers first, then the sum of squared fills, which rewards full containers beside empty ones."""
-    return -len(bins), sum(sum(sizes[i] for i in b) ** 2 for b in bins)
-
-
-def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    full = sorted(b, key=lambda x: -sum(sizes[i] for i in x))[: max(1, len(b) // 2)]
-    injected = [x for x in full if rng.random() < 0.4] or full[:1]
-    taken = {i for x in injected for i in x}
-    kept = [x for x in a if taken.isdisjoint(x)]
-    displaced = [i for x in a if not taken.isdisjoint(x) for i in x if i not in taken]
-    if kept and rng.random() < 0.5:  # mutation: open one of the emptiest containers as well
-        k = min(range(len(kept)), key=lambda n: sum(sizes[i] for i in kept[n]) * (0.9 + 0.2 * rng.random()))
-        displaced += kept.pop(k)
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, capacity, [list(x) for x in kept + injected])
+class _Packing:
+    """A solution: the container of each item and the fill of each container."""
+
+    def __init__(self, of: np.ndarray, fills: np.ndarray):
+        self.of, self.fills = of, fills
+        #: fewer containers first, then the sum of squared fills, which rewards full containers beside empty ones
+        self.fitness = (-len(fills), int((fills * fills).sum()))
+
+    @classmethod
+    def from_bins(cls, bins: Bins, sizes: np.ndarray) -> _Packing:
+        of = np.empty(len(sizes), dtype=np.int64)
+        of[np.fromiter(chain.from_iterable(bins), dtype=np.int64, count=len(sizes))] = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        return cls(of, np.bincount(of, weights=sizes, minlength=len(bins)).astype(np.int64))
+
+
+def crossover(a: _Packing, b: _Packing, sizes: np.ndarray, capacity: int, rng: random.Random) -> _Packing:
+    n = len(b.fills)
+    full = np.argsort(-b.fills, kind="stable")[: max(1, n // 2)]
+    injected = full[np.frombuffer(rng.randbytes(4 * len(full)), dtype=np.uint32) < 0.4 * 2**32]
+    injected = injected if len(injected) else full[:1]
+    place = np.full(n, -1)
+    place[injected] = np.arange(len(injected))
+    of = place[b.of]  # the containers of the child, -1 for items not placed yet
+    open_ = of < 0
+    hit = np.zeros(len(a.fills), dtype=bool)
+    hit[a.of[~open_]] = True
+    kept = np.flatnonzero(~hit)
+    if len(kept) and rng.random() < 0.5:  # mutation: open one of the emptiest containers as well
+        noise = np.frombuffer(rng.randbytes(4 * len(kept)), dtype=np.uint32) / 2**32
+        kept = np.delete(kept, np.argmin(a.fills[kept] * (0.9 + 0.2 * noise)))
+    place = np.full(len(a.fills), -1)
+    place[kept] = np.arange(len(injected), len(injected) + len(kept))
+    of[open_] = place[a.of[open_]]
+    displaced = np.flatnonzero(of < 0)
+    displaced = displaced[np.argsort(-sizes[displaced], kind="stable")]
+    fills = np.concatenate((b.fills[injected], a.fills[kept]))
+    least = int(sizes[displaced].min()) if len(displaced) else capacity + 1
+    # only containers that take the least of them can change
+    able = np.flatnonzero(capacity - fills >= least)
+    keys = np.sort((capacity - fills[able]) * _M + able).tolist()
+    count, fills = len(fills), fills.tolist()
+    put = []
+    for size in sizes[displaced].tolist():
+        at = bisect_left(keys, size * _M)
+        if at < len(keys):
+            key = keys.pop(at)
+            k = key % _M
+            fills[k] += size
+            key -= size * _M
+            if key >= least * _M:
+                insort(keys, key, 0, at)
+        else:
+            k = count
+            count += 1
+            fills.append(size)
+            if capacity - size >= least:
+                insort(keys, (capacity - size) * _M + k)
+        put.append(k)
+    of[displaced] = put
+    return _Packing(of, np.array(fills, dtype=np.int64))
 
 
-def evolve(sizes: list[int], capacity: int, seeds: list[Bins], rng: random.Random, population: int, generations: int) -> Bins:
+def improve(sizes: list[int], capacity: int, seeds: list[_Packing], rng: random.Random, population: int, generations: int) -> _Packing:
     """One island for one epoch; the best solution it has seen. Stops early at the lower bound."""
-    bound = -(-sum(sizes) // capacity)
+    each = np.array(sizes, dtype=np.int64)
+    bound = -(-int(each.sum()) // capacity)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    pool = [list(map(list, s)) for s in seeds]
+    pool = list(seeds)
     while len(pool) < population:
         noisy = order if not pool else sorted(order, key=lambda i: -sizes[i] * (0.8 + 0.4 * rng.random()))
-        pool.append(best_fit(noisy, sizes, capacity, []))
-        if len(pool[-1]) <= bound:
+        pool.append(_Packing.from_bins(best_fit(noisy, sizes, capacity, []), each))
+        if len(pool[-1].fills) <= bound:
             return pool[-1]
-    scored = sorted(((fitness(s, sizes, capacity), k, s) for k, s in enumerate(pool)), reverse=True)
+    scored = sorted(((s.fitness, k, s) for k, s in enumerate(pool)), key=lambda x: x[:2], reverse=True)
     for g in range(generations):
-        if len(scored[0][2]) <= bound:
+        if len(scored[0][2].fills) <= bound:
             break
-        x, y = rng.sample(scored[: max(2, len(scored))], 2)
-        child = crossover(x[2], y[2], sizes, capacity, rng)
-        scored.append((fitness(child, sizes, capacity), len(pool) + g, child))
-        scored.sort(reverse=True)
+        x, y = rng.sample(scored, 2)
+        child = crossover(x[2], y[2], each, capacity, rng)
+        scored.append((child.fitness, len(pool) + g, child))
+        scored.sort(key=lambda x: x[:2], reverse=True)
         scored = scored[:population]
     return scored[0][2]
 
 
+def evolve(sizes: list[int], capacity: int, seeds: list[Bins], rng: random.Random, population: int, generations: int) -> Bins:
+    """improve() from and to lists of containers."""
+    each = np.array(sizes, dtype=np.int64)
+    best = improve(sizes, capacity, [_Packing.from_bins(s, each) for s in seeds], rng, population, generations)
+    bins: Bins = [[] for _ in best.fills]
+    for i, k in enumerate(best.of.tolist()):
+        bins[k].append(i)
+    return bins
+
+
 def _epoch(epoch: int, population: int, generations: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a few blocks at a time: the arrays of a block become Python lists
@@ -102,23 +163,16 @@ def _epoch(epoch: int, population: int, generations: int):
             solutions, counts, squares = [], [], []
             for r in batch.to_pylist():
                 rng = random.Random(f"{epoch}/{r['bin_class']}/{r['block']}/{r['island']}")
-                seeds = []
+                each, seeds = np.array(r["sizes"], dtype=np.int64), []
                 for given in (r["own"], r["migrant"]):
                     if given:
-                        bins: Bins = [[] for _ in range(max(given) + 1)]
-                        for i, k in enumerate(given):
-                            bins[k].append(i)
-                        if bins not in seeds:
-                            seeds.append(bins)
-                best = evolve(r["sizes"], r["capacity"], seeds, rng, population, generations)
-                score = fitness(best, r["sizes"], r["capacity"])
-                flat = [0] * len(r["sizes"])
-                for k, b in enumerate(best):
-                    for i in b:
-                        flat[i] = k
-                solutions.append(flat)
-                counts.append(len(best))
-                squares.append(float(score[1]))
+                        of = np.array(given, dtype=np.int64)
+                        if not any(np.array_equal(of, s.of) for s in seeds):
+                            seeds.append(_Packing(of, np.bincount(of, weights=each).astype(np.int64)))
+                best = improve(r["sizes"], r["capacity"], seeds, rng, population, generations)
+                solutions.append(best.of.astype(np.int32))
+                counts.append(len(best.fills))
+                squares.append(float(best.fitness[1]))
             keep = ["bin_class", "capacity", "block", "island", "ids", "sizes"]
             yield pa.record_batch(
                 [batch.column(c) for c in keep] + [pa.array(solutions, pa.list_(pa.int32())), pa.array(counts, pa.int32()), pa.array(squares, pa.float64())],

@@ -411,6 +411,18 @@ def test_genetic_packing_is_valid(sizes, seed):
     assert all(sum(sizes[i] for i in b) <= 100 for b in best) and len(best) <= len(plain)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 1000))
+def test_children_hold_every_item_and_know_their_fills(sizes, seed):
+    rng, each = random.Random(seed), packing.np.array(sizes)
+    a, b = (packing._Packing.from_bins(packing.best_fit(rng.sample(range(len(sizes)), len(sizes)), sizes, 100, []), each) for _ in range(2))
+    child = packing.crossover(a, b, each, 100, rng)
+    held = [0] * len(child.fills)
+    for size, k in zip(sizes, child.of.tolist(), strict=True):
+        held[k] += size
+    assert held == child.fills.tolist() and 0 < min(held) and max(held) <= 100
+
+
 def test_packing_needs_no_more_than_best_fit_decreasing(spark):
     docs, bins = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "bins"))
     sizes = sorted((r.n for r in packing.sized(docs).collect()), reverse=True)
