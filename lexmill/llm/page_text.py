@@ -192,8 +192,9 @@ def masked(t: str) -> str:
 def rules(t: str) -> tuple[int, int]:
     """(hash with digits and request ids masked, rule bits) of a trimmed line."""
     n, bits = len(t), 0
-    closed = bool(t.rstrip(CLOSING)) and closed_end(t)
-    if _GARBLED.search(t):
+    end = t.rstrip(CLOSING)
+    closed = bool(end) and end[-1] in TERMINAL
+    if not t.isascii() and _GARBLED.search(t):
         bits |= T_GARBLED
     if link_density(t) >= LINK_DENSITY:
         bits |= T_LINKS
@@ -225,11 +226,16 @@ def line_end(t: str) -> str:
     at = len(t)
     while at and not (t[at - 1].isalnum() or _LETTERLIKE.match(t[at - 1]) or unicodedata.combining(t[at - 1])):
         at -= 1
-    if _CJK.search(t):
+    if not t.isascii() and _CJK.search(t):
         kind, token = "c", _DIGITS.sub("0", t[-2:]) if not t[-1].isdecimal() else t.rstrip(_NUMERALS)[-1:] + "0"
     else:
         kind, token = "h" if "가" <= t[at - 1 : at] <= "힣" else "l", bare(t.rsplit(None, 1)[-1])
-    left = "".join(x for x, y in _QUOTES if t.count(x) > t.count(y)) + ('"' if t.count('"') % 2 else "")
+    left = ""
+    for x, y in _QUOTES:
+        if x in t and t.count(x) > t.count(y):
+            left += x
+    if '"' in t and t.count('"') % 2:
+        left += '"'
     return f"{kind} {left} {t[at:]}\t{token}"
 
 

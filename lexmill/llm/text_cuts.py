@@ -49,6 +49,10 @@ class Trie:
         self.pairs = np.array(sorted(ord(t[0]) << 21 | ord(t[1]) for t in pairs), dtype=np.int64)
         self.first, self.second = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
         self.first[self.pairs >> 21], self.second[self.pairs & 0x1FFFFF] = True, True
+        for table in (self.first, self.second):  # every number is a nought
+            table[48:58] = table[48]
+        self.nought = np.arange(0x110000)
+        self.nought[48:58] = 48
         self.singles = {t for t in asked if len(t) == 1 and page_text._CJK.match(t)}
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -67,26 +71,29 @@ class Trie:
         out: Counter[str] = Counter()
         words, ends = Counter(), Counter()
         for text in texts if self.words else ():
-            for line in text.split("\n") if text else ():
-                if line and not page_text._CJK.search(line):  # there tokens are pairs
-                    own = line.split()
-                    words.update(own[:-1])
-                    if own:
-                        ends[own[-1]] += 1
+            if not text:
+                continue
+            lines = text.split("\n")
+            if page_text._CJK.search(text):  # there tokens are pairs
+                lines = [line for line in lines if not page_text._CJK.search(line)]
+                text = "\n".join(lines)
+            words.update(text.split())
+            ends.update([own[-1] for line in lines if (own := line.rsplit(None, 1))])
+        words.subtract(ends)
         for word, n in ends.items():
             for w in self.beginnings(word):  # the last word of a line only begins what is longer
                 if len(w) < len(page_text.bare(word)):
                     out[w] += n
         for word, n in words.items():
-            for w in self.beginnings(word):
+            for w in self.beginnings(word) if n else ():
                 out[w] += n
         if len(self.pairs):
             for i, j in chunks(texts):
                 c, _ = joined([f"{t}\n" if t else "" for t in texts[i:j]])
                 if len(c) > 2:
-                    c = np.where((c >= 48) & (c < 58), 48, c)
-                    on = np.flatnonzero(self.first[c[:-2]] & self.second[c[1:-1]] & (c[2:] != 10))
-                    key = (c[on].astype(np.int64) << 21) | c[on + 1]
+                    on = np.flatnonzero(self.first[c[:-2]])
+                    on = on[self.second[c[on + 1]] & (c[on + 2] != 10)]
+                    key = (self.nought[c[on]] << 21) | self.nought[c[on + 1]]
                     at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
                     for k, n in zip(*np.unique(key[self.pairs[at] == key], return_counts=True), strict=True):
                         out[chr(int(k) >> 21) + chr(int(k) & 0x1FFFFF)] += int(n)
