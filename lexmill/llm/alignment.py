@@ -17,26 +17,27 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.rolling import codes
+from lexmill.llm.rolling import codes, prefix, spans
+from lexmill.llm.lookalikes import _IGNORABLE as IGNORABLE
 from lexmill.llm.lookalikes import LATIN_CLASSES, plain
 from lexmill.runtime import small, stage
 
 #: Chapters of one language pair on which EM runs at a time; every chapter is in one block.
 BLOCK_CHAPTERS = 300
-#: Cells of a table of two vocabularies up to which EM counts them in place instead of sorting them.
-DENSE_CELLS = 1 << 25
 #: Cells of the matrices of chapters that are aligned together; a longer chapter is aligned alone, without matrices.
 GROUP_CELLS = 1 << 19
+GROUP_CHAPTERS = 64
 #: Parts in which the expected counts of a direction are added up.
 PARTS = 32
 #: Cells of finished blocks a task holds apart before it adds them up.
@@ -108,12 +109,30 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """np.argsort(x, kind="stable") of numbers from 0 on; they are sorted together with their places, which is faster."""
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()).bit_length() + bits > 62:
+        return np.argsort(x, kind="stable")
+    return np.sort(x.astype(np.int64) << bits | np.arange(len(x))) & (1 << bits) - 1
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(x, return_inverse=True) of numbers from 0 on."""
+    order = _order(x)
+    x = x[order]
+    new = np.concatenate((np.ones(len(x[:1]), dtype=bool), x[1:] != x[:-1]))
+    slot = np.empty(len(x), dtype=np.int64)
+    slot[order] = np.cumsum(new) - 1
+    return x[new], slot
+
+
 class _Classes:
     """Words of one side of the pairs, those that stand in exactly the same pairs as one class: EM cannot tell them apart."""
 
     def __init__(self, owner: np.ndarray, ids: np.ndarray, n_pairs: int):
-        self.words, at = np.unique(ids, return_inverse=True)
-        order = np.argsort(at, kind="stable")
+        self.words, at = _numbered(ids)
+        order = _order(at)
         self.n = np.bincount(at, minlength=len(self.words))
         # a sum of random numbers of its pairs names the set of pairs
         drawn = np.random.default_rng(7).integers(0, 1 << 64, n_pairs, dtype=np.uint64)
@@ -129,43 +148,55 @@ class _Classes:
         self.members, self.first = np.argsort(self.of, kind="stable"), np.cumsum(self.size) - self.size
 
 
+class _Met:
+    """The words (classes) of both sides that stand in one pair: once for each cell of two words and pair, sorted by cell, so that EM reads the cells in order."""
+
+    def __init__(self, s: _Classes, t: _Classes):
+        self.sides = s, t
+        size = s.per_pair[t.owner]
+        of_s, of_t = _ranges(s.start[t.owner], size), np.repeat(np.arange(len(t.ids)), size)
+        cell = s.ids[of_s] * len(t.size) + t.ids[of_t]
+        order = _order(cell)
+        cell = cell[order]
+        #: by direction: the word of the other side, in its pair, that shares out its mass
+        self.shared = of_t[order], of_s[order]
+        new = np.concatenate((np.ones(len(cell[:1]), dtype=bool), cell[1:] != cell[:-1]))
+        self.slot = np.cumsum(new) - 1
+        cell = cell[new]
+        self.cells = cell // max(1, len(t.size)), cell % max(1, len(t.size))
+
+    def expected(self, back: bool = False, rounds: int = 5, least: float = 0.0):
+        """(word s, word t, mass) by cell, and the mass of each word s: how often s is expected to stand for t in the pairs after some rounds of EM; back: the sides change places.
+
+        Cells below the share least of their word are left out.
+        """
+        (s, t), (row, col), shared = self.sides[:: -1 if back else 1], self.cells[:: -1 if back else 1], self.shared[back]
+        if not len(row):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0), np.zeros(len(s.words))
+        own, other = s.size[row].astype(np.float64), t.size[col]
+        w, each = own, np.empty(len(shared))
+        for k in range(rounds):
+            if k:
+                whole = np.bincount(shared, weights=w.take(self.slot, out=each, mode="clip"), minlength=len(t.ids))
+            else:  # all words of the pair
+                whole = np.bincount(s.owner, weights=s.size[s.ids], minlength=len(s.per_pair))[t.owner]
+            np.divide(1.0, whole, out=whole, where=whole > 0)
+            mass = w * np.bincount(self.slot, weights=whole.take(shared, out=each, mode="clip")) / own
+            total = np.bincount(row, weights=mass * other, minlength=len(s.size))
+            if k + 1 < rounds:
+                w = own * mass / total[row]
+        keep = mass >= least * total[row]
+        row, col, mass = row[keep], col[keep], mass[keep]
+        each = s.size[row] * t.size[col]
+        inner, wide = _ranges(np.zeros(len(each), dtype=np.int64), each), np.repeat(t.size[col], each)
+        of_s = s.members[np.repeat(s.first[row], each) + inner // wide]
+        of_t = t.members[np.repeat(t.first[col], each) + inner % wide]
+        return s.words[of_s], t.words[of_t], np.repeat(mass, each), total[s.of]
+
+
 def expected_counts(s: _Classes, t: _Classes, rounds: int = 5, least: float = 0.0):
-    """(word s, word t, mass) by cell, and the mass of each word s: how often s is expected to stand for t in the pairs after some rounds of EM.
-
-    Cells below the share least of their word are left out.
-    """
-    size = s.per_pair[t.owner]
-    size, owner, c = size[size > 0], t.owner[size > 0], t.ids[size > 0]
-    if not len(size):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0), np.zeros(len(s.words))
-    at = np.repeat(c, size) + s.ids[_ranges(s.start[owner], size)] * len(t.size)
-    begin, n = np.cumsum(size) - size, len(s.size) * len(t.size)
-    if n <= DENSE_CELLS:  # find the cells in place, keep those that occur
-        there = np.zeros(n, dtype=bool)
-        there[at] = True
-        cell = np.flatnonzero(there)
-        place = np.empty(n, dtype=np.int32)
-        place[cell] = np.arange(len(cell), dtype=np.int32)
-        at = place[at].astype(np.intp)
-    else:
-        cell, at = np.unique(at, return_inverse=True)
-    row, col = cell // len(t.size), cell % len(t.size)
-    w = s.size[row].astype(np.float64)
-    for k in range(rounds):
-        share = w.take(at)
-        share /= np.repeat(np.add.reduceat(share, begin), size)
-        mass = np.bincount(at, weights=share, minlength=len(cell)) / s.size[row]
-        total = np.bincount(row, weights=mass * t.size[col], minlength=len(s.size))
-        if k + 1 < rounds:
-            w = s.size[row] * mass / total[row]
-    keep = mass >= least * total[row]
-    row, col, mass = row[keep], col[keep], mass[keep]
-    each = s.size[row] * t.size[col]
-    inner, wide = _ranges(np.zeros(len(each), dtype=np.int64), each), np.repeat(t.size[col], each)
-    of_s = s.members[np.repeat(s.first[row], each) + inner // wide]
-    of_t = t.members[np.repeat(t.first[col], each) + inner % wide]
-    return s.words[of_s], t.words[of_t], np.repeat(mass, each), total[s.of]
+    return _Met(s, t).expected(False, rounds, least)
 
 
 def _flat(bags: Iterable[Iterable[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,24 +283,17 @@ class _Index:
         return float(weight[np.isin(words, of(column)) & ~np.isin(words, of(beside))].sum() / self.full[row])
 
 
-def _wide_table() -> np.ndarray:
-    """Per code point whether words() takes it into runs of neighbouring characters."""
-    if not _TABLE:
-        wide = np.zeros(0x110000, dtype=bool)
-        wide[:0x32000] = [c.isalnum() and not c.isdecimal() for c in map(chr, range(0x32000))]
-        wide[:0x80] = wide[0xC0:0x100] = False
-        _TABLE.append(wide)
-    return _TABLE[0]
-
-
-_TABLE: list[np.ndarray] = []
+def _hashed(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(2)).astype(np.int64) | 1 << 62
 
 
-def _key(word: str) -> int:
-    """A word as a number: pairs of characters as they are, Latin words hashed."""
-    if _WORD.fullmatch(word):
-        return 1 << 62 | xxhash.xxh64_intdigest(word.encode()) >> 2
-    return ord(word[0]) << 21 | (ord(word[1]) if len(word) == 2 else 0)
+def _keys(said: list[str]) -> np.ndarray:
+    """Words as numbers: pairs of characters as they are, Latin words hashed."""
+    latin = [_WORD.fullmatch(w) is not None for w in said]
+    end = np.cumsum([len(w) for w in said], dtype=np.int64)
+    start = np.concatenate(([0], end[:-1])).astype(np.int64)
+    hashed = _hashed(spans(prefix(codes("".join(said))), start, end)) if said else np.zeros(0, dtype=np.int64)
+    return np.where(latin, hashed, np.array([ord(w[:1] or "\0") << 21 | (ord(w[1]) if len(w) == 2 else 0) for w in said], dtype=np.int64))
 
 
 class _Vocabulary:
@@ -277,12 +301,44 @@ class _Vocabulary:
 
     def __init__(self, words_of_side: Iterable[str]):
         self.ids = {w: k for k, w in enumerate(words_of_side)}
-        keyed = sorted((_key(w), k) for w, k in self.ids.items())
-        self.by_key, self.of_key = np.array([x for x, _ in keyed], dtype=np.int64), np.array([k for _, k in keyed], dtype=np.int64)
+        keyed = _keys(list(self.ids))
+        self.of_key = np.argsort(keyed, kind="stable")
+        self.by_key = keyed[self.of_key]
+        self.table: np.ndarray | None = None
         pairs = sorted((ord(w[0]) << 21 | (ord(w[1]) if len(w) == 2 else 0), k) for w, k in self.ids.items() if len(w) < 3 and w and _WIDE.fullmatch(w))
         self.keys, self.of = np.array([x for x, _ in pairs], dtype=np.int64), np.array([k for _, k in pairs], dtype=np.int64)
 
 
+    def _placed(self) -> None:
+        """A table of places by some bits of the keys finds most words at once, those that share their place with others are sought; made where it is used."""
+        self.shift = 64 - max(4, (8 * len(self.by_key)).bit_length())
+        at = self._spread(self.by_key)
+        self.table = np.zeros(1 << 64 - self.shift, dtype=np.int32)
+        self.table[at[::-1]] = np.arange(len(at))[::-1]
+        self.rest = np.flatnonzero(self.table[at] != np.arange(len(at)))
+
+    def _spread(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, words) of the keys that are known."""
+        if not len(self.by_key):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if self.table is None:
+            self._placed()
+        found = self.table[self._spread(keys)]
+        hit = self.by_key[found] == keys
+        if len(self.rest):
+            at = np.flatnonzero(~hit)
+            rest = self.by_key[self.rest]
+            to = np.minimum(np.searchsorted(rest, keys[at]), len(rest) - 1)
+            own = rest[to] == keys[at]
+            found[at[own]] = self.rest[to[own]]
+            hit[at[own]] = True
+        at = np.flatnonzero(hit)
+        return at, self.of_key[found[at]]
+
+
 def _plain_lines(field: list[str]) -> tuple[str, list[str]]:
     """Sentences in plain letters, joined by line feeds and as lines."""
     text = plain("\n".join(field))
@@ -294,15 +350,14 @@ def _plain_lines(field: list[str]) -> tuple[str, list[str]]:
     return text, lines
 
 
-def _wide_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(line, pair of neighbouring characters as a number) of text outside Latin script."""
-    c = codes(text).astype(np.int64)
-    wide = _wide_table()[c]
-    after = np.concatenate((wide[1:], [False]))
-    alone = wide & ~after & ~np.concatenate(([False], wide[:-1]))
-    at = np.flatnonzero((wide & after) | alone)
-    key = (c[at] << 21) | np.where(alone[at], 0, c[np.minimum(at + 1, len(c) - 1)])
-    return np.cumsum(c == 10)[at], key
+def _wide_pairs(c: np.ndarray, line: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, pair of neighbouring characters as a number) of code points outside Latin script."""
+    at = np.flatnonzero(wide)
+    after = at + 1 == np.append(at[1:], -1)
+    alone = ~(after | np.concatenate(([False], after[:-1])))
+    own = after | alone
+    at, after = at[own], after[own]
+    return line[at], c[at].astype(np.int64) << 21 | np.where(after, c[np.minimum(at + 1, len(c) - 1)], 0)
 
 
 class _Bags:
@@ -317,7 +372,8 @@ class _Bags:
         self.ids = np.array([w for ws in flat for w in ws], dtype=np.int64)
         self.owner = np.repeat(np.arange(len(flat)), [len(ws) for ws in flat])
         if len(known.keys) and not text.isascii():
-            line, key = _wide_pairs(text)
+            c = codes(text)
+            line, key = _wide_pairs(c, np.cumsum(c == 10), _characters().kind[c] & _IS_WIDE != 0)
             found = np.minimum(np.searchsorted(known.keys, key), len(known.keys) - 1)
             hit = known.keys[found] == key
             line = line[hit]
@@ -375,55 +431,195 @@ class _Side:
 
 _HEAD = 6
 
+#: Ranges in which every character is normalized by itself, whatever stands around it; sentences with others are normalized one by one.
+_BY_ITSELF = (
+    (0x20, 0x17F), (0x370, 0x3FF), (0x400, 0x481), (0x48A, 0x52F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x2100, 0x218B), (0x2190, 0x2BFF),
+    (0x3000, 0x3029), (0x3030, 0x3096), (0x309D, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E),
+)
+_OPEN_END, _NARROW_END, _CLOSER, _SPACE, _IS_LETTER, _IS_WIDE, _IS_DIGIT, _IGNORED = (1 << k for k in range(8))
+#: Capital whose lower-case form ends a word: it is i and a mark.
+_DOTTED = 0x130
 
-def _packed(source: list[str], target: list[str], keys: dict[str, int]) -> tuple[list[bytes], list[bytes]]:
+
+class _Characters:
+    """Per code point what the regular expressions of this module say of it, for whole fields at once."""
+
+    def __init__(self):
+        # no other plane has letters, marks or ignorables
+        places = np.concatenate((np.arange(0x40000), np.arange(0xE0000, 0xF0000))).astype("<u4")
+        every = places.tobytes().decode("utf-32-le", "surrogatepass")
+        self.kind = np.zeros(0x110000, dtype=np.uint8)
+        for bit, pattern in (
+            (_OPEN_END, r"[。！？…]+"), (_NARROW_END, r"[.!?]+"), (_CLOSER, r"[”’\"'」』）)\]]+"), (_SPACE, r"\s+"), (_IS_LETTER, _LETTER.pattern + "+"),
+            (_IS_WIDE, _WIDE.pattern), (_IS_DIGIT, _NUMBER.pattern), (_IGNORED, IGNORABLE.pattern + "+"),
+        ):
+            for m in re.finditer(pattern, every):
+                self.kind[places[m.start()] : int(places[m.end() - 1]) + 1] |= bit
+        #: the character in plain letters, look-alikes as Latin ones; 0: it depends on its neighbours or is more than one
+        self.plain = np.zeros(0x110000, dtype=np.uint32)
+        self.plain[10] = 10
+        for a, b in _BY_ITSELF:
+            if a in (0x3400, 0x4E00, 0xAC00):  # as they are
+                self.plain[a : b + 1] = np.arange(a, b + 1)
+                continue
+            for c in range(a, b + 1):
+                to = unicodedata.normalize("NFKC", chr(c))
+                if len(to) == 1 and not unicodedata.combining(to):
+                    self.plain[c] = ord(to.translate(_LATIN))
+                elif not any(x.isalnum() for x in to) and not unicodedata.combining(to[0]):  # marks only
+                    self.plain[c] = 0x2E
+        #: the lower-case Latin letter, 0 for others
+        self.latin = np.zeros(0x110000, dtype=np.uint32)
+        for c in _WORD_LETTERS:
+            self.latin[ord(c)] = ord(c)
+            if len(c.upper()) == 1:
+                self.latin[ord(c.upper())] = ord(c)
+        self.latin[_DOTTED] = ord("i")
+
+
+_WORD_LETTERS = [c for c in map(chr, range(0x100)) if _WORD.fullmatch(c)]
+_KNOWN: list[_Characters] = []
+
+
+def _characters() -> _Characters:
+    if not _KNOWN:
+        _KNOWN.append(_Characters())
+    return _KNOWN[0]
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of neighbouring places."""
+    if not len(at):
+        return at, at
+    cut = np.flatnonzero(np.diff(at) != 1)
+    return at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + 1
+
+
+def _split(field: list[str], known: _Characters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """marked_sentences() of many fields: their code points, (start, end) of each sentence, whether it is closed and has a letter, and the sentences before each field."""
+    c = codes("\n".join(field) + "\n")
+    kind = known.kind[c]
+    stops = [np.zeros(0, dtype=np.int64)]
+    closer, closer_end = _runs(np.flatnonzero(kind & _CLOSER))
+    for bit in (_OPEN_END, _NARROW_END):
+        _, end = _runs(np.flatnonzero(kind & bit))
+        if len(end) and len(closer):
+            k = np.minimum(np.searchsorted(closer, end), len(closer) - 1)
+            end = np.where(closer[k] == end, closer_end[k], end)
+        stops.append(end if bit == _OPEN_END else end[kind[end] & _SPACE != 0])
+    stop, feed = np.concatenate(stops), np.flatnonzero(c == 10)
+    end = np.concatenate((stop, feed))
+    order = np.argsort(end, kind="stable")  # a mark before the line feed it stands at
+    end, closed = end[order], (np.arange(len(end)) < len(stop))[order]
+    start = np.concatenate(([0], (end + ~closed)[:-1]))
+    said = np.concatenate(([0], np.cumsum(kind & _SPACE == 0)))
+    keep = closed | (said[end] > said[start])
+    start, end, closed = start[keep], end[keep], closed[keep]
+    letters = np.concatenate(([0], np.cumsum(kind & _IS_LETTER != 0)))
+    first = np.cumsum([0] + [len(x) + 1 for x in field])
+    return c, start, end, closed & (letters[end] > letters[start]), np.searchsorted(start, first)
+
+
+def _in_plain_letters(c: np.ndarray, start: np.ndarray, end: np.ndarray, known: _Characters) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of sentences in plain letters, a line feed after each, and the sentence of each code point."""
+    size = end - start + 1
+    x, line = c[_ranges(start, size)], np.repeat(np.arange(len(size)), size)
+    x[np.cumsum(size) - 1] = 10
+    ignored = known.kind[x] >= _IGNORED
+    if ignored.any():
+        x, line = x[~ignored], line[~ignored]
+    out = known.plain[x]
+    hard = _distinct(line[out == 0])
+    if not len(hard):
+        return out, line
+    at = np.zeros(len(size), dtype=bool)
+    at[hard] = True
+    at = at[line]
+    own = x[at].tobytes().decode("utf-32-le", "surrogatepass").split("\n")[:-1]
+    own = [plain(s).replace("\n", " ").translate(_LATIN) + "\n" for s in own]
+    return np.concatenate((out[~at], codes("".join(own)))), np.concatenate((line[~at], np.repeat(hard, [len(s) for s in own])))
+
+
+def _numbers_in(x: np.ndarray, line: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, number) of all numbers, hashed without leading zeros."""
+    start, end = _runs(np.flatnonzero(kind & _IS_DIGIT))
+    if not len(start):
+        return start, start.astype(np.uint64)
+    other = np.append(np.flatnonzero((kind & _IS_DIGIT != 0) & (x != 48)), len(x))
+    start = np.minimum(other[np.searchsorted(other, start)], end - 1)
+    return line[start], spans(prefix(x), start, end)
+
+
+def _latin_words(x: np.ndarray, line: np.ndarray, known: _Characters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sentence, key) of all Latin words, sentences in order; and the letters, with (start, end) of one place of each key."""
+    low = known.latin[x]
+    at = low != 0
+    new = at & ~np.concatenate(([False], at[:-1] & (x[:-1] != _DOTTED)))
+    start = np.flatnonzero(new)
+    none = np.zeros(0, dtype=np.int64)
+    if not len(start):
+        return none, none, low, none, none
+    last = at & np.concatenate((~at[1:] | new[1:], [True]))
+    end = np.flatnonzero(last) + 1
+    key, first, slot = np.unique(_hashed(spans(prefix(low), start, end)), return_index=True, return_inverse=True)
+    both = _distinct(line[start] * len(key) + slot)
+    return both // len(key), key[both % len(key)], low, start[first], end[first]
+
+
+def _packed(source: list[str], target: list[str], keys: dict[int, str]) -> tuple[list[bytes], list[bytes]]:
     """Chapters as numbers: for each side the sentences (1 if closed and with a letter), words and numbers by sentence; and the words' keys. New Latin words enter keys."""
-    sides = []
+    known = _characters()
+    sides, numbers = [], []
     for field in (source, target):
-        split = [marked_sentences(x) for x in field]
-        flat = [x for own in split for x in own]
-        text, lines = _plain_lines([x for x, _ in flat])
-        owner, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if _LATIN_LETTER.search(text):
-            said = [set(_WORD.findall(x)) for x in text.lower().split("\n")]
-            for w in set().union(*said).difference(keys):
-                keys[w] = _key(w)
-            ids = np.array([keys[w] for ws in said for w in ws], dtype=np.int64)
-            owner = np.repeat(np.arange(len(said)), [len(ws) for ws in said])
-        if not text.isascii():
-            line, key = _wide_pairs(text)
-            both = _distinct(line << 42 | key)
+        c, start, end, usable, cut = _split(field, known)
+        x, line = _in_plain_letters(c, start, end, known)
+        kind = known.kind[x]
+        owner, ids, low, first, until = _latin_words(x, line, known)
+        for k, a, b in zip(*(v.tolist() for v in (_hashed(spans(prefix(low), first, until)), first, until)), strict=True):
+            if k not in keys:
+                keys[k] = low[a:b].tobytes().decode("utf-32-le")
+        in_line, key = _wide_pairs(x, line, kind & _IS_WIDE != 0)
+        if len(key):
+            both = _distinct(in_line << 42 | key)
             owner, ids = np.concatenate((owner, both >> 42)), np.concatenate((ids, both & (1 << 42) - 1))
-            order = np.argsort(owner, kind="stable")
+            order = _order(owner)
             owner, ids = owner[order], ids[order]
-        per = np.bincount(owner, minlength=len(flat)).astype(np.int32)
-        usable = np.array([closed and _LETTER.search(x) is not None for x, closed in flat], dtype=np.int32)
-        cut = np.concatenate(([0], np.cumsum([len(own) for own in split]))).astype(np.int64)
-        numbered = [(k, {n.lstrip("0") or "0" for n in _NUMBER.findall(x)}) for k, x in enumerate(lines)] if _NUMBER.search(text) else []
-        by_chapter: dict[int, list[tuple[int, str]]] = defaultdict(list)
-        for k, xs in numbered:
-            if xs:
-                c = int(np.searchsorted(cut, k, "right")) - 1
-                by_chapter[c] += [(k - int(cut[c]), x) for x in sorted(xs)]
-        sides.append((usable, per, ids, np.concatenate(([0], np.cumsum(per)))[cut].tolist(), cut.tolist(), by_chapter))
+        per = np.bincount(owner, minlength=len(start)).astype(np.int32)
+        sides.append((usable.astype(np.int32), per, ids, np.concatenate(([0], np.cumsum(per)))[cut].tolist(), cut.tolist()))
+        at, value = _numbers_in(x, line, kind)
+        chapter = np.searchsorted(cut, at, "right") - 1
+        numbers.append((chapter, at - cut[chapter], value))
+    # numbers are named apart in each chapter, both sides alike
+    chapter, at, value = (np.concatenate(own) for own in zip(*numbers, strict=True))
+    side = np.repeat([0, 1], [len(own[0]) for own in numbers])
+    value = np.unique(value, return_inverse=True)[1]
+    named, slot = np.unique(chapter * (1 + value.max(initial=0)) + value, return_inverse=True)
+    of = named // (1 + value.max(initial=0))
+    name = slot - np.searchsorted(of, chapter)
+    wide = 1 + int(at.max(initial=0))
+    both = _distinct(((chapter * 2 + side) * wide + at) * (1 + len(named)) + name)
+    chapter, at, name = both // (1 + len(named)) // wide, both // (1 + len(named)) % wide, (both % (1 + len(named))).astype(np.int32)
+    at, until = at.astype(np.int32), np.searchsorted(chapter, np.arange(2 * len(source) + 1)).tolist()
     out, words_ = [], []
     for k in range(len(source)):
-        named: dict[str, int] = {}
         parts, head, held = [], [], []
-        for usable, per, ids, at, cut, by_chapter in sides:
-            a, b = cut[k], cut[k + 1]
-            said = [(i, named.setdefault(x, len(named))) for i, x in by_chapter.get(k, ())]
-            head += [b - a, at[k + 1] - at[k], len(said)]
-            parts += [usable[a:b], per[a:b], np.array([i for i, _ in said] + [x for _, x in said], dtype=np.int32)]
-            held.append(ids[at[k] : at[k + 1]])
+        for which, (usable, per, ids, w, cut) in enumerate(sides):
+            a, b, i, j = cut[k], cut[k + 1], until[2 * k + which], until[2 * k + which + 1]
+            head += [b - a, w[k + 1] - w[k], j - i]
+            parts += [usable[a:b], per[a:b], at[i:j], name[i:j]]
+            held.append(ids[w[k] : w[k + 1]])
         out.append(np.concatenate((np.array(head, dtype=np.int32), *parts)).tobytes())
         words_.append(np.concatenate(held).tobytes())
     return out, words_
 
 
+def _heads(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([x[: 4 * _HEAD] for x in packed]), dtype=np.int32).astype(np.int64).reshape(-1, _HEAD)
+
+
 def _keys_of(packed: list[bytes], words_: list[bytes]) -> list[np.ndarray]:
     """The words of all sentences of either side."""
-    heads = np.array([np.frombuffer(x, dtype=np.int32, count=_HEAD) for x in packed], dtype=np.int64).reshape(-1, _HEAD)
+    heads = _heads(packed)
     whole, m, o = np.frombuffer(b"".join(words_), dtype=np.int64), heads[:, 1], heads[:, 4]
     at = np.cumsum(m + o) - (m + o)
     return [whole[_ranges(at, m)], whole[_ranges(at + m, o)]]
@@ -431,21 +627,14 @@ def _keys_of(packed: list[bytes], words_: list[bytes]) -> list[np.ndarray]:
 
 def _unpacked(packed: list[bytes], words_: list[bytes], known: tuple[_Vocabulary, _Vocabulary]) -> list[tuple[_Side, np.ndarray]]:
     """Both sides of some chapters with the known words, each with its usable sentences."""
-    read = [np.frombuffer(x, dtype=np.int32) for x in packed]
-    heads = np.array([x[:_HEAD] for x in read], dtype=np.int64).reshape(-1, _HEAD)
-    whole = np.concatenate(read) if read else np.zeros(0, dtype=np.int32)
-    at = np.cumsum([0] + [len(x) for x in read])[:-1] + _HEAD
+    heads, whole = _heads(packed), np.frombuffer(b"".join(packed), dtype=np.int32)
+    at = np.cumsum([0] + [len(x) // 4 for x in packed])[:-1] + _HEAD
     out = []
     for n, k, keys, own in zip((heads[:, 0], heads[:, 3]), (heads[:, 2], heads[:, 5]), _keys_of(packed, words_), known, strict=True):
         usable, per = (whole[_ranges(at + x, n)].astype(np.int64) for x in (0, n))
         n_in, n_ids = (whole[_ranges(at + 2 * n + x, k)].astype(np.int64) for x in (0, k))
-        owner, ids = np.repeat(np.arange(len(per)), per), np.zeros(0, dtype=np.int64)
-        if len(own.by_key):
-            found = np.minimum(np.searchsorted(own.by_key, keys), len(own.by_key) - 1)
-            hit = own.by_key[found] == keys
-            owner, ids = owner[hit], own.of_key[found[hit]]
-        else:
-            owner = owner[:0]
+        at_keys, ids = own.find(keys)
+        owner = np.repeat(np.arange(len(per)), per)[at_keys]
         side = _Side(n, _ranges(np.zeros(len(n), dtype=np.int64), n), owner, ids, n_in + np.repeat(np.cumsum(n) - n, k), n_ids)
         out.append((side, usable == 1))
         at = at + 2 * n + 2 * k
@@ -459,27 +648,32 @@ class _Scores:
         self.own, self.others, base = own, others, max(1, len(table.rarity))
         size = table.start[own.ids + 1] - table.start[own.ids]
         at = _ranges(table.start[own.ids], size)
-        key, slot = np.unique(np.repeat(own.owner, size) * np.int64(base) + table.to[at], return_inverse=True)
+        key, slot = _numbered(np.repeat(own.owner, size) * np.int64(base) + table.to[at])
         row, word = key // base, key % base
         weight = np.minimum(np.bincount(slot, weights=table.p[at], minlength=len(key)), 1.0) * table.rarity[word]
         n, m = len(own.place), len(others.place)
         self.full = np.maximum(np.bincount(row, weights=weight, minlength=n) + NUMBER_WEIGHT * np.bincount(own.n_owner, minlength=n), 1e-9)
         self.mass = np.maximum(np.bincount(others.owner, weights=table.rarity[others.ids], minlength=m) + NUMBER_WEIGHT * np.bincount(others.n_owner, minlength=m), 1e-9)
-        # the words of the others by chapter are the columns of its matrices
-        listed, column = np.unique(others.chapter[others.owner] * np.int64(base) + others.ids, return_inverse=True)
-        cut = np.searchsorted(listed, np.arange(len(own.count) + 1) * np.int64(base))
-        self.wide = np.diff(cut)
+        # the words of the others by chapter are the columns of its matrices; a word that no chapter holds has the last place
+        there = np.zeros(base, dtype=bool)
+        there[others.ids] = True
+        place = np.full(base, there.sum())
+        place[there] = np.arange(there.sum())
+        span = int(there.sum()) + 1
+        k, said = others.chapter[others.owner], place[others.ids]
+        held = np.zeros((len(own.count), span), dtype=bool)
+        held[k, said] = True
+        self.wide = np.count_nonzero(held, axis=1)
+        column = np.full(held.shape, -1, dtype=np.int32)
+        column[held] = _ranges(np.zeros(len(self.wide), dtype=np.int64), self.wide)
         self.at_own, self.at_others = np.cumsum(own.count * self.wide) - own.count * self.wide, np.cumsum(others.count * self.wide) - others.count * self.wide
         self.expected, self.said = np.zeros(int((own.count * self.wide).sum())), np.zeros(int((others.count * self.wide).sum()))
-        if len(listed):
-            k = own.chapter[row]
-            sought = k * np.int64(base) + word
-            found = np.minimum(np.searchsorted(listed, sought), len(listed) - 1)
-            hit = listed[found] == sought
-            k, row, found = k[hit], row[hit], found[hit]
-            self.expected[self.at_own[k] + (row - own.first[k]) * self.wide[k] + found - cut[k]] = weight[hit]
-            k = others.chapter[others.owner]
-            self.said[self.at_others[k] + (others.owner - others.first[k]) * self.wide[k] + column - cut[k]] = 1.0
+        self.said[(self.at_others - others.first * self.wide)[k] + others.owner * self.wide[k] + column[k, said]] = 1.0
+        k = own.chapter[row]
+        found = column[k, place[word]]
+        hit = found >= 0
+        k = k[hit]
+        self.expected[(self.at_own - own.first * self.wide)[k] + row[hit] * self.wide[k] + found[hit]] = weight[hit]
 
     def matrix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Expected words of own sentences of chapter k, and words of the others."""
@@ -589,7 +783,7 @@ class Aligner:
         for k, x in enumerate([*packed, b""]):
             n, w, _, m, v, _ = np.frombuffer(x, dtype=np.int32, count=_HEAD).tolist() if x else (0,) * _HEAD
             cost = n * m + n * v + m * w
-            if held and (not x or cells + cost > GROUP_CELLS):
+            if held and (not x or cells + cost > GROUP_CELLS or len(held) >= GROUP_CHAPTERS):
                 yield held, *self._group([packed[h] for h in held], [words_[h] for h in held], cells, grow)
                 held, cells = [], 0
             held.append(k)
@@ -740,7 +934,7 @@ class _Words:
             self.merge()
 
     def merge(self) -> np.ndarray:
-        key, slot = np.unique(np.concatenate([x[0] for x in self.counts]), return_inverse=True)
+        key, slot = _numbered(np.concatenate([x[0] for x in self.counts]))
         self.counts = [np.stack((key, np.bincount(slot, weights=np.concatenate([x[1] for x in self.counts]), minlength=len(key)).astype(np.int64)))]
         return self.counts[0]
 
@@ -751,8 +945,7 @@ def _counted(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], _Words] = {}
         for pair, (packed, words_) in _blocks(batches, size):
-            heads = np.array([np.frombuffer(x, dtype=np.int32, count=_HEAD) for x in packed], dtype=np.int64)
-            for kind, n, keys in zip("st", heads[:, [0, 3]].sum(axis=0).tolist(), _keys_of(packed, words_), strict=True):
+            for kind, n, keys in zip("st", _heads(packed)[:, [0, 3]].sum(axis=0).tolist(), _keys_of(packed, words_), strict=True):
                 sums.setdefault((pair, kind), _Words()).add(n, keys)
         for (pair, kind), own in sums.items():
             keys, n = own.merge()
@@ -767,12 +960,25 @@ def _counted(size: int):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Up to 256 chapters whose texts have up to so many bytes together; a longer one comes alone."""
+    for batch in batches:
+        begin = held = 0
+        for k, n in enumerate((pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) + pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)).tolist()):
+            if k > begin and (held + n > most or k - begin >= 256):
+                yield batch.slice(begin, k - begin)
+                begin, held = k, 0
+            held += n
+        if batch.num_rows:
+            yield batch.slice(begin)
+
+
 def _as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every chapter split into words once; later passes read numbers. Rows without an id list the Latin words of the task."""
     names = ["id", "pair", "packed", "words", "latin"]
-    keys: dict[str, int] = {}
+    keys: dict[int, str] = {}
     none = lambda n, kind: pa.nulls(n, kind)
-    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+    for batch in _pieces(batches):
         ids, pairs, source, target = (c.to_pylist() for c in batch.columns)
         packed: list[bytes | None] = [None] * len(ids)
         words_: list[bytes | None] = [None] * len(ids)
@@ -784,17 +990,17 @@ def _as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(words_, pa.binary()), none(len(ids), pa.list_(pa.string()))], names)
         new = list(islice(keys, before, None))
         if new:
-            yield pa.record_batch([none(1, pa.int64()), none(1, pa.string()), none(1, pa.binary()), pa.array([np.array([keys[w] for w in new]).tobytes()], pa.binary()), pa.array([new], pa.list_(pa.string()))], names)
+            yield pa.record_batch([none(1, pa.int64()), none(1, pa.string()), none(1, pa.binary()), pa.array([np.array(new).tobytes()], pa.binary()), pa.array([[keys[k] for k in new]], pa.list_(pa.string()))], names)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The Latin words with their keys, each once in a task."""
     seen: set[str] = set()
     for batch in batches:
-        for own in batch.column(1).to_pylist():
-            new = [w for w in own if w not in seen]
-            seen.update(new)
-            yield pa.record_batch([pa.array([_key(w) for w in new], pa.int64()), pa.array(new, pa.string())], ["word", "said"])
+        for keys, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            new = {k: w for k, w in zip(np.frombuffer(keys, dtype=np.int64).tolist(), own, strict=True) if w not in seen}
+            seen.update(new.values())
+            yield pa.record_batch([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.string())], ["word", "said"])
 
 
 class _Sums:
@@ -806,9 +1012,10 @@ class _Sums:
         self.cells: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, s: _Classes, t: _Classes) -> None:
+    def add(self, met: _Met, back: bool) -> None:
+        s = met.sides[back]
         self.n[s.words] += s.n
-        row, col, mass, total = expected_counts(s, t, least=LEAST_SHARE)
+        row, col, mass, total = met.expected(back, least=LEAST_SHARE)
         if len(row):
             self.total[s.words] += total
             self.cells.append((row * self.m + col, mass))
@@ -818,7 +1025,7 @@ class _Sums:
 
     def merge(self) -> None:
         if self.cells:
-            key, slot = np.unique(np.concatenate([k for k, _ in self.cells]), return_inverse=True)
+            key, slot = _numbered(np.concatenate([k for k, _ in self.cells]))
             self.cells = [(key, np.bincount(slot, weights=np.concatenate([m for _, m in self.cells]), minlength=len(key)))]
             self.held = 0
 
@@ -876,8 +1083,9 @@ def _estimated(models, size: int):
                 n += len(found[0])
             s, t = (_Classes(*(np.concatenate(x) for x in zip(*own, strict=True)), n) for own in bags)
             forward, backward = sums.setdefault(pair, (_Sums(len(aligner.source.ids), len(aligner.target.ids)), _Sums(len(aligner.target.ids), len(aligner.source.ids))))
-            forward.add(s, t)
-            backward.add(t, s)
+            met = _Met(s, t)
+            forward.add(met, False)
+            backward.add(met, True)
         for pair, both in sums.items():
             for kind, own in zip("fb", both, strict=True):
                 rows = list(own.parts())
@@ -896,9 +1104,9 @@ def _added(rows: pa.Table) -> pa.Table:
     """One part of the expected counts of all tasks: probabilities worth keeping, and how many pairs hold each word (other is null)."""
     read = {c: np.concatenate([np.frombuffer(x, dtype=d) for x in rows.column(c).to_pylist()]) for c, d in
             (("words", np.int32), ("totals", np.float64), ("n", np.int64), ("cells", np.int32), ("other", np.int32), ("mass", np.float32))}
-    words_, slot = np.unique(read["words"], return_inverse=True)
+    words_, slot = _numbered(read["words"])
     total, n = np.bincount(slot, weights=read["totals"]), np.bincount(slot, weights=read["n"]).astype(np.int64)
-    key, slot = np.unique(np.repeat(read["words"].astype(np.int64), read["cells"]) << 32 | read["other"], return_inverse=True)
+    key, slot = _numbered(np.repeat(read["words"].astype(np.int64), read["cells"]) << 32 | read["other"])
     at = np.searchsorted(words_, key >> 32)
     p = np.bincount(slot, weights=read["mass"], minlength=len(key)) / total[at]
     keep = (p >= MIN_PROBABILITY) & (n[at] >= MIN_COUNT)
@@ -969,11 +1177,11 @@ def _aligned(models):
             ids, pairs, packed, words_ = batch.column(0).to_numpy(), *(batch.column(k).to_pylist() for k in (1, 2, 3))
             for pair in sorted(set(pairs)):
                 at = np.array([k for k, x in enumerate(pairs) if x == pair])
+                found = [np.zeros((3, 0), dtype=np.int64)]
                 for held, a, b, ((s, _), (t, _)) in models.value[pair].packed_pairs([packed[k] for k in at.tolist()], [words_[k] for k in at.tolist()]):
-                    own = ids[at[held]][s.chapter[a]]
-                    yield pa.record_batch(
-                        [pa.array(own, pa.int64()), pa.array(s.place[a] + 1, pa.int32()), pa.array(t.place[b] + 1, pa.int32())], ["chapter_id", "source_no", "target_no"]
-                    )
+                    found.append(np.stack((ids[at[held]][s.chapter[a]], s.place[a] + 1, t.place[b] + 1)))
+                own, a, b = np.concatenate(found, axis=1)
+                yield pa.record_batch([pa.array(own, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["chapter_id", "source_no", "target_no"])
 
     return run
 

@@ -6,6 +6,8 @@ import re
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -233,6 +235,79 @@ def test_words_of_the_same_pairs_share_their_counts():
     assert {(s_words[r], t_words[c]): round(m, 9) for r, c, m in zip(row, col, mass_)} == {k: round(m, 9) for k, m in mass.items()}
 
 
+def _read_packed(packed: bytes, words: bytes, latin: dict[int, str]):
+    """(usable, words, numbers as places) of both sides of a packed chapter."""
+    x, keys = np.frombuffer(packed, dtype=np.int32).tolist(), np.frombuffer(words, dtype=np.int64).tolist()
+    at, out, numbers = 6, [], {}
+    for side, (n, _, k) in enumerate((x[:3], x[3:6])):
+        usable, per, own, name = (x[at + a : at + b] for a, b in ((0, n), (n, 2 * n), (2 * n, 2 * n + k), (2 * n + k, 2 * n + 2 * k)))
+        at += 2 * n + 2 * k
+        bags = []
+        for size in per:
+            bags.append({latin[w] if w in latin else chr(w >> 21) + chr(w & 0x1FFFFF).rstrip("\0") for w in keys[:size]})
+            assert len(bags[-1]) == size
+            keys = keys[size:]
+        out.append((usable, bags))
+        for a, b in zip(own, name, strict=True):
+            numbers.setdefault(b, []).append((side, a))
+    assert at == len(x) and not keys
+    return out, sorted(map(sorted, numbers.values()))
+
+
+def test_chapters_in_numbers_hold_what_the_rules_say():
+    rng = random.Random(3)
+    odd = ["ab Éÿß.!?…。！？”'」）\n \x85\u3000", "aA10２0٣,. ", "İıſKÅŸµª²½ǅĳﬁ㎏① a", "кафеАΟΣς\u0306\u0301 e", "カが\u3099゚ｶﾞ゛ー二工漢", "한ᆫ가\u200b\xad", "\U0001d400\U00020000豈a_。"]
+    texts = ["Ÿ", "Ÿ.", "", "...", "7. 007! 0 00."] + ["".join(rng.choice(rng.choice(odd) if k % 2 else odd[k % len(odd)]) for _ in range(rng.randrange(30))) for k in range(400)]
+    for size in (1, 40):  # what stands in other chapters must not matter
+        for k in range(0, len(texts) - size, size):
+            source, target = texts[k : k + size], texts[k + 1 : k + size + 1]
+            latin: dict[int, str] = {}
+            for a, b, packed, words in zip(source, target, *alignment._packed(source, target, latin), strict=True):
+                sides, numbers = [], {}
+                for side, text in enumerate((a, b)):
+                    marked = alignment.marked_sentences(text)
+                    said = [alignment.words(alignment.plain(s).translate(alignment._LATIN), True) for s, _ in marked]
+                    sides.append(([int(closed and alignment._LETTER.search(s) is not None) for s, closed in marked], [w for w, _ in said]))
+                    for i, (_, ns) in enumerate(said):
+                        for n in ns:
+                            numbers.setdefault(n, []).append((side, i))
+                assert _read_packed(packed, words, latin) == (sides, sorted(map(sorted, numbers.values())))
+
+
+def test_chapters_are_read_in_bounded_pieces():
+    sizes = [10] * 600 + [5000, 10, 3000, 2000, 900, 200]
+    batch = pa.record_batch([pa.array(range(len(sizes))), pa.array(["a>b"] * len(sizes)), pa.array(["x" * n for n in sizes]), pa.array([""] * len(sizes))], ["id", "pair", "source", "target"])
+    pieces = list(alignment._pieces(iter([batch.slice(0, 0), batch]), most=4000))
+    assert [x.num_rows for x in pieces] == [256, 256, 88, 1, 2, 3] and pa.Table.from_batches(pieces) == pa.Table.from_batches([batch])
+
+
+def test_expected_counts_of_both_directions_from_one_sorting():
+    rng = np.random.default_rng(1)
+    sides = []
+    for most in (40, 25):
+        both = np.unique(rng.integers(0, 60, 900) * most + rng.integers(0, most, 900))
+        sides.append(alignment._Classes(both // most, both % most, 60))
+    met = alignment._Met(*sides)
+    for back in (False, True):
+        s, t = sides[::-1] if back else sides
+        got, other = met.expected(back), alignment.expected_counts(s, t)
+        a, b = (dict(zip(zip(x[0].tolist(), x[1].tolist(), strict=True), x[2].tolist(), strict=True)) for x in (got, other))
+        assert a.keys() == b.keys() and len(a) == len(got[0]) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+        assert np.allclose(got[3], other[3])
+
+
+def test_words_are_found_by_their_keys():
+    said = [*(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for k in range(1000)), "漢", "漢字", "字漢"]
+    known = alignment._Vocabulary(said)
+    known._placed()
+    known.rest = np.arange(len(said))  # as if all shared their places
+    for table in (known.table, np.zeros_like(known.table)):
+        known.table = table
+        at, ids = known.find(alignment._keys([*said, "unknown", "字"]))
+        assert at.tolist() == list(range(len(said))) == ids.tolist()
+    assert [len(x) for x in alignment._Vocabulary([]).find(np.array([5]))] == [0, 0]
+
+
 def test_chapters_aligned_together_as_one_by_one(spark):
     """Packed chapters with small matrices give what the inverted indexes give."""
     docs = alignment.bilingual(*(spark.read.parquet(f"{DATA}/sf0.01/{name}.parquet") for name in ("chapters", "books")))
